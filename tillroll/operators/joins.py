@@ -1,0 +1,22 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension is broadcast only when it is proven to hold at most this many rows
+# (a few narrow columns: tens of MB per executor at the limit).
+DEFAULT_BROADCAST_ROWS = 2_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only after checking that it has at most ``max_rows`` rows.
+
+    The check is a bounded count (each task stops after ``max_rows + 1`` rows),
+    so it costs at most one pass over the dimension.  Beyond the bound the frame
+    is returned unhinted and the join stays a shuffle join, where AQE can still
+    split skewed partitions.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
