@@ -18,6 +18,8 @@ from tillroll.model import DELIVERED
 from tillroll.operators.joins import bounded_broadcast
 
 UNKNOWN_CATEGORY = "unknown"
+# A category list longer than this is joined by shuffle instead of broadcast.
+TRANSLATION_MAX_ROWS = 100_000
 
 
 def delivered_orders(orders: DataFrame, status: str = DELIVERED, *cols: str) -> DataFrame:
@@ -43,19 +45,25 @@ def order_review(reviews: DataFrame, rounded: bool = False) -> DataFrame:
     return reviews.groupBy("order_id").agg(score.alias("review_score"))
 
 
-def category_dim(products: DataFrame, translation: DataFrame,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
+def category_dim(products: DataFrame, translation: DataFrame) -> DataFrame:
     """``product_id -> category`` with the three-level fallback
-    english name, else original name, else ``'unknown'``."""
+    english name, else original name, else ``'unknown'``.
+
+    The translation is a list of category names (one row per category); it is
+    broadcast only after its row count is checked.  The product table grows
+    with the catalogue, so its join to the facts is left to the planner: a
+    broadcast when the scan statistics put it under
+    ``spark.sql.autoBroadcastJoinThreshold``, otherwise a sort-merge join whose
+    skewed partitions (a best-selling product) AQE splits at run time.
+    """
     t = bounded_broadcast(translation.select(
         F.col("product_category_name").alias("_t_name"),
-        F.col("product_category_name_english").alias("_t_english")))
-    dim = (products.select("product_id", "product_category_name")
-           .join(t, F.col("product_category_name") == F.col("_t_name"), "left")
-           .select("product_id",
-                   F.coalesce("_t_english", "product_category_name", F.lit(UNKNOWN_CATEGORY))
-                    .alias("category")))
-    return bounded_broadcast(dim, max_broadcast_rows) if max_broadcast_rows else bounded_broadcast(dim)
+        F.col("product_category_name_english").alias("_t_english")), TRANSLATION_MAX_ROWS)
+    return (products.select("product_id", "product_category_name")
+            .join(t, F.col("product_category_name") == F.col("_t_name"), "left")
+            .select("product_id",
+                    F.coalesce("_t_english", "product_category_name", F.lit(UNKNOWN_CATEGORY))
+                     .alias("category")))
 
 
 def with_category(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:

@@ -33,6 +33,12 @@ from tillroll.session import ensure_checkpoint_dir
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
+# Inputs proven (by an exact count) to hold at most this many rows are ranked in
+# one task with the native window functions: a few tens of MB, cheaper than the
+# range shuffle and checkpoint of the distributed path.  Larger inputs always
+# take the distributed path.
+LOCAL_ROWS = 1_000_000
+
 
 def _order_cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -45,7 +51,8 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def global_row_number(df: DataFrame, order, name: str = "row_number",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, n_rows: int | None = None,
+                      local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total ``order``.
 
     ``order`` is a list of column names or sort expressions (``F.desc(...)``,
@@ -53,9 +60,11 @@ def global_row_number(df: DataFrame, order, name: str = "row_number",
     the numbering is repeatable.  Equivalent to
     ``row_number() OVER (ORDER BY order)`` without a single-partition window.
     """
+    cols = _order_cols(order)
+    if local_rows and (n_rows if n_rows is not None else df.count()) <= local_rows:
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    cols = _order_cols(order)
     n = _num_partitions(df, num_partitions)
     ranked = (df.repartitionByRange(n, *cols)
                 .sortWithinPartitions(*cols)
@@ -87,20 +96,27 @@ def ntile_from_rank(rank: Column, total: Column, k: int) -> Column:
 
 
 def ntile_global(df: DataFrame, k: int, order, name: str = "ntile",
-                 num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = ``NTILE(k) OVER (ORDER BY order)`` computed without a global window."""
+                 num_partitions: int | None = None, n_rows: int | None = None,
+                 local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Add ``name`` = ``NTILE(k) OVER (ORDER BY order)`` (as ``long``).
+
+    Beyond ``local_rows`` rows no step holds more than one range partition.
+    """
+    n = n_rows if n_rows is not None else df.count()
+    if local_rows and n <= local_rows:
+        return df.withColumn(name, F.ntile(k).over(Window.orderBy(*_order_cols(order))).cast("long"))
     rn = "_rn_" + name
-    ranked = global_row_number(df, order, rn, num_partitions)
+    ranked = global_row_number(df, order, rn, num_partitions, n_rows=n, local_rows=0)
     total = ranked.agg(F.count(F.lit(1)).alias("_total"))
     return (ranked.crossJoin(F.broadcast(total))
-                  .withColumn(name, ntile_from_rank(F.col(rn), F.col("_total"), k))
+                  .withColumn(name, ntile_from_rank(F.col(rn), F.col("_total"), k).cast("long"))
                   .drop(rn, "_total"))
 
 
 def with_surrogate_id(df: DataFrame, order, name: str = "review_sk",
-                      num_partitions: int | None = None) -> DataFrame:
+                      num_partitions: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Dense, repeatable ``BIGSERIAL``-style key 1..N following ``order``."""
-    return global_row_number(df, order, name, num_partitions)
+    return global_row_number(df, order, name, num_partitions, local_rows=local_rows)
 
 
 # ---------------------------------------------------------------------------
@@ -113,7 +129,7 @@ def _interpolate(lo: Column, hi: Column, frac: float) -> Column:
 
 def _percentile_by_rank(values: DataFrame, p: float, tiebreak: list) -> DataFrame:
     """Exact fallback: number every value, keep the two neighbouring ranks."""
-    ranked = global_row_number(values, [F.col("_v")] + tiebreak, "_rank")
+    ranked = global_row_number(values, [F.col("_v")] + tiebreak, "_rank", local_rows=0)
     stats = ranked.agg(F.count(F.lit(1)).alias("_n"))
     pos = (F.col("_n") - 1) * F.lit(p)
     lo_r, hi_r = F.floor(pos) + 1, F.ceil(pos) + 1
@@ -125,7 +141,8 @@ def _percentile_by_rank(values: DataFrame, p: float, tiebreak: list) -> DataFram
 
 
 def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
-                     accuracy: int = 100_000, max_bracket_rows: int = 2_000_000) -> DataFrame:
+                     accuracy: int = 100_000, max_bracket_rows: int = 2_000_000,
+                     local_rows: int = LOCAL_ROWS) -> DataFrame:
     """One-row frame ``value`` = ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col)``.
 
     NULLs are ignored; an empty input gives a NULL.  Work is distributed: the
@@ -144,19 +161,24 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
     pos = (n - 1) * p
     k_lo, k_hi = math.floor(pos), math.ceil(pos)   # 0-based target ranks
     frac = pos - k_lo
-    lo, hi = float(sketch["b"][0]), float(sketch["b"][1])
-
-    inside = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
-    counts = values.agg(F.count_if(F.col("_v") < F.lit(lo)).alias("below"),
-                        F.count_if(inside).alias("inside")).first()
-    below, n_inside = counts["below"], counts["inside"]
-    bracket_ok = below <= k_lo and k_hi < below + n_inside
-    if bracket_ok:
-        bracket = values.where(inside).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-        distinct_inside = bracket.limit(max_bracket_rows + 1).count()
-        bracket_ok = distinct_inside <= max_bracket_rows
-    if not bracket_ok:
-        return _percentile_by_rank(values, p, list(tiebreak))
+    if n <= local_rows:
+        # Small input (counted): the "bracket" is the whole column.
+        below, inside = 0, F.lit(True)
+    else:
+        lo, hi = float(sketch["b"][0]), float(sketch["b"][1])
+        inside = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
+        counts = values.agg(F.count_if(F.col("_v") < F.lit(lo)).alias("below"),
+                            F.count_if(inside).alias("inside")).first()
+        below, n_inside = counts["below"], counts["inside"]
+        bracket_ok = below <= k_lo and k_hi < below + n_inside
+        if bracket_ok and n_inside > max_bracket_rows:
+            # Many rows inside: fine as long as they hold few distinct values.
+            distinct_inside = (values.where(inside).select("_v").distinct()
+                               .limit(max_bracket_rows + 1).count())
+            bracket_ok = distinct_inside <= max_bracket_rows
+        if not bracket_ok:
+            return _percentile_by_rank(values, p, list(tiebreak))
+    bracket = values.where(inside).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
     # Cumulative counts over the bracket's distinct values (size-checked above).
     w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     cum = bracket.withColumn("_end", F.lit(below) + F.sum("_c").over(w)) \

@@ -137,8 +137,9 @@ def rfm_orders() -> dict[str, list]:
 def rfm_scores(base: DataFrame, k: int = 5) -> DataFrame:
     """Add ``r_score, f_score, m_score`` = global ``NTILE(k)`` over each metric."""
     b = materialize(base)
+    n = b.count()
     for score, order in rfm_orders().items():
-        b = ntile_global(b, k, order, score)
+        b = ntile_global(b, k, order, score, n_rows=n)
     return b
 
 
