@@ -159,9 +159,14 @@ def job_names() -> list[str]:
     return list(_JOBS)
 
 
+def run_on(shop, name: str) -> DataFrame:
+    """Run job ``name`` on any shop (test binding, landed Parquet, given frames)."""
+    return publish(_JOBS[name](shop))
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     apply_required_conf(spark)
-    return publish(_JOBS[name](TestShop(spark, sf_dir)))
+    return run_on(TestShop(spark, sf_dir), name)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

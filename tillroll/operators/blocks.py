@@ -45,34 +45,28 @@ def order_review(reviews: DataFrame, rounded: bool = False) -> DataFrame:
     return reviews.groupBy("order_id").agg(score.alias("review_score"))
 
 
-def category_dim(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """``product_id -> category`` with the three-level fallback
-    english name, else original name, else ``'unknown'``.
-
-    The translation is a list of category names (one row per category); it is
-    broadcast only after its row count is checked.  The product table grows
-    with the catalogue, so its join to the facts is left to the planner: a
-    broadcast when the scan statistics put it under
+def with_category(df: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
+    """Attach ``category`` to rows carrying a ``product_id`` (left joins).
+
+    Category = english name, else original name, else ``'unknown'`` (also
+    for products missing from the catalogue).
+
+    The product table grows with the catalogue, so its join is left to the
+    planner: a broadcast when the scan statistics put it under
     ``spark.sql.autoBroadcastJoinThreshold``, otherwise a sort-merge join whose
-    skewed partitions (a best-selling product) AQE splits at run time.
+    skewed partitions (a best-selling product) AQE splits at run time.  The
+    translation is a list of category names; it is broadcast only after its
+    row count is checked.  Joining the two dimensions to each other first
+    would hide the product table's size from the planner.
     """
+    p = products.select(F.col("product_id").alias("_p_id"), F.col("product_category_name").alias("_p_name"))
     t = bounded_broadcast(translation.select(
         F.col("product_category_name").alias("_t_name"),
         F.col("product_category_name_english").alias("_t_english")), TRANSLATION_MAX_ROWS)
-    return (products.select("product_id", "product_category_name")
-            .join(t, F.col("product_category_name") == F.col("_t_name"), "left")
-            .select("product_id",
-                    F.coalesce("_t_english", "product_category_name", F.lit(UNKNOWN_CATEGORY))
-                     .alias("category")))
-
-
-def with_category(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
-    """Attach the category to item rows (left joins: unknown products -> 'unknown')."""
-    dim = category_dim(products, translation)
-    return (items.join(dim.withColumnRenamed("product_id", "_dim_pid"),
-                       items.product_id == F.col("_dim_pid"), "left")
-                 .drop("_dim_pid")
-                 .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY))))
+    return (df.join(p, df.product_id == F.col("_p_id"), "left")
+              .join(t, F.col("_p_name") == F.col("_t_name"), "left")
+              .withColumn("category", F.coalesce("_t_english", "_p_name", F.lit(UNKNOWN_CATEGORY)))
+              .drop("_p_id", "_p_name", "_t_name", "_t_english"))
 
 
 def delivery_times(orders: DataFrame, status: str = DELIVERED) -> DataFrame:

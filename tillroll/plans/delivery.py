@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tillroll.functions.numeric import exact_round, pct, share_of_total
 from tillroll.model import DELIVERED
 from tillroll.operators import materialize
-from tillroll.operators.blocks import (UNKNOWN_CATEGORY, category_dim, delivery_times,
-                                       first_item_per_order, order_review)
+from tillroll.operators.blocks import (delivery_times, first_item_per_order, order_review,
+                                       with_category)
 from tillroll.operators.ranking import exact_percentile
 
 
@@ -78,10 +78,7 @@ def chart_delivery_reviews(orders: DataFrame, reviews: DataFrame, status: str =
 
 def order_category(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
     """Category of each order = category of its first item."""
-    first = first_item_per_order(items)
-    dim = category_dim(products, translation).withColumnRenamed("product_id", "_pid")
-    return (first.join(dim, first.product_id == F.col("_pid"), "left")
-                 .select("order_id", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)).alias("category")))
+    return with_category(first_item_per_order(items), products, translation).select("order_id", "category")
 
 
 def category_delay_top10(orders: DataFrame, items: DataFrame, products: DataFrame,

@@ -40,7 +40,7 @@ def monthly_metrics(orders: DataFrame, items: DataFrame, status: str = DELIVERED
     month rows only.
     """
     m = monthly_totals(orders, items, status)
-    w = Window.orderBy("order_month")
+    w = Window.orderBy(F.asc_nulls_last("order_month"))
     prev_rev, prev_cnt = F.lag("revenue").over(w), F.lag("orders_count").over(w)
     return (m.select(
         "order_month", "orders_count", "customers_count",
@@ -50,7 +50,7 @@ def monthly_metrics(orders: DataFrame, items: DataFrame, status: str = DELIVERED
         exact_round(ratio("total_freight", "orders_count"), 2).alias("avg_freight_per_order"),
         exact_round(pct(F.col("revenue") - prev_rev, prev_rev), 2).alias("revenue_mom_pct"),
         exact_round(pct(F.col("orders_count") - prev_cnt, prev_cnt), 2).alias("orders_mom_pct"))
-        .orderBy("order_month"))
+        .orderBy(F.asc_nulls_last("order_month")))
 
 
 def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DELIVERED) -> DataFrame:
@@ -60,7 +60,7 @@ def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DEL
     return (joined.groupBy("order_month")
                   .agg(F.count(F.lit(1)).alias("orders_count"),
                        exact_round(F.sum("revenue"), 2).alias("revenue"))
-                  .orderBy("order_month"))
+                  .orderBy(F.asc_nulls_last("order_month")))
 
 
 def _order_category_lines(orders, items, products, translation, status) -> DataFrame:
