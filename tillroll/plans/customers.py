@@ -13,7 +13,7 @@ from tillroll.functions.temporal import fractional_days, whole_days
 from tillroll.model import DELIVERED
 from tillroll.operators import materialize
 from tillroll.operators.blocks import customer_key, delivered_orders
-from tillroll.operators.ranking import exact_percentile, ntile_global
+from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile, ntile_global
 
 
 def orders_per_customer(orders: DataFrame, customers: DataFrame, status: str = DELIVERED) -> DataFrame:
@@ -134,12 +134,16 @@ def rfm_orders() -> dict[str, list]:
             "m_score": [F.asc_nulls_last("monetary"), F.asc("customer_unique_id")]}
 
 
-def rfm_scores(base: DataFrame, k: int = 5) -> DataFrame:
-    """Add ``r_score, f_score, m_score`` = global ``NTILE(k)`` over each metric."""
+def rfm_scores(base: DataFrame, k: int = 5, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Add ``r_score, f_score, m_score`` = global ``NTILE(k)`` over each metric.
+
+    The base is materialised once (three rankings read it); each ranking is
+    range-partitioned unless the customer count is within ``local_rows``.
+    """
     b = materialize(base)
     n = b.count()
     for score, order in rfm_orders().items():
-        b = ntile_global(b, k, order, score, n_rows=n)
+        b = ntile_global(b, k, order, score, n_rows=n, local_rows=local_rows)
     return b
 
 
