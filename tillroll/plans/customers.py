@@ -51,19 +51,31 @@ def orders_per_customer_distribution(orders: DataFrame, customers: DataFrame,
              .orderBy(F.asc_nulls_last("orders_count")))
 
 
+def _first_two(df: DataFrame, key: str) -> DataFrame:
+    """The first two rows per ``key`` by (purchase time, order id), numbered 1 and 2.
+
+    The ``row_number() <= 2`` filter is planned as a ``WindowGroupLimit`` that
+    also runs before the shuffle, so a key with very many orders contributes
+    at most two rows per map task.
+    """
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("order_purchase_timestamp"),
+                                        F.asc_nulls_last("order_id"))
+    return df.withColumn("order_seq", F.row_number().over(w)).where(F.col("order_seq") <= 2)
+
+
 def first_two_purchase_gaps(orders: DataFrame, customers: DataFrame, status: str = DELIVERED) -> DataFrame:
     """``customer_unique_id, days``: days from the first to the second delivered purchase.
 
-    Orders are numbered per customer by (purchase time, order id); the
-    ``row_number() <= 2`` filter becomes a ``WindowGroupLimit`` that also runs
-    before the shuffle, so a customer with very many orders contributes at
-    most two rows per map task.
+    The first two orders of a customer are among the first two of one of its
+    ``customer_id`` s, so orders are cut to two per ``customer_id`` before the
+    join to customers (a hot account never reaches the join), and to two per
+    customer after it.  The gap is taken from the two numbered rows, as
+    ``LAG`` over the same ordering would.
     """
-    co = customer_key(delivered_orders(orders, status), customers,
-                      "order_id", "order_purchase_timestamp")
-    w = Window.partitionBy("customer_unique_id").orderBy(
-        F.asc_nulls_last("order_purchase_timestamp"), F.asc_nulls_last("order_id"))
-    two = co.withColumn("order_seq", F.row_number().over(w)).where(F.col("order_seq") <= 2)
+    d = delivered_orders(orders, status).select("order_id", "customer_id", "order_purchase_timestamp")
+    per_account = _first_two(d, "customer_id").drop("order_seq")
+    two = _first_two(customer_key(per_account, customers, "order_id", "order_purchase_timestamp"),
+                     "customer_unique_id")
     per = two.groupBy("customer_unique_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by("order_purchase_timestamp", "order_seq").alias("_first"),
@@ -84,16 +96,25 @@ def days_between_first_two_orders(orders: DataFrame, customers: DataFrame,
 
 def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,
                      status: str = DELIVERED) -> DataFrame:
-    """Per customer over delivered orders *with items*: last purchase, orders, item revenue."""
+    """Per customer over delivered orders *with items*: last purchase, orders, item revenue.
+
+    Items are summed per order, orders per ``customer_id``; only then are the
+    accounts mapped to customers.  Every join input is at most one row per
+    key, so no join partition can be dominated by one hot key.
+    """
     rev = items.groupBy("order_id").agg(F.sum("price").alias("rev"))
     d = delivered_orders(orders, status).select(
         F.col("order_id").alias("_oid"), "customer_id", "order_purchase_timestamp")
-    per_order = d.join(rev, F.col("_oid") == rev.order_id, "inner")
-    return (customer_key(per_order, customers, "order_id", "order_purchase_timestamp", "rev")
+    per_account = (d.join(rev, F.col("_oid") == rev.order_id, "inner")
+                    .groupBy("customer_id")
+                    .agg(F.max("order_purchase_timestamp").alias("last_purchase"),
+                         F.count(F.lit(1)).alias("frequency"),
+                         F.sum("rev").alias("revenue")))
+    return (customer_key(per_account, customers, "last_purchase", "frequency", "revenue")
             .groupBy("customer_unique_id")
-            .agg(F.max("order_purchase_timestamp").alias("last_purchase"),
-                 F.count(F.lit(1)).alias("frequency"),
-                 F.sum("rev").alias("revenue")))
+            .agg(F.max("last_purchase").alias("last_purchase"),
+                 F.sum("frequency").alias("frequency"),
+                 F.sum("revenue").alias("revenue")))
 
 
 def top_customers_by_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,

@@ -20,14 +20,15 @@ def business_summary(orders: DataFrame, customers: DataFrame, items: DataFrame,
     order) are folded per customer, then per whole table.  The uncorrelated
     sub-queries of a literal SQL translation would scan the orders twice more.
     """
-    d = customer_key(delivered_orders(orders, status), customers,
-                     "order_id", "order_delivered_customer_date", "order_estimated_delivery_date")
-    rev = items.groupBy("order_id").agg(F.sum("price").alias("rev"), F.lit(True).alias("_has_items"))
+    d = delivered_orders(orders, status).select(
+        "order_id", "customer_id", "order_delivered_customer_date", "order_estimated_delivery_date")
+    rev = items.groupBy("order_id").agg(F.sum("price").alias("rev"), F.count(F.lit(1)).alias("_n_items"))
     score = reviews.groupBy("order_id").agg(F.avg(F.col("review_score").cast("double")).alias("score"))
+    # Order grain: the three inputs share the order key, so they meet in one co-partitioned join.
     j = d.join(rev, "order_id", "left").join(score, "order_id", "left")
-    has = F.col("_has_items").isNotNull()
+    has = F.col("_n_items").isNotNull()
     dd, ed = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
-    per_cust = j.groupBy("customer_unique_id").agg(
+    per_account = j.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("freq"),
         F.count_if(has).alias("orders_with_items"),
         F.sum("rev").alias("rev"),
@@ -35,6 +36,12 @@ def business_summary(orders: DataFrame, customers: DataFrame, items: DataFrame,
         F.count_if(has & dd.isNotNull() & ed.isNotNull()).alias("dated"),
         F.sum(F.when(has, F.col("score"))).alias("score_sum"),
         F.count(F.when(has, F.col("score"))).alias("score_n"))
+    # Accounts -> customers only after the per-account aggregate (one row per account).
+    per_cust = (customer_key(per_account, customers, "freq", "orders_with_items", "rev", "late",
+                             "dated", "score_sum", "score_n")
+                .groupBy("customer_unique_id")
+                .agg(*[F.sum(c).alias(c) for c in ("freq", "orders_with_items", "rev", "late",
+                                                   "dated", "score_sum", "score_n")]))
     t = per_cust.agg(
         F.sum("rev").alias("rev"),
         F.sum("orders_with_items").alias("orders"),
