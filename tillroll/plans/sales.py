@@ -66,18 +66,20 @@ def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DEL
 def _order_category_lines(orders, items, products, translation, status) -> DataFrame:
     """Delivered item revenue at (order, category) grain, with the order's customer.
 
-    Items get their category first (broadcast dimension when its size is
-    proven small, shuffle join otherwise), are summed per (order, category),
-    and only then meet the orders: an order with many items crosses the
-    order-key shuffle as one row per category.
+    Items meet the delivered orders first (the status filter drops the other
+    items before any dimension work; a sort-merge join on the order key at
+    scale), then get their category, and are summed per (order, category,
+    customer).  That grouping refines the order key, so when the product
+    table is broadcast it reuses the join's partitioning without a shuffle;
+    the next levels see at most one row per (order, category).
     """
-    lines = with_category(items.select("order_id", "product_id", "price", "freight_value"),
-                          products, translation)
-    per_order = lines.groupBy("order_id", "category").agg(
-        F.sum("price").alias("rev"), F.count("price").alias("n_price"),
-        F.sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
     d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"), "customer_id")
-    return per_order.join(d, per_order.order_id == F.col("_oid"), "inner").drop("_oid")
+    lines = items.select("order_id", "product_id", "price", "freight_value")
+    lines = lines.join(d, lines.order_id == F.col("_oid"), "inner").drop("_oid")
+    return (with_category(lines, products, translation)
+            .groupBy("order_id", "category", "customer_id").agg(
+                F.sum("price").alias("rev"), F.count("price").alias("n_price"),
+                F.sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight")))
 
 
 def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
