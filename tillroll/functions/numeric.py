@@ -24,6 +24,20 @@ def exact_round(x, n: int = 2, as_type: str = "double") -> Column:
     return F.round(_c(x).cast(ROUND_TYPE), n).cast(as_type)
 
 
+def exact_sum(x, scale: int = 2) -> Column:
+    """``SUM`` of a ``decimal(p, scale)`` money column (p <= 16), exact.
+
+    Spark keeps sum buffers of decimals wider than 18 digits (``decimal(12,2)``
+    sums to ``decimal(22,2)``) as arbitrary-precision objects.  Summing the
+    64-bit unscaled values stays on the primitive fast path; with ANSI mode an
+    overflow (beyond 9.2e16 currency units at scale 2) raises instead of
+    wrapping.  Result: ``decimal(38, scale)``; NULL for no non-NULL input.
+    """
+    unscaled = (_c(x) * F.lit(10 ** scale)).cast("long")
+    total = F.sum(unscaled).cast("decimal(38,0)") / F.lit(10 ** scale)
+    return total.cast(f"decimal(38,{scale})")
+
+
 def safe_div(num, den) -> Column:
     """``num / NULLIF(den, 0)``: empty or zero denominators give NULL, never an error."""
     return _c(num) / F.nullif(_c(den), F.lit(0))

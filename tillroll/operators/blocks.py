@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.numeric import exact_sum
 from tillroll.functions.temporal import fractional_days
 from tillroll.model import DELIVERED
 from tillroll.operators.joins import bounded_broadcast
@@ -31,8 +32,8 @@ def delivered_orders(orders: DataFrame, status: str = DELIVERED, *cols: str) ->
 def order_revenue(items: DataFrame) -> DataFrame:
     """One row per order: item revenue, freight, item count (``order_id`` unique)."""
     return items.groupBy("order_id").agg(
-        F.sum("price").alias("order_item_revenue"),
-        F.sum("freight_value").alias("order_freight"),
+        exact_sum("price").alias("order_item_revenue"),
+        exact_sum("freight_value").alias("order_freight"),
         F.count(F.lit(1)).alias("items_count"))
 
 

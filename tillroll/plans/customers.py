@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exact_round, pct, ratio, share_of_total
+from tillroll.functions.numeric import exact_round, exact_sum, pct, ratio, share_of_total
 from tillroll.functions.temporal import fractional_days, whole_days
 from tillroll.model import DELIVERED
 from tillroll.operators import materialize
@@ -102,7 +102,7 @@ def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,
     accounts mapped to customers.  Every join input is at most one row per
     key, so no join partition can be dominated by one hot key.
     """
-    rev = items.groupBy("order_id").agg(F.sum("price").alias("rev"))
+    rev = items.groupBy("order_id").agg(exact_sum("price").alias("rev"))
     d = delivered_orders(orders, status).select(
         F.col("order_id").alias("_oid"), "customer_id", "order_purchase_timestamp")
     per_account = (d.join(rev, F.col("_oid") == rev.order_id, "inner")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exact_round, pct, ratio, safe_div, share_of_total
+from tillroll.functions.numeric import exact_round, exact_sum, pct, ratio, share_of_total
 from tillroll.functions.temporal import month_start
 from tillroll.model import DELIVERED
 from tillroll.operators.blocks import delivered_orders, order_revenue, with_category
@@ -56,7 +56,7 @@ def monthly_metrics(orders: DataFrame, items: DataFrame, status: str = DELIVERED
 def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DELIVERED) -> DataFrame:
     """Chart data: ``order_month, orders_count, revenue``."""
     joined = _delivered_month(orders, status).join(
-        items.groupBy("order_id").agg(F.sum("price").alias("revenue")), "order_id")
+        items.groupBy("order_id").agg(exact_sum("price").alias("revenue")), "order_id")
     return (joined.groupBy("order_month")
                   .agg(F.count(F.lit(1)).alias("orders_count"),
                        exact_round(F.sum("revenue"), 2).alias("revenue"))
@@ -78,8 +78,8 @@ def _order_category_lines(orders, items, products, translation, status) -> DataF
     lines = lines.join(d, lines.order_id == F.col("_oid"), "inner").drop("_oid")
     return (with_category(lines, products, translation)
             .groupBy("order_id", "category", "customer_id").agg(
-                F.sum("price").alias("rev"), F.count("price").alias("n_price"),
-                F.sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight")))
+                exact_sum("price").alias("rev"), F.count("price").alias("n_price"),
+                exact_sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight")))
 
 
 def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.numeric import exact_round, pct, ratio
+from tillroll.functions.numeric import exact_round, exact_sum, pct, ratio
 from tillroll.model import DELIVERED
 from tillroll.operators.blocks import customer_key, delivered_orders
 
@@ -22,7 +22,7 @@ def business_summary(orders: DataFrame, customers: DataFrame, items: DataFrame,
     """
     d = delivered_orders(orders, status).select(
         "order_id", "customer_id", "order_delivered_customer_date", "order_estimated_delivery_date")
-    rev = items.groupBy("order_id").agg(F.sum("price").alias("rev"), F.count(F.lit(1)).alias("_n_items"))
+    rev = items.groupBy("order_id").agg(exact_sum("price").alias("rev"), F.count(F.lit(1)).alias("_n_items"))
     score = reviews.groupBy("order_id").agg(F.avg(F.col("review_score").cast("double")).alias("score"))
     # Order grain: the three inputs share the order key, so they meet in one co-partitioned join.
     j = d.join(rev, "order_id", "left").join(score, "order_id", "left")
