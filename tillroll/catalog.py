@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tillroll.model import FOREIGN_KEYS, TABLES
 from tillroll.operators import quality as Q
-from tillroll.operators.ranking import with_surrogate_id
+from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile, with_surrogate_id
 from tillroll.plans import customers as C
 from tillroll.plans import delivery as D
 from tillroll.plans import sales as S
@@ -147,14 +147,32 @@ job("business_summary")(lambda s: business_summary(
     s.orders(), s.customers(), s.order_items(), s.order_reviews()))
 
 
-@job("review_surrogate_keys")
-def _(s: TestShop):
+def _review_keys(s: TestShop, local_rows: int) -> DataFrame:
     r = s.order_reviews().select("review_id", "order_id", "review_score", "review_creation_date")
     order = [F.asc_nulls_last(c) for c in ("review_creation_date", "review_id", "order_id", "review_score")]
-    return with_surrogate_id(r, order, "review_sk").select(
+    return with_surrogate_id(r, order, "review_sk", local_rows=local_rows).select(
         "review_sk", "review_id", "order_id", "review_score", "review_creation_date")
 
 
+job("review_surrogate_keys")(lambda s: _review_keys(s, LOCAL_ROWS))
+
+# The distributed operators on their own, forced onto the range-partitioned /
+# bracketed route whatever the input size (the jobs above switch to one task
+# for inputs proven small).
+job("global_row_number")(lambda s: _review_keys(s, 0))
+job("ntile_global")(lambda s: C.rfm_scores(_rfm_base(s), local_rows=0))
+
+
+@job("exact_median_global")
+def _(s: TestShop):
+    dt = D.delivery_times(s.orders())
+    gaps = C.first_two_purchase_gaps(s.orders(delivery=False), s.customers())
+    m1 = exact_percentile(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")], local_rows=0)
+    m2 = exact_percentile(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")], local_rows=0)
+    return (m1.select(F.col("value").alias("median_delivery_days"))
+              .crossJoin(m2.select(F.col("value").alias("median_days_between"))))
+
+
 def job_names() -> list[str]:
     return list(_JOBS)
 
