@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tillroll.model import FOREIGN_KEYS, TABLES
 from tillroll.operators import quality as Q
-from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile, with_surrogate_id
+from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile_value, with_surrogate_id
 from tillroll.plans import customers as C
 from tillroll.plans import delivery as D
 from tillroll.plans import sales as S
@@ -167,10 +167,10 @@ job("ntile_global")(lambda s: C.rfm_scores(_rfm_base(s), local_rows=0))
 def _(s: TestShop):
     dt = D.delivery_times(s.orders())
     gaps = C.first_two_purchase_gaps(s.orders(delivery=False), s.customers())
-    m1 = exact_percentile(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")], local_rows=0)
-    m2 = exact_percentile(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")], local_rows=0)
-    return (m1.select(F.col("value").alias("median_delivery_days"))
-              .crossJoin(m2.select(F.col("value").alias("median_days_between"))))
+    m1 = exact_percentile_value(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")], local_rows=0)
+    m2 = exact_percentile_value(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")], local_rows=0)
+    return dt.sparkSession.range(1).select(F.lit(m1).cast("double").alias("median_delivery_days"),
+                                   F.lit(m2).cast("double").alias("median_days_between"))
 
 
 def job_names() -> list[str]:

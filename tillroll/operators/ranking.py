@@ -107,10 +107,8 @@ def ntile_global(df: DataFrame, k: int, order, name: str = "ntile",
         return df.withColumn(name, F.ntile(k).over(Window.orderBy(*_order_cols(order))).cast("long"))
     rn = "_rn_" + name
     ranked = global_row_number(df, order, rn, num_partitions, n_rows=n, local_rows=0)
-    total = ranked.agg(F.count(F.lit(1)).alias("_total"))
-    return (ranked.crossJoin(F.broadcast(total))
-                  .withColumn(name, ntile_from_rank(F.col(rn), F.col("_total"), k).cast("long"))
-                  .drop(rn, "_total"))
+    return (ranked.withColumn(name, ntile_from_rank(F.col(rn), F.lit(n), k).cast("long"))
+                  .drop(rn))
 
 
 def with_surrogate_id(df: DataFrame, order, name: str = "review_sk",
@@ -127,17 +125,14 @@ def _interpolate(lo: Column, hi: Column, frac: float) -> Column:
     return lo + (hi - lo) * F.lit(frac)
 
 
-def _percentile_by_rank(values: DataFrame, p: float, tiebreak: list) -> DataFrame:
+def _percentile_by_rank(values: DataFrame, p: float, tiebreak: list, n: int) -> DataFrame:
     """Exact fallback: number every value, keep the two neighbouring ranks."""
-    ranked = global_row_number(values, [F.col("_v")] + tiebreak, "_rank", local_rows=0)
-    stats = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    pos = (F.col("_n") - 1) * F.lit(p)
-    lo_r, hi_r = F.floor(pos) + 1, F.ceil(pos) + 1
-    picked = (ranked.crossJoin(F.broadcast(stats))
-                    .where((F.col("_rank") == lo_r) | (F.col("_rank") == hi_r))
-                    .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
-                         F.first(pos - F.floor(pos)).alias("_frac")))
-    return picked.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("value"))
+    ranked = global_row_number(values, [F.col("_v")] + tiebreak, "_rank", n_rows=n, local_rows=0)
+    pos = (n - 1) * p
+    lo_r, hi_r = math.floor(pos) + 1, math.ceil(pos) + 1
+    picked = (ranked.where(F.col("_rank").isin(lo_r, hi_r))
+                    .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    return picked.select(_interpolate(F.col("_lo"), F.col("_hi"), pos - math.floor(pos)).alias("value"))
 
 
 def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
@@ -177,7 +172,7 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
                                .limit(max_bracket_rows + 1).count())
             bracket_ok = distinct_inside <= max_bracket_rows
         if not bracket_ok:
-            return _percentile_by_rank(values, p, list(tiebreak))
+            return _percentile_by_rank(values, p, list(tiebreak), n)
     bracket = values.where(inside).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
     # Cumulative counts over the bracket's distinct values (size-checked above).
     w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -189,3 +184,8 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
 
     picked = cum.agg(at(k_lo).alias("_lo"), at(k_hi).alias("_hi"))
     return picked.select(_interpolate(F.col("_lo"), F.col("_hi"), frac).alias("value"))
+
+
+def exact_percentile_value(df: DataFrame, col: str, p: float = 0.5, tiebreak=(), **kw) -> float | None:
+    """``exact_percentile`` as a Python number (one value reaches the driver)."""
+    return exact_percentile(df, col, p, tiebreak, **kw).first()["value"]

@@ -13,7 +13,7 @@ from tillroll.functions.temporal import fractional_days, whole_days
 from tillroll.model import DELIVERED
 from tillroll.operators import materialize
 from tillroll.operators.blocks import customer_key, delivered_orders
-from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile, ntile_global
+from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile_value, ntile_global
 
 
 def orders_per_customer(orders: DataFrame, customers: DataFrame, status: str = DELIVERED) -> DataFrame:
@@ -90,8 +90,8 @@ def days_between_first_two_orders(orders: DataFrame, customers: DataFrame,
     stats = gaps.agg(exact_round(F.avg("days"), 1).alias("avg_days_between"),
                      exact_round(F.min("days"), 1).alias("min_days"),
                      exact_round(F.max("days"), 1).alias("max_days"))
-    median = exact_percentile(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")])
-    return stats.crossJoin(median.select(F.col("value").alias("median_days")))
+    median = exact_percentile_value(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")])
+    return stats.withColumn("median_days", F.lit(median).cast("double"))
 
 
 def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,
@@ -132,17 +132,19 @@ def rfm_base(orders: DataFrame, customers: DataFrame, items: DataFrame,
     """``customer_unique_id, recency_days, frequency, monetary``.
 
     The reference date defaults to the latest delivered purchase (over all
-    delivered orders, also those without items); it is a one-row frame
-    broadcast to the customer rows.  ``monetary`` keeps its exact decimal.
+    delivered orders, also those without items): one scalar, computed by a
+    global aggregate and used as a literal.  ``monetary`` keeps its exact decimal.
     """
     if ref_date is None:
-        ref = delivered_orders(orders, status).agg(F.max("order_purchase_timestamp").alias("_ref"))
-    else:
-        ref = orders.sparkSession.range(1).select(F.lit(ref_date).cast("timestamp_ntz").alias("_ref"))
+        ref_date = (delivered_orders(orders, status)
+                    .agg(F.max("order_purchase_timestamp")).first()[0])
+    if ref_date is not None and not isinstance(ref_date, str):
+        ref_date = ref_date.isoformat(sep=" ")      # zone-less wall clock, exact to the microsecond
+    ref = F.lit(ref_date).cast("timestamp_ntz")
     cr = customer_revenue(orders, customers, items, status)
-    return cr.crossJoin(F.broadcast(ref)).select(
+    return cr.select(
         "customer_unique_id",
-        whole_days("_ref", "last_purchase").alias("recency_days"),
+        whole_days(ref, "last_purchase").alias("recency_days"),
         "frequency",
         F.round("revenue", 2).alias("monetary"))
 

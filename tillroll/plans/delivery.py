@@ -14,7 +14,7 @@ from tillroll.model import DELIVERED
 from tillroll.operators import materialize
 from tillroll.operators.blocks import (delivery_times, first_item_per_order, order_review,
                                        with_category)
-from tillroll.operators.ranking import exact_percentile
+from tillroll.operators.ranking import exact_percentile_value
 
 
 
@@ -28,10 +28,10 @@ def delivery_performance(orders: DataFrame, status: str = DELIVERED) -> DataFram
                exact_round(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
                F.count_if(_late()).alias("late_orders"),
                F.avg("delay_days").alias("_avg_delay"))
-    median = exact_percentile(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")])
-    return g.crossJoin(median).select(
+    median = exact_percentile_value(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")])
+    return g.select(
         "delivered_orders", "avg_delivery_days",
-        exact_round("value", 1).alias("median_delivery_days"),
+        exact_round(F.lit(median).cast("double"), 1).alias("median_delivery_days"),
         "late_orders",
         exact_round(pct("late_orders", "delivered_orders"), 2).alias("late_rate_pct"),
         exact_round("_avg_delay", 1).alias("avg_delay_days"))
