@@ -58,3 +58,28 @@ def test_landed_tables_push_filters_and_prune_columns(spark, tmpdir_fresh):
     assert "order_approved_at" not in orders_schema             # unused columns are not read
     items_schema = [l for l in text.splitlines() if "ReadSchema" in l and "price" in l][0]
     assert "seller_id" not in items_schema
+
+
+def test_bucketed_layer_joins_orders_without_shuffle(spark, tmpdir_fresh):
+    from tillroll.sources.landing import ORDER_KEYED, register_layer
+    shop = TestShop(spark, SF001)
+    raw = f"{tmpdir_fresh}/raw"
+    tables = {**shop.all_tables(), "orders": shop.orders()}
+    for name, df in tables.items():
+        write_table(df, raw, name, bucket_by=("order_id", 4) if name in ORDER_KEYED else None,
+                    database="raw_bucketed_test")
+    # a later session only needs the catalog entries
+    register_layer(spark, raw, "raw_bucketed_again", buckets=4)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force shuffle joins
+    try:
+        for db in ("raw_bucketed_test", "raw_bucketed_again"):
+            landed = ParquetShop(spark, raw, database=db)
+            df = catalog.run_on(landed, "monthly_metrics")
+            text = plan_text(df, "simple")
+            exchanges = [l for l in text.splitlines() if "Exchange hashpartitioning" in l]
+            assert exchanges and not any("order_id" in l for l in exchanges), exchanges
+            want = catalog.run_on(shop, "monthly_metrics").collect()
+            assert sorted(map(str, df.collect())) == sorted(map(str, want))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)

@@ -28,6 +28,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "tillroll", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(master).appName(app_name)
                .config("spark.ui.enabled", "false")
+               # checkpoint files of frames that are gone are deleted by the context cleaner
+               .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", "8g"))
     for k, v in {**REQUIRED_CONF, **(extra or {})}.items():

@@ -1,8 +1,8 @@
 """Sources and sinks: CSV landing, Parquet layers, and the test-table binding."""
 
-from tillroll.sources.landing import (CSV_OPTIONS, ParquetShop, create_layers, land_all,
-                                      land_csv, publish, write_table)
+from tillroll.sources.landing import (CSV_OPTIONS, ORDER_KEYED, ParquetShop, create_layers,
+                                      land_all, land_csv, publish, register_layer, write_table)
 from tillroll.sources.testbind import TestShop
 
-__all__ = ["CSV_OPTIONS", "ParquetShop", "TestShop", "create_layers", "land_all", "land_csv",
+__all__ = ["CSV_OPTIONS", "ORDER_KEYED", "ParquetShop", "register_layer", "TestShop", "create_layers", "land_all", "land_csv",
            "publish", "write_table"]

@@ -65,12 +65,22 @@ def add_review_keys(reviews: DataFrame, name: str = "review_sk") -> DataFrame:
     return keyed.select(name, *reviews.columns)
 
 
+# Tables keyed by the order: bucketed on it (same bucket count) they join and
+# aggregate by order without any shuffle.
+ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
+
+
 def write_table(df: DataFrame, layer_dir: str, name: str, partition_by: list[str] | None = None,
-                sort_within: list[str] | None = None) -> str:
+                sort_within: list[str] | None = None, bucket_by: tuple[str, int] | None = None,
+                database: str | None = None) -> str:
     """Idempotent (re)load of one table: the previous version is replaced.
 
     ``sort_within`` clusters each output file by a key so Parquet min/max
-    statistics can skip row groups for selective filters.
+    statistics can skip row groups for selective filters.  ``bucket_by=(col, n)``
+    writes a bucketed table registered as ``database.name`` (external, at the
+    layer path): Spark then knows the hash layout and plans joins and
+    aggregations on ``col`` between tables with the same ``n`` without an
+    exchange.
     """
     out = f"{layer_dir.rstrip('/')}/{name}"
     if sort_within:
@@ -78,16 +88,50 @@ def write_table(df: DataFrame, layer_dir: str, name: str, partition_by: list[str
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(out)
+    if bucket_by:
+        col, n = bucket_by
+        db = database or RAW
+        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+        w.bucketBy(n, col).sortBy(col).option("path", out).format("parquet").saveAsTable(f"`{db}`.`{name}`")
+    else:
+        w.parquet(out)
     return out
 
 
+def register_layer(spark: SparkSession, raw_dir: str, database: str = RAW,
+                   buckets: int | None = None) -> None:
+    """Register landed tables in the catalog (a new session over an existing layer).
+
+    Only metadata is written: the order-keyed tables are declared with the
+    bucket layout they were landed with.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for t in LOAD_ORDER:
+        path = f"{raw_dir.rstrip('/')}/{t}"
+        if buckets and t in ORDER_KEYED:
+            # A bucket declaration needs the column list; it is read from the files.
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                             for f in spark.read.parquet(path).schema.fields)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{t}` ({cols}) USING parquet "
+                      f"CLUSTERED BY (order_id) SORTED BY (order_id) INTO {buckets} BUCKETS "
+                      f"LOCATION '{path}'")
+        else:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{t}` USING parquet LOCATION '{path}'")
+
+
 def land_all(spark: SparkSession, csv_dir: str, raw_dir: str,
-             file_names: dict[str, str] | None = None) -> dict[str, str]:
-    """Land every source CSV of ``csv_dir`` into ``raw_dir`` (one Parquet table each)."""
+             file_names: dict[str, str] | None = None, buckets: int | None = None,
+             database: str = RAW) -> dict[str, str]:
+    """Land every source CSV of ``csv_dir`` into ``raw_dir`` (one Parquet table each).
+
+    With ``buckets`` the order-keyed tables are bucketed by ``order_id`` and
+    registered in ``database`` (see ``write_table``).
+    """
     names = {t: TABLES[t].csv_file for t in LOAD_ORDER}
     names.update(file_names or {})
-    return {t: write_table(land_csv(spark, os.path.join(csv_dir, names[t]), t), raw_dir, t)
+    return {t: write_table(land_csv(spark, os.path.join(csv_dir, names[t]), t), raw_dir, t,
+                           bucket_by=("order_id", buckets) if buckets and t in ORDER_KEYED else None,
+                           database=database)
             for t in LOAD_ORDER}
 
 
@@ -102,13 +146,22 @@ def publish(df: DataFrame, analytics_dir: str, name: str) -> str:
 
 @dataclass
 class ParquetShop:
-    """Canonical frames over a landed ``raw`` layer (same interface as ``TestShop``)."""
+    """Canonical frames over a landed ``raw`` layer (same interface as ``TestShop``).
+
+    With ``database`` the tables are read through the catalog, which carries
+    the bucket layout of the order-keyed tables; otherwise straight from the
+    layer directory.
+    """
 
     spark: SparkSession
     raw_dir: str
+    database: str | None = None
 
     def _t(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.raw_dir.rstrip('/')}/{name}")
+        if self.database and self.spark.catalog.tableExists(name, self.database):
+            df = self.spark.table(f"`{self.database}`.`{name}`")
+        else:
+            df = self.spark.read.parquet(f"{self.raw_dir.rstrip('/')}/{name}")
         # Tables landed by the streaming loader carry their micro-batch number.
         return df.drop("_batch") if "_batch" in df.columns else df
 
