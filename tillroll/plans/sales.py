@@ -64,19 +64,18 @@ def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DEL
 
 
 def _order_category_lines(orders, items, products, translation, status) -> DataFrame:
-    """Delivered item revenue at (order, category) grain, with the order's customer.
-
-    Items meet the delivered orders first (the status filter drops the other
-    items before any dimension work; a sort-merge join on the order key at
-    scale), then get their category, and are summed per (order, category,
-    customer).  That grouping refines the order key, so when the product
-    table is broadcast it reuses the join's partitioning without a shuffle;
-    the next levels see at most one row per (order, category).
+    """Delivered item revenue at (order, category, customer) grain.
+
+    Items get their category first, then meet the delivered orders on the
+    order key; the (order, category, customer) aggregate refines that key and
+    so reuses the join's partitioning.  When the product table is too large to
+    broadcast this costs two item-grain shuffles (by product, then by order);
+    the coarser groupings after it see at most one row per (order, category).
     """
+    lines = with_category(items.select("order_id", "product_id", "price", "freight_value"),
+                          products, translation)
     d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"), "customer_id")
-    lines = items.select("order_id", "product_id", "price", "freight_value")
-    lines = lines.join(d, lines.order_id == F.col("_oid"), "inner").drop("_oid")
-    return (with_category(lines, products, translation)
+    return (lines.join(d, lines.order_id == F.col("_oid"), "inner").drop("_oid")
             .groupBy("order_id", "category", "customer_id").agg(
                 exact_sum("price").alias("rev"), F.count("price").alias("n_price"),
                 exact_sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight")))
