@@ -27,11 +27,23 @@ BATCH_COL = "_batch"
 
 
 def _previous_max(spark: SparkSession, out: str, batch_id: int, key: str) -> int:
+    """Largest key landed by earlier batches.
+
+    Keys grow with the batch number, so only the newest earlier non-empty
+    batch is read (partition pruning on the batch directory); the list of
+    batches comes from the directory names, not from the data.
+    """
     try:
-        prev = spark.read.parquet(out).where(F.col(BATCH_COL) < batch_id)
+        landed = spark.read.parquet(out)
     except AnalysisException:       # nothing landed yet
         return 0
-    return prev.agg(F.max(key)).first()[0] or 0
+    batches = sorted((r[0] for r in landed.select(BATCH_COL).distinct().collect() if r[0] < batch_id),
+                     reverse=True)
+    for b in batches:
+        top = landed.where(F.col(BATCH_COL) == b).agg(F.max(key)).first()[0]
+        if top is not None:
+            return top
+    return 0
 
 
 def _writer(table: str, out: str):
