@@ -135,24 +135,19 @@ def _percentile_by_rank(values: DataFrame, p: float, tiebreak: list, n: int) ->
     return picked.select(_interpolate(F.col("_lo"), F.col("_hi"), pos - math.floor(pos)).alias("value"))
 
 
-def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
-                     accuracy: int = 100_000, max_bracket_rows: int = 2_000_000,
-                     local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """One-row frame ``value`` = ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col)``.
-
-    NULLs are ignored; an empty input gives a NULL.  Work is distributed: the
-    only single-task steps handle the bracket around the target rank, whose
-    size is checked before it is used.
-    """
-    values = df.select(F.col(col).cast("double").alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
+def _percentile_frame(df: DataFrame, col: str, p: float, tiebreak, aggs, accuracy: int,
+                      max_bracket_rows: int, local_rows: int) -> DataFrame:
+    v = F.col(col).cast("double")
     eps = 2.0 / accuracy
-    sketch = values.agg(F.count(F.lit(1)).alias("n"),
-                        F.percentile_approx("_v", [max(0.0, p - eps), min(1.0, p + eps)],
-                                            accuracy).alias("b")).first()
-    n = sketch["n"]
-    spark = df.sparkSession
+    # Pass 1: the caller's aggregates, the non-NULL count and the quantile sketch, together.
+    first = df.agg(*aggs, F.count(v).alias("_pct_n"),
+                   F.percentile_approx(v, [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("_pct_b"))
+    row = first.first()
+    carried = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in first.schema.fields[:len(aggs)]]
+    n = row["_pct_n"]
     if not n:
-        return spark.range(1).select(F.lit(None).cast("double").alias("value"))
+        return df.sparkSession.range(1).select(*carried, F.lit(None).cast("double").alias("value"))
+    values = df.select(v.alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
     pos = (n - 1) * p
     k_lo, k_hi = math.floor(pos), math.ceil(pos)   # 0-based target ranks
     frac = pos - k_lo
@@ -160,7 +155,7 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
         # Small input (counted): the "bracket" is the whole column.
         below, inside = 0, F.lit(True)
     else:
-        lo, hi = float(sketch["b"][0]), float(sketch["b"][1])
+        lo, hi = float(row["_pct_b"][0]), float(row["_pct_b"][1])
         inside = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
         counts = values.agg(F.count_if(F.col("_v") < F.lit(lo)).alias("below"),
                             F.count_if(inside).alias("inside")).first()
@@ -172,7 +167,7 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
                                .limit(max_bracket_rows + 1).count())
             bracket_ok = distinct_inside <= max_bracket_rows
         if not bracket_ok:
-            return _percentile_by_rank(values, p, list(tiebreak), n)
+            return _percentile_by_rank(values, p, list(tiebreak), n).select(*carried, "value")
     bracket = values.where(inside).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
     # Cumulative counts over the bracket's distinct values (size-checked above).
     w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -183,7 +178,31 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
         return F.min(F.when((F.col("_start") <= k) & (F.lit(k) < F.col("_end")), F.col("_v")))
 
     picked = cum.agg(at(k_lo).alias("_lo"), at(k_hi).alias("_hi"))
-    return picked.select(_interpolate(F.col("_lo"), F.col("_hi"), frac).alias("value"))
+    return picked.select(*carried, _interpolate(F.col("_lo"), F.col("_hi"), frac).alias("value"))
+
+
+def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
+                     accuracy: int = 100_000, max_bracket_rows: int = 2_000_000,
+                     local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """One-row frame ``value`` = ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col)``.
+
+    NULLs are ignored; an empty input gives a NULL.  Work is distributed: the
+    only single-task steps handle the bracket around the target rank, whose
+    size is checked before it is used.
+    """
+    return _percentile_frame(df, col, p, tiebreak, (), accuracy, max_bracket_rows, local_rows)
+
+
+def summarize_with_percentile(df: DataFrame, aggs, col: str, p: float = 0.5, name: str = "value",
+                              tiebreak=(), accuracy: int = 100_000,
+                              max_bracket_rows: int = 2_000_000, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """One-row frame: the global aggregates ``aggs`` and ``name`` = the exact percentile of ``col``.
+
+    The aggregates ride along the percentile's first pass, so the input is read
+    once for them and the sketch together, and once more for the bracket.
+    """
+    out = _percentile_frame(df, col, p, tiebreak, list(aggs), accuracy, max_bracket_rows, local_rows)
+    return out.withColumnRenamed("value", name)
 
 
 def exact_percentile_value(df: DataFrame, col: str, p: float = 0.5, tiebreak=(), **kw) -> float | None:

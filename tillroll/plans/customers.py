@@ -13,7 +13,7 @@ from tillroll.functions.temporal import fractional_days, whole_days
 from tillroll.model import DELIVERED
 from tillroll.operators import materialize
 from tillroll.operators.blocks import customer_key, delivered_orders
-from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile_value, ntile_global
+from tillroll.operators.ranking import LOCAL_ROWS, ntile_global, summarize_with_percentile
 
 
 def orders_per_customer(orders: DataFrame, customers: DataFrame, status: str = DELIVERED) -> DataFrame:
@@ -86,12 +86,13 @@ def first_two_purchase_gaps(orders: DataFrame, customers: DataFrame, status: str
 
 def days_between_first_two_orders(orders: DataFrame, customers: DataFrame,
                                   status: str = DELIVERED) -> DataFrame:
+    # The gaps come out of two joins and two windows and are read twice: materialised once.
     gaps = materialize(first_two_purchase_gaps(orders, customers, status))
-    stats = gaps.agg(exact_round(F.avg("days"), 1).alias("avg_days_between"),
-                     exact_round(F.min("days"), 1).alias("min_days"),
-                     exact_round(F.max("days"), 1).alias("max_days"))
-    median = exact_percentile_value(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")])
-    return stats.withColumn("median_days", F.lit(median).cast("double"))
+    return summarize_with_percentile(
+        gaps, [exact_round(F.avg("days"), 1).alias("avg_days_between"),
+               exact_round(F.min("days"), 1).alias("min_days"),
+               exact_round(F.max("days"), 1).alias("max_days")],
+        "days", 0.5, "median_days", tiebreak=[F.col("customer_unique_id")])
 
 
 def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,

@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import exact_round, pct, share_of_total
 from tillroll.model import DELIVERED
-from tillroll.operators import materialize
 from tillroll.operators.blocks import (delivery_times, first_item_per_order, order_review,
                                        with_category)
-from tillroll.operators.ranking import exact_percentile_value
+from tillroll.operators.ranking import summarize_with_percentile
 
 
 
@@ -23,15 +22,21 @@ def _late():
 
 
 def delivery_performance(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
-    dt = materialize(delivery_times(orders, status))
-    g = dt.agg(F.count(F.lit(1)).alias("delivered_orders"),
-               exact_round(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
-               F.count_if(_late()).alias("late_orders"),
-               F.avg("delay_days").alias("_avg_delay"))
-    median = exact_percentile_value(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")])
-    return g.select(
+    """Counts, averages, exact median delivery time and late share, in two passes.
+
+    The averages and counts are computed in the same pass as the median's
+    quantile sketch; the second pass reads only the values around the median.
+    """
+    dt = delivery_times(orders, status)
+    s = summarize_with_percentile(
+        dt, [F.count(F.lit(1)).alias("delivered_orders"),
+             exact_round(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
+             F.count_if(_late()).alias("late_orders"),
+             F.avg("delay_days").alias("_avg_delay")],
+        "delivery_days", 0.5, "_median", tiebreak=[F.col("order_id")])
+    return s.select(
         "delivered_orders", "avg_delivery_days",
-        exact_round(F.lit(median).cast("double"), 1).alias("median_delivery_days"),
+        exact_round("_median", 1).alias("median_delivery_days"),
         "late_orders",
         exact_round(pct("late_orders", "delivered_orders"), 2).alias("late_rate_pct"),
         exact_round("_avg_delay", 1).alias("avg_delay_days"))
