@@ -64,21 +64,22 @@ def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DEL
 
 
 def _order_category_lines(orders, items, products, translation, status) -> DataFrame:
-    """Delivered item revenue at (order, category, customer) grain.
-
-    Items get their category first, then meet the delivered orders on the
-    order key; the (order, category, customer) aggregate refines that key and
-    so reuses the join's partitioning.  When the product table is too large to
-    broadcast this costs two item-grain shuffles (by product, then by order);
-    the coarser groupings after it see at most one row per (order, category).
+    """Delivered item revenue at (order, category) grain, with the order's customer.
+
+    Items get their category (broadcast when the product table is small, a
+    sort-merge join on the product otherwise, whose hot-product partitions
+    AQE can split because nothing downstream reuses that partitioning), are
+    summed per (order, category) -- the map-side partial aggregate collapses
+    an order with very many items to one row per category before the
+    shuffle -- and only then meet the delivered orders on the order key.
     """
     lines = with_category(items.select("order_id", "product_id", "price", "freight_value"),
                           products, translation)
+    per_order = lines.groupBy("order_id", "category").agg(
+        exact_sum("price").alias("rev"), F.count("price").alias("n_price"),
+        exact_sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
     d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"), "customer_id")
-    return (lines.join(d, lines.order_id == F.col("_oid"), "inner").drop("_oid")
-            .groupBy("order_id", "category", "customer_id").agg(
-                exact_sum("price").alias("rev"), F.count("price").alias("n_price"),
-                exact_sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight")))
+    return per_order.join(d, per_order.order_id == F.col("_oid"), "inner").drop("_oid")
 
 
 def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
