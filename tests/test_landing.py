@@ -33,6 +33,22 @@ def test_csv_edge_fixture(spark, tmpdir_fresh):
     assert rows["p3"].product_name_length is None
 
 
+def test_csv_without_multiline_splits(spark, tmpdir_fresh):
+    path = os.path.join(tmpdir_fresh, "customers.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("customer_id,customer_unique_id,customer_zip_code_prefix,customer_city,customer_state\n")
+        for i in range(20000):
+            f.write(f'c{i},u{i},0{i % 100},"city, {i % 7}",\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = land_csv(spark, path, "customers", multiline=False)
+        assert df.rdd.getNumPartitions() > 1
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20000 and rows[0].customer_city.startswith("city, ") and rows[0].customer_state is None
+
+
 def _canonical(shop):
     t = shop.all_tables()
     t["orders"] = shop.orders()

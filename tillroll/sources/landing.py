@@ -44,10 +44,16 @@ def create_layers(root: str) -> dict[str, str]:
     return {layer: f"{root.rstrip('/')}/{layer}" for layer in (RAW, ANALYTICS)}
 
 
-def land_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read one source CSV (file, directory or glob) with the table's declared schema."""
+def land_csv(spark: SparkSession, path: str, table: str, multiline: bool = True) -> DataFrame:
+    """Read one source CSV (file, directory or glob) with the table's declared schema.
+
+    ``multiline=False`` is for exports known to have no line breaks inside
+    quoted fields: the files are then split across tasks instead of being
+    read one task per file.
+    """
     t = TABLES[table]
-    df = spark.read.schema(t.file_schema).options(**CSV_OPTIONS).csv(path)
+    opts = {**CSV_OPTIONS, "multiLine": "true" if multiline else "false"}
+    df = spark.read.schema(t.file_schema).options(**opts).csv(path)
     if table == "order_reviews":
         df = add_review_keys(df)
     return df
@@ -121,7 +127,7 @@ def register_layer(spark: SparkSession, raw_dir: str, database: str = RAW,
 
 def land_all(spark: SparkSession, csv_dir: str, raw_dir: str,
              file_names: dict[str, str] | None = None, buckets: int | None = None,
-             database: str = RAW) -> dict[str, str]:
+             database: str = RAW, multiline: bool = True) -> dict[str, str]:
     """Land every source CSV of ``csv_dir`` into ``raw_dir`` (one Parquet table each).
 
     With ``buckets`` the order-keyed tables are bucketed by ``order_id`` and
@@ -129,7 +135,7 @@ def land_all(spark: SparkSession, csv_dir: str, raw_dir: str,
     """
     names = {t: TABLES[t].csv_file for t in LOAD_ORDER}
     names.update(file_names or {})
-    return {t: write_table(land_csv(spark, os.path.join(csv_dir, names[t]), t), raw_dir, t,
+    return {t: write_table(land_csv(spark, os.path.join(csv_dir, names[t]), t, multiline), raw_dir, t,
                            bucket_by=("order_id", buckets) if buckets and t in ORDER_KEYED else None,
                            database=database)
             for t in LOAD_ORDER}
