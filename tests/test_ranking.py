@@ -60,7 +60,7 @@ def test_exact_percentile_equals_native(spark, p, mode):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
     kw = {"local_rows": 0}
     if mode == "local":
-        kw = {}
+        kw = {"local_rows": 1_000_000}    # opt-in single-task route
     elif mode == "rank":
         kw = {"local_rows": 0, "max_bracket_rows": 0, "accuracy": 10}   # forces the rank fallback
     got = exact_percentile(df, "x", p, tiebreak=[F.col("id")], **kw).first()["value"]

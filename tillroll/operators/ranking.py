@@ -33,11 +33,11 @@ from tillroll.session import ensure_checkpoint_dir
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 
-# Inputs proven (by an exact count) to hold at most this many rows are ranked in
-# one task with the native window functions: a few tens of MB, cheaper than the
-# range shuffle and checkpoint of the distributed path.  Larger inputs always
-# take the distributed path.
-LOCAL_ROWS = 1_000_000
+# Opt-in: a caller may pass ``local_rows=n`` to rank inputs proven (by an exact
+# count) to hold at most ``n`` rows in one task with the native window
+# functions, which is cheaper for small inputs.  The default (0) always takes
+# the distributed route, so no input passes whole through a single task.
+LOCAL_ROWS = 0
 
 
 def _order_cols(order) -> list[Column]:
