@@ -17,7 +17,8 @@ def spark():
     from tillroll.session import REQUIRED_CONF, ensure_checkpoint_dir
     b = (SparkSession.builder.master("local[4]").appName("tillroll-tests")
          .config("spark.ui.enabled", "false")
-         .config("spark.sql.shuffle.partitions", "8"))
+         .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tillroll-warehouse-")))
     for k, v in REQUIRED_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
