@@ -109,7 +109,7 @@ def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
         exact_round(ratio("revenue", "n_price"), 2).alias("avg_item_price"),
         exact_round(ratio("freight", "n_freight"), 2).alias("avg_freight"),
         exact_round(share_of_total("revenue"), 2).alias("revenue_share_pct"),
-        F.dense_rank().over(Window.orderBy(F.desc_nulls_first("revenue"))).alias("revenue_rank"),
+        F.dense_rank().over(Window.orderBy(F.desc_nulls_first("revenue"))).cast("long").alias("revenue_rank"),
         F.col("revenue").alias("_raw_revenue"))
         .orderBy(F.desc_nulls_first("_raw_revenue"), "category").drop("_raw_revenue"))
 
