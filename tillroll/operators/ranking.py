@@ -44,12 +44,6 @@ def _order_cols(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def global_row_number(df: DataFrame, order, name: str = "row_number",
                       num_partitions: int | None = None, n_rows: int | None = None,
                       local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -65,8 +59,12 @@ def global_row_number(df: DataFrame, order, name: str = "row_number",
         return df.withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = _num_partitions(df, num_partitions)
-    ranked = (df.repartitionByRange(n, *cols)
+    # Without an explicit count the range shuffle uses spark.sql.shuffle.partitions
+    # and AQE may merge adjacent small ranges; merged ranges stay in order, and the
+    # checkpoint below fixes the partition ids both passes see.
+    by_range = (df.repartitionByRange(num_partitions, *cols) if num_partitions
+                else df.repartitionByRange(*cols))
+    ranked = (by_range
                 .sortWithinPartitions(*cols)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
