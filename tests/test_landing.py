@@ -113,3 +113,21 @@ def test_streaming_landing_two_batches(spark, tmpdir_fresh):
     assert rows[2].review_id == "r3"
     assert rows[0].review_comment_message == "great\nthanks"
     assert "_batch" not in landed.columns
+
+
+def test_land_all_bucketed_from_csv(spark, tmpdir_fresh):
+    src = TestShop(spark, SF001)
+    tables = _canonical(src)
+    csv_dir = os.path.join(tmpdir_fresh, "csv")
+    for name, df in tables.items():
+        fields = TABLES[name].file_schema.fields
+        out = df.select([(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(
+            "string" if f.name.endswith("_id") else f.dataType).alias(f.name) for f in fields])
+        _write_csv(out, os.path.join(csv_dir, name))
+    raw = os.path.join(tmpdir_fresh, "raw")
+    land_all(spark, csv_dir, raw, {t: t for t in LOAD_ORDER}, buckets=4, database="raw_landed_bucketed")
+    landed = ParquetShop(spark, raw, database="raw_landed_bucketed")
+    got = catalog.run_on(landed, "business_summary").collect()
+    want = catalog.run_on(src, "business_summary").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert spark.catalog.tableExists("order_items", "raw_landed_bucketed")
