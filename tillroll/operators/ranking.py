@@ -46,17 +46,20 @@ def _order_cols(order) -> list[Column]:
 
 def global_row_number(df: DataFrame, order, name: str = "row_number",
                       num_partitions: int | None = None, n_rows: int | None = None,
-                      local_rows: int = LOCAL_ROWS) -> DataFrame:
+                      local_rows: int = LOCAL_ROWS, total_name: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total ``order``.
 
     ``order`` is a list of column names or sort expressions (``F.desc(...)``,
     ``F.col(..).asc_nulls_last()``); it should end with a unique key so that
     the numbering is repeatable.  Equivalent to
     ``row_number() OVER (ORDER BY order)`` without a single-partition window.
+    ``total_name`` also adds the total row count (taken from the per-partition
+    counts, no extra pass).
     """
     cols = _order_cols(order)
     if local_rows and (n_rows if n_rows is not None else df.count()) <= local_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
+        out = df.withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
+        return out.withColumn(total_name, F.count(F.lit(1)).over(Window.partitionBy())) if total_name else out
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     # Without an explicit count the range shuffle uses spark.sql.shuffle.partitions
@@ -74,10 +77,13 @@ def global_row_number(df: DataFrame, order, name: str = "row_number",
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    return (ranked.join(F.broadcast(offsets), pid == F.col("_pid"), "inner")
-                  .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)) + 1)
-                  .drop("_mid", "_pid", "_off"))
+                   F.lit(0)).alias("_off"),
+        F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
+    out = (ranked.join(F.broadcast(offsets), pid == F.col("_pid"), "inner")
+                 .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)) + 1))
+    if total_name:
+        out = out.withColumnRenamed("_total", total_name)
+    return out.drop("_mid", "_pid", "_off", "_total")
 
 
 def ntile_from_rank(rank: Column, total: Column, k: int) -> Column:
@@ -98,15 +104,15 @@ def ntile_global(df: DataFrame, k: int, order, name: str = "ntile",
                  local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Add ``name`` = ``NTILE(k) OVER (ORDER BY order)`` (as ``long``).
 
-    Beyond ``local_rows`` rows no step holds more than one range partition.
+    No step holds more than one range partition; the row total comes with the
+    per-partition counts, so no separate counting pass is needed.
     """
-    n = n_rows if n_rows is not None else df.count()
-    if local_rows and n <= local_rows:
+    if local_rows and (n_rows if n_rows is not None else df.count()) <= local_rows:
         return df.withColumn(name, F.ntile(k).over(Window.orderBy(*_order_cols(order))).cast("long"))
-    rn = "_rn_" + name
-    ranked = global_row_number(df, order, rn, num_partitions, n_rows=n, local_rows=0)
-    return (ranked.withColumn(name, ntile_from_rank(F.col(rn), F.lit(n), k).cast("long"))
-                  .drop(rn))
+    rn, total = "_rn_" + name, "_total_" + name
+    ranked = global_row_number(df, order, rn, num_partitions, local_rows=0, total_name=total)
+    return (ranked.withColumn(name, ntile_from_rank(F.col(rn), F.col(total), k).cast("long"))
+                  .drop(rn, total))
 
 
 def with_surrogate_id(df: DataFrame, order, name: str = "review_sk",

@@ -165,9 +165,8 @@ def rfm_scores(base: DataFrame, k: int = 5, local_rows: int = LOCAL_ROWS) -> Dat
     range-partitioned unless the customer count is within ``local_rows``.
     """
     b = materialize(base)
-    n = b.count()
     for score, order in rfm_orders().items():
-        b = ntile_global(b, k, order, score, n_rows=n, local_rows=local_rows)
+        b = ntile_global(b, k, order, score, local_rows=local_rows)
     return b
 
 
