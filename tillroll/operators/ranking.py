@@ -74,11 +74,14 @@ def global_row_number(df: DataFrame, order, name: str = "row_number",
     pid = F.shiftright(F.col("_mid"), _POS_BITS)
     counts = ranked.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
     # One row per partition: the bounded table is numbered in a single task.
+    # The offset table is checkpointed too (one row per partition): without it,
+    # every later evaluation of the result would scan the whole ranking again
+    # to recount its partitions.
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_total"))
+        F.sum("_cnt").over(Window.partitionBy()).alias("_total")).checkpoint(eager=True)
     out = (ranked.join(F.broadcast(offsets), pid == F.col("_pid"), "inner")
                  .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)) + 1))
     if total_name:
