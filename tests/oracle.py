@@ -1,6 +1,5 @@
 """Differential check helpers: Spark job vs the DuckDB oracle on the same raw tables."""
 
-import math
 
 import duckdb
 import pandas as pd

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SF001
 from tillroll import catalog
 from tillroll.model import TABLES
-from tillroll.sources.landing import (CSV_OPTIONS, LOAD_ORDER, ParquetShop, create_layers,
+from tillroll.sources.landing import (LOAD_ORDER, ParquetShop, create_layers,
                                       land_all, land_csv, publish)
 from tillroll.sources.testbind import TestShop
 from tillroll.streaming import land_csv_stream
