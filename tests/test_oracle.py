@@ -3,16 +3,17 @@
 import pytest
 
 import __spark_entry__ as E
+from tillroll import catalog
 from tests.conftest import SF001, SF01
 from tests.oracle import canon, duck
 
-NAMES = list(E.queries())
+NAMES = catalog.job_names()
 # Jobs that are empty at sf0.001 (no category reaches 100 orders) are judged at sf0.01.
 AT_SF01 = {"category_delay_top10", "rfm_segment_summary", "category_revenue"}
 
 
 def test_every_job_has_an_oracle():
-    assert set(E.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", NAMES)
