@@ -9,9 +9,9 @@ A text is contaminated by a benchmark item if one of its windows of the item's l
 over 5-word shingles s, weight(s) being the letters and digits of s.
 
 1. Windows: such a window shares a shingle with the item, so the windows looked at are
-   those that line up with an item on a shared shingle (one per run of shared
-   shingles).  They are found while the shingles of a text are exploded against the
-   item shingles; nothing but these windows leaves the scan.
+   those that line up with an item on a shared shingle (one for each
+   offset between text and item).  They are found by exploding the shingle hashes of
+   the texts against the item shingles; nothing but these windows leaves the scan.
 2. SimHash: the window and the item get 64-bit fingerprints of their words.
 3. Multi-index Hamming blocks: the 64 bits are cut into RADIUS + 1 blocks; a window
    within RADIUS bits of its item equals it on a block, so joining on (item, block,
@@ -30,11 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 RADIUS = 20
 # Item shingles up to this number are broadcast (about 50 bytes each); more are shuffle-joined.
 BROADCAST_SHINGLES = 500_000
+# Windows up to this number are broadcast to the texts they lie in; more are shuffle-joined.
+BROADCAST_WINDOWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -79,20 +83,31 @@ def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, broadcast: bool) -> DataFrame:
-    """Distinct (id, text_hash, item_id, start, window) lined up on a shared shingle."""
-    anchors = (items.select("item_id", "length", F.posexplode_outer("hashes").alias("at", "h"), "hashes")
-               .select("item_id", "length", "at", "h", F.expr("IF(at > 0, hashes[at - 1], NULL)").alias("before")))
+    """Distinct (id, text_hash, item_id, start, window) lined up on a shared shingle.
+
+    Only numbers are exploded (id, hash of the text, place and hash of each shingle);
+    the words of the windows are then read from the texts that have any.
+    """
+    anchors = items.select("item_id", "length", F.posexplode_outer("hashes").alias("at", "h"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
+                       words_of(F.col(text_col)).alias("words"))
     # Outer generators: from inner ones Catalyst infers a filter on the array's size and, pushing it
     # to the scan, would split the text anew for every shingle.
-    rows = (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
-                        words_of(F.col(text_col)).alias("words"))
-            .withColumn("hashes", shingle_hashes("words"))
-            .select("id", "text_hash", "words", "hashes", F.posexplode_outer("hashes").alias("p", "h")))
-    hit = rows.join(F.broadcast(anchors) if broadcast else anchors, "h")
-    first = F.expr("p = 0 OR before IS NULL OR hashes[p - 1] <> before")        # first of its run
-    return (hit.where(first).withColumn("start", F.greatest(F.lit(0), F.expr("least(p - at, size(words) - length)")))
-            .select("id", "text_hash", "item_id", "start", F.expr("slice(words, start + 1, length)").alias("window"))
-            .distinct())
+    places = (rows.select("id", "text_hash", F.size("words").alias("n"), shingle_hashes("words").alias("hashes"))
+              .select("id", "text_hash", "n", F.posexplode_outer("hashes").alias("p", "h")))
+    hit = (places.join(F.broadcast(anchors) if broadcast else anchors, "h")
+           .select("id", "text_hash", "item_id", "length",
+                   F.expr("greatest(0, least(p - at, n - length))").alias("start")).distinct()
+           .groupBy(F.col("id").alias("of_id"), F.col("text_hash").alias("of_hash"))
+           .agg(F.collect_list(F.struct("item_id", "start", "length")).alias("hits")).checkpoint())
+    # Texts with windows: broadcast up to a bound on windows (about 40 bytes each), else shuffled.
+    n = hit.agg(F.sum(F.size("hits"))).first()[0] or 0
+    few = F.broadcast(hit) if n <= BROADCAST_WINDOWS else hit
+    same = F.col("id").eqNullSafe(F.col("of_id")) & (F.col("text_hash") == F.col("of_hash"))
+    cut = F.expr("transform(hits, x -> struct(x.item_id AS item_id, x.start AS start, "
+                 "slice(words, x.start + 1, x.length) AS window))")
+    return (rows.join(few, same).select("id", "text_hash", cut.alias("cuts"))
+            .select("id", "text_hash", F.inline_outer("cuts")).distinct())
 
 
 def similarity() -> Column:
@@ -107,6 +122,7 @@ def similarity() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, text_hash, item_id, start, similarity) of every verified window."""
+    ensure_checkpoint_dir(docs.sparkSession)
     items = item_table(benchmark, item_id, item_text)
     n = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     small = n <= BROADCAST_SHINGLES
