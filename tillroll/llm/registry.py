@@ -7,14 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tillroll.llm import bpe, decontaminate, line_quality, secrets, simhash
+from tillroll.llm import bpe, decontaminate, licenses, line_quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_line_quality": line_quality.op1_line_quality,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_stratified_shards": sharding.op4_stratified_shards,
+    "op5_license_scan": licenses.op5_license_scan,
     "op7_simhash_dedup": simhash.op7_simhash_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_stratified_shards": sharding.OP4_SQL,
+    "op5_license_scan": licenses.OP5_SQL,
+}
