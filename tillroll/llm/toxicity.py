@@ -42,7 +42,7 @@ MAX_ENTRIES = 500
 # clean texts, less two standard errors; that lower bound is the weight.
 MIN_TOXIC_TEXTS = 4
 MIN_TOXIC_SHARE = 0.005
-MIN_WEIGHT = 1.5
+MIN_WEIGHT = 1.0
 PREFIXES = range(3, 9)
 MIN_WORDS = 30
 CUT = 0.3
@@ -59,7 +59,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown
 
 _HOMOGLYPH = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "]")
 _FULL_WIDTH = re.compile("[！-～]")
-_SUBSTITUTE = re.compile(r"(?:(?<=[^\W\d_])|\b)[013457@$!]+(?=[^\W\d_])")
+_SUBSTITUTE = re.compile(r"(?<!\d)[013457@$!]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
