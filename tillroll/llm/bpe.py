@@ -33,23 +33,23 @@ CHUNK_PIECES = 30_000
 CHUNK_BYTES = 600_000
 # Pieces that a Python worker remembers; beyond it the cache starts anew.
 CACHE_PIECES = 1_000_000
-# A piece of more bytes is contracted on its own rows only, one recursive query a piece.
+# A piece of more bytes (12 bits hold its places) is contracted by a query of its own.
 LONG_BYTES = 2_000
 
-# Rows of pieces that contract in a step carry step + 1; a piece's last step is its result.
+# A row is a token t at byte p of piece w, with the next token n at byte q.  A pair's key puts its rank
+# first, then its place, so the least key of a piece is its leftmost pair of minimum rank.  Pieces that
+# contract go on with step + 1; the rows of a piece's last step are its result.
 ENCODE_SQL = """
-WITH RECURSIVE state(w, p, t, n, step) AS (
-    SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p), 0 FROM pieces
+WITH RECURSIVE state(w, p, t, q, n, step) AS (
+    SELECT w, p, t, lead(p) OVER near, lead(t) OVER near, 0 FROM pieces WINDOW near AS (PARTITION BY w ORDER BY p)
   UNION ALL (
-    WITH pairs AS (
-        SELECT s.w, s.p, s.t, s.step, m.id FROM state s LEFT JOIN merges m ON m.pair = (s.t::BIGINT << 20) | s.n),
-    best AS (
-        SELECT w, min((id::BIGINT << 32) | p) AS k FROM pairs WHERE id IS NOT NULL GROUP BY w),
+    WITH best AS (
+        SELECT s.w, min((m.id::BIGINT << 24) | (s.p << 12) | s.q) AS k
+        FROM state s JOIN merges m ON m.pair = (s.t::BIGINT << 20) | s.n GROUP BY s.w),
     placed AS (
-        SELECT q.w, q.p, q.step + 1 AS step, CASE WHEN q.p = (k & 4294967295) THEN (k >> 32)::INT ELSE q.t END AS t,
-               lag(q.p) OVER (PARTITION BY q.w ORDER BY q.p) = (k & 4294967295) AS eaten
-        FROM pairs q JOIN best USING (w))
-    SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p), step FROM placed WHERE eaten IS NOT TRUE)
+        SELECT s.w, s.p, CASE WHEN s.p = ((k >> 12) & 4095) THEN (k >> 24)::INT ELSE s.t END AS t, s.step + 1 AS step
+        FROM state s JOIN best USING (w) WHERE s.p <> (k & 4095))
+    SELECT w, p, t, lead(p) OVER near, lead(t) OVER near, step FROM placed WINDOW near AS (PARTITION BY w ORDER BY p))
 )
 SELECT w, list(t ORDER BY p) AS ids FROM state
 WHERE (w, step) IN (SELECT w, max(step) FROM state GROUP BY w) GROUP BY w ORDER BY w
@@ -90,7 +90,8 @@ class Codec:
 
     path: str
     pattern: str
-    known: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)     # piece -> (ids, decoded bytes)
+    # piece -> (little-endian 32-bit ids, bytes that they decode to)
+    known: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)
 
     def __post_init__(self):
         import duckdb
@@ -124,48 +125,52 @@ class Codec:
 
     def _encode(self, pieces: list[bytes], sql: str) -> list[np.ndarray]:
         self.db.register("pieces", self._rows([self.byte_id[np.frombuffer(b, np.uint8)] for b in pieces]))
-        ids = self.db.execute(sql).to_arrow_table()["ids"].combine_chunks()
+        ids = self.db.sql(sql).to_arrow_table()["ids"].combine_chunks()
         flat, off = ids.values.to_numpy(), ids.offsets.to_numpy()
         return [flat[a:b].astype("<u4") for a, b in zip(off[:-1], off[1:])]
 
     def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
         self.db.register("ids", self._rows(ids))
-        return [bytes.fromhex(h) for h in self.db.execute(DECODE_SQL).to_arrow_table()["hexed"].to_pylist()]
+        return [bytes.fromhex(h) for h in self.db.sql(DECODE_SQL).to_arrow_table()["hexed"].to_pylist()]
 
     def learn(self, pieces: set[str]) -> None:
         """Encode and decode the pieces that are not known yet."""
-        if len(self.known) + len(pieces) > CACHE_PIECES:
+        new = [(p, p.encode()) for p in pieces - self.known.keys()]
+        if len(self.known) + len(new) > CACHE_PIECES:
             self.known.clear()
-        new = sorted(p for p in pieces if p not in self.known)
-        whole = [p for p in new if p.encode() in self.ranks]                # a token itself: no contraction
-        rest = [p for p in new if p.encode() not in self.ranks]
-        found = [np.array([self.ranks[p.encode()]], "<u4") for p in whole]
+            new = [(p, p.encode()) for p in pieces]
+        whole = [x for x in new if x[1] in self.ranks]                      # a token itself: no contraction
+        rest = [x for x in new if x[1] not in self.ranks and len(x[1]) <= LONG_BYTES]
+        long = [x for x in new if x[1] not in self.ranks and len(x[1]) > LONG_BYTES]
+        found = [np.array([self.ranks[b]], "<u4") for _, b in whole]
         chunk: list[bytes] = []
         size = 0
-        for p in [*(p for p in rest if len(p.encode()) <= LONG_BYTES), None]:
-            if chunk and (p is None or len(chunk) == CHUNK_PIECES or size > CHUNK_BYTES):
+        for _, b in rest:
+            chunk.append(b)
+            size += len(b)
+            if len(chunk) == CHUNK_PIECES or size > CHUNK_BYTES:
                 found += self._encode(chunk, ENCODE_SQL)
                 chunk, size = [], 0
-            if p is not None:
-                chunk.append(p.encode())
-                size += len(chunk[-1])
-        long = [p for p in rest if len(p.encode()) > LONG_BYTES]
-        for p in long:
-            found += self._encode([p.encode()], ENCODE_LONG_SQL)
-        order = whole + [p for p in rest if len(p.encode()) <= LONG_BYTES] + long
+        if chunk:
+            found += self._encode(chunk, ENCODE_SQL)
+        for _, b in long:
+            found += self._encode([b], ENCODE_LONG_SQL)
+        order = whole + rest + long
         for k in range(0, len(order), CHUNK_PIECES):
             part = found[k:k + CHUNK_PIECES]
-            for p, ids, back in zip(order[k:], part, self._decode(part)):
+            for (p, _), ids, back in zip(order[k:k + CHUNK_PIECES], part, self._decode(part)):
                 self.known[p] = (ids.tobytes(), back)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Little-endian 32-bit ids and decoded bytes of every text."""
         split = [self.split(t) if t else [] for t in texts]
-        self.learn(set().union(*map(set, split)) if split else set())
-        known = self.known
+        met: set[str] = set()
+        for pieces in split:
+            met.update(pieces)
+        self.learn(met)
         out = []
         for pieces in split:
-            pairs = [known[p] for p in pieces]
+            pairs = [self.known[p] for p in pieces]
             out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
         return out
 
