@@ -60,10 +60,11 @@ def shingles(words: str, size: int = SHINGLE_WORDS) -> Column:
 
 def simhash(words: str) -> Column:
     """64-bit majority fingerprint over the hashes of the words."""
+    # the hashes are bound to a lambda's name, so they are made once and not for every bit
     return F.expr(
-        f"aggregate(transform(sequence(0, 63), b -> IF(2 * aggregate(transform({words}, x -> xxhash64(x)), 0, "
-        f"(n, h) -> n + cast(shiftrightunsigned(h, b) & 1 AS int)) > size({words}), shiftleft(1L, b), 0L)), "
-        f"0L, (a, x) -> a | x)")
+        f"element_at(transform(array(transform({words}, x -> xxhash64(x))), hs -> aggregate(transform(sequence(0, 63), "
+        f"b -> IF(2 * size(filter(hs, h -> (shiftrightunsigned(h, b) & 1L) = 1L)) > size(hs), shiftleft(1L, b), 0L)), "
+        f"0L, (a, x) -> a | x)), 1)")
 
 
 def blocks(fp: str, radius: int = RADIUS) -> Column:
