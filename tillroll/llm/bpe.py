@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.llm.arrowtools import append_columns, longs, worker_cache
 
 # Pieces encoded by one recursive query, and the bytes of all of them.
-CHUNK_PIECES = 30_000
-CHUNK_BYTES = 600_000
+CHUNK_PIECES = 60_000
+CHUNK_BYTES = 1_200_000
 # Pieces that a Python worker remembers; beyond it the cache starts anew.
 CACHE_PIECES = 1_000_000
 # A piece of more bytes (12 bits hold its places) is contracted by a query of its own.
@@ -72,8 +72,9 @@ WITH RECURSIVE state(p, t, n, alive) USING KEY (p) AS (
 )
 SELECT 0 AS w, list(t ORDER BY p) AS ids FROM state WHERE alive
 """
+# Bytes are held as text of the code points 0 to 255, which string_agg can join.
 DECODE_SQL = """
-SELECT w, coalesce(string_agg(hex(v.bytes), '' ORDER BY i.p), '') AS hexed
+SELECT w, string_agg(v.chars, '' ORDER BY i.p) AS chars
 FROM ids i JOIN vocabulary v ON v.id = i.t GROUP BY w ORDER BY w
 """
 
@@ -110,28 +111,28 @@ class Codec:
         rows = pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()),
                          "id": pa.array(merged, pa.int32())})
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()),
-                          "bytes": pa.array(list(self.ranks), pa.binary())})
+                          "chars": pa.array([b.decode("latin-1") for b in self.ranks], pa.string())})
         self.db.register("rows_in", rows)
         self.db.register("words_in", words)
         self.db.execute("CREATE TABLE merges AS SELECT (l << 20) | r AS pair, id FROM rows_in")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT id, bytes FROM words_in")
+        self.db.execute("CREATE TABLE vocabulary AS SELECT id, chars FROM words_in")
 
-    def _rows(self, values: list[np.ndarray]) -> pa.Table:
-        lens = np.fromiter(map(len, values), np.int64, len(values))
-        flat = np.concatenate(values) if values else np.zeros(0, np.int32)
+    def _table(self, name: str, flat: np.ndarray, lens: np.ndarray) -> None:
+        """Registers rows (w, p, t) of sequences that lie one after the other in ``flat``."""
         at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-        return pa.table({"w": np.repeat(np.arange(len(values), dtype=np.int32), lens),
-                         "p": at.astype(np.int32), "t": flat.astype(np.int32)})
+        self.db.register(name, pa.table({"w": np.repeat(np.arange(len(lens), dtype=np.int32), lens),
+                                         "p": at.astype(np.int32), "t": flat.astype(np.int32)}))
 
-    def _encode(self, pieces: list[bytes], sql: str) -> list[np.ndarray]:
-        self.db.register("pieces", self._rows([self.byte_id[np.frombuffer(b, np.uint8)] for b in pieces]))
+    def _encode(self, pieces: list[bytes], sql: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after the other, and the number of ids of each."""
+        flat = self.byte_id[np.frombuffer(b"".join(pieces), np.uint8)]
+        self._table("pieces", flat, np.fromiter(map(len, pieces), np.int64, len(pieces)))
         ids = self.db.sql(sql).to_arrow_table()["ids"].combine_chunks()
-        flat, off = ids.values.to_numpy(), ids.offsets.to_numpy()
-        return [flat[a:b].astype("<u4") for a, b in zip(off[:-1], off[1:])]
+        return ids.values.to_numpy(), np.diff(ids.offsets.to_numpy())
 
-    def _decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        self.db.register("ids", self._rows(ids))
-        return [bytes.fromhex(h) for h in self.db.sql(DECODE_SQL).to_arrow_table()["hexed"].to_pylist()]
+    def _decode(self, flat: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        self._table("ids", flat, lens)
+        return [c.encode("latin-1") for c in self.db.sql(DECODE_SQL).to_arrow_table()["chars"].to_pylist()]
 
     def learn(self, pieces: set[str]) -> None:
         """Encode and decode the pieces that are not known yet."""
@@ -139,27 +140,30 @@ class Codec:
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known.clear()
             new = [(p, p.encode()) for p in pieces]
-        whole = [x for x in new if x[1] in self.ranks]                      # a token itself: no contraction
-        rest = [x for x in new if x[1] not in self.ranks and len(x[1]) <= LONG_BYTES]
-        long = [x for x in new if x[1] not in self.ranks and len(x[1]) > LONG_BYTES]
-        found = [np.array([self.ranks[b]], "<u4") for _, b in whole]
-        chunk: list[bytes] = []
-        size = 0
-        for _, b in rest:
-            chunk.append(b)
-            size += len(b)
-            if len(chunk) == CHUNK_PIECES or size > CHUNK_BYTES:
-                found += self._encode(chunk, ENCODE_SQL)
-                chunk, size = [], 0
-        if chunk:
-            found += self._encode(chunk, ENCODE_SQL)
-        for _, b in long:
-            found += self._encode([b], ENCODE_LONG_SQL)
-        order = whole + rest + long
-        for k in range(0, len(order), CHUNK_PIECES):
-            part = found[k:k + CHUNK_PIECES]
-            for (p, _), ids, back in zip(order[k:k + CHUNK_PIECES], part, self._decode(part)):
-                self.known[p] = (ids.tobytes(), back)
+
+        def keep(part, flat: np.ndarray, lens: np.ndarray) -> None:
+            raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lens)).tolist()
+            begin = 0
+            for (p, _), end, back in zip(part, ends, self._decode(flat, lens)):
+                self.known[p] = (raw[begin:end], back)
+                begin = end
+
+        rest, whole, size = [], [], 0
+        for x in new:
+            if x[1] in self.ranks:                                          # a token itself: no contraction
+                whole.append(x)
+            elif len(x[1]) > LONG_BYTES:
+                keep([x], *self._encode([x[1]], ENCODE_LONG_SQL))
+            else:
+                rest.append(x)
+                size += len(x[1])
+                if len(rest) == CHUNK_PIECES or size > CHUNK_BYTES:
+                    keep(rest, *self._encode([b for _, b in rest], ENCODE_SQL))
+                    rest, size = [], 0
+        if rest:
+            keep(rest, *self._encode([b for _, b in rest], ENCODE_SQL))
+        if whole:
+            keep(whole, np.array([self.ranks[b] for _, b in whole], np.int32), np.ones(len(whole), np.int64))
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Little-endian 32-bit ids and decoded bytes of every text."""
@@ -170,8 +174,8 @@ class Codec:
         self.learn(met)
         out = []
         for pieces in split:
-            pairs = [self.known[p] for p in pieces]
-            out.append((b"".join([a for a, _ in pairs]), b"".join([b for _, b in pairs])))
+            ids, back = zip(*map(self.known.__getitem__, pieces)) if pieces else ((), ())
+            out.append((b"".join(ids), b"".join(back)))
         return out
 
 
