@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 # Text bytes handled at once inside a task; a longer text forms a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def bounded_slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -40,7 +40,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def append_columns(df: DataFrame, text_col: str, ddl: str,
-                   fn: Callable[[pa.Array], dict[str, pa.Array]]) -> DataFrame:
+                   fn: Callable[[pa.Array], dict[str, pa.Array]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``df`` plus the columns of ``ddl`` that ``fn`` derives from ``text_col``.
 
     Works slice by slice within each task, without a shuffle.  A column of ``df``
@@ -54,7 +54,7 @@ def append_columns(df: DataFrame, text_col: str, ddl: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in bounded_slices(batch, text_col):
+            for part in bounded_slices(batch, text_col, slice_bytes):
                 cols = fn(part.column(text_col))
                 passed = [n for n in part.schema.names if n not in new]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in passed] + [cols[n] for n in new],

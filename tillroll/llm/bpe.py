@@ -8,7 +8,9 @@ contracts the leftmost pair of minimum rank of every piece, and ends when no pie
 a pair left; an ordered aggregation lists the ids.  Decoding joins the ids with the
 vocabulary and concatenates the bytes by an ordered aggregation.
 
-Piece encodings are kept in a bounded cache of the Python worker.
+Piece encodings are kept in a bounded cache of the Python worker; the decoded bytes of
+a piece are kept only where they differ from it, so that a text's decoded bytes are
+those of its pieces.
 
 Edge cases: null and empty texts encode to no ids; special-token strings are ordinary
 text; repeated rows each get their own (equal) result; an empty table gives an empty
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.llm.arrowtools import append_columns, longs, worker_cache
 
 # Pieces encoded by one recursive query, and the bytes of all of them.
-CHUNK_PIECES = 60_000
-CHUNK_BYTES = 1_200_000
+CHUNK_PIECES = 40_000
+CHUNK_BYTES = 800_000
 # Pieces that a Python worker remembers; beyond it the cache starts anew.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
+# Text bytes split at once: large enough that a query has many pieces to share its cost.
+SLICE_BYTES = 4 << 20
 # A piece of more bytes (12 bits hold its places) is contracted by a query of its own.
 LONG_BYTES = 2_000
 
@@ -91,8 +95,9 @@ class Codec:
 
     path: str
     pattern: str
-    # piece -> (little-endian 32-bit ids, bytes that they decode to)
-    known: dict[str, tuple[bytes, bytes]] = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)           # piece -> little-endian 32-bit ids
+    # piece -> bytes that its ids decode to, where they are not the piece itself (a faulty rank file)
+    odd: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self):
         import duckdb
@@ -107,7 +112,7 @@ class Codec:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
         self.byte_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
         rows = pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()),
                          "id": pa.array(merged, pa.int32())})
         words = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()),
@@ -139,13 +144,16 @@ class Codec:
         new = [(p, p.encode()) for p in pieces - self.known.keys()]
         if len(self.known) + len(new) > CACHE_PIECES:
             self.known.clear()
+            self.odd.clear()
             new = [(p, p.encode()) for p in pieces]
 
         def keep(part, flat: np.ndarray, lens: np.ndarray) -> None:
             raw, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(lens)).tolist()
             begin = 0
-            for (p, _), end, back in zip(part, ends, self._decode(flat, lens)):
-                self.known[p] = (raw[begin:end], back)
+            for (p, b), end, back in zip(part, ends, self._decode(flat, lens)):
+                self.known[p] = raw[begin:end]
+                if back != b:
+                    self.odd[p] = back
                 begin = end
 
         rest, whole, size = [], [], 0
@@ -174,8 +182,9 @@ class Codec:
         self.learn(met)
         out = []
         for pieces in split:
-            ids, back = zip(*map(self.known.__getitem__, pieces)) if pieces else ((), ())
-            out.append((b"".join(ids), b"".join(back)))
+            ids = b"".join(map(self.known.__getitem__, pieces))
+            back = b"".join([self.odd.get(p) or p.encode() for p in pieces]) if self.odd else "".join(pieces).encode()
+            out.append((ids, back))
         return out
 
 
@@ -206,7 +215,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
         return {"n_tokens": longs([len(i) for i in ids]), "ids": pa.array(ids, pa.list_(pa.int32())),
                 "decoded": pa.array([b for _, b in found], pa.binary())}
 
-    return append_columns(docs, text_col, "n_tokens long, ids array<int>, decoded binary", run)
+    return append_columns(docs, text_col, "n_tokens long, ids array<int>, decoded binary", run, SLICE_BYTES)
 
 
 def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None,
@@ -219,7 +228,8 @@ def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = N
         digest = lambda i: pa.array([hashlib.sha256(f[i]).hexdigest() for f in found], pa.string())     # noqa: E731
         return {"n_tokens": longs([len(a) // 4 for a, _ in found]), "ids_sha256": digest(0), "decoded_sha256": digest(1)}
 
-    return append_columns(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return append_columns(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", run,
+                          SLICE_BYTES)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
