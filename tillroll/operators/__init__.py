@@ -1,11 +1,9 @@
 """Reusable DataFrame -> DataFrame operators."""
 
-from tillroll.operators.joins import bounded_broadcast
-from tillroll.operators.ranking import (exact_percentile, global_row_number, ntile_global,
+from tillroll.operators.ranking import (exact_percentile, global_row_number, ntile_buckets,
                                         with_surrogate_id)
 
-__all__ = ["bounded_broadcast", "exact_percentile", "global_row_number", "ntile_global",
-           "with_surrogate_id", "materialize"]
+__all__ = ["exact_percentile", "global_row_number", "ntile_buckets", "with_surrogate_id", "materialize"]
 
 
 def materialize(df):

@@ -16,11 +16,8 @@ from pyspark.sql import functions as F
 from tillroll.functions.numeric import exact_sum
 from tillroll.functions.temporal import fractional_days
 from tillroll.model import DELIVERED
-from tillroll.operators.joins import bounded_broadcast
 
 UNKNOWN_CATEGORY = "unknown"
-# A category list longer than this is joined by shuffle instead of broadcast.
-TRANSLATION_MAX_ROWS = 100_000
 
 
 def delivered_orders(orders: DataFrame, status: str = DELIVERED, *cols: str) -> DataFrame:
@@ -32,8 +29,8 @@ def delivered_orders(orders: DataFrame, status: str = DELIVERED, *cols: str) ->
 def order_revenue(items: DataFrame) -> DataFrame:
     """One row per order: item revenue, freight, item count (``order_id`` unique)."""
     return items.groupBy("order_id").agg(
-        exact_sum("price").alias("order_item_revenue"),
-        exact_sum("freight_value").alias("order_freight"),
+        exact_sum(items, "price").alias("order_item_revenue"),
+        exact_sum(items, "freight_value").alias("order_freight"),
         F.count(F.lit(1)).alias("items_count"))
 
 
@@ -52,18 +49,15 @@ def with_category(df: DataFrame, products: DataFrame, translation: DataFrame) ->
     Category = english name, else original name, else ``'unknown'`` (also
     for products missing from the catalogue).
 
-    The product table grows with the catalogue, so its join is left to the
-    planner: a broadcast when the scan statistics put it under
-    ``spark.sql.autoBroadcastJoinThreshold``, otherwise a sort-merge join whose
-    skewed partitions (a best-selling product) AQE splits at run time.  The
-    translation is a list of category names; it is broadcast only after its
-    row count is checked.  Joining the two dimensions to each other first
-    would hide the product table's size from the planner.
+    Both joins are left to the planner: a broadcast when the scan statistics (or
+    the sizes AQE measures) are under ``spark.sql.autoBroadcastJoinThreshold``,
+    otherwise a sort-merge join whose skewed partitions (a best-selling product)
+    AQE splits at run time.  Joining the two dimensions to each other first would
+    hide the product table's size from the planner.
     """
     p = products.select(F.col("product_id").alias("_p_id"), F.col("product_category_name").alias("_p_name"))
-    t = bounded_broadcast(translation.select(
-        F.col("product_category_name").alias("_t_name"),
-        F.col("product_category_name_english").alias("_t_english")), TRANSLATION_MAX_ROWS)
+    t = translation.select(F.col("product_category_name").alias("_t_name"),
+                           F.col("product_category_name_english").alias("_t_english"))
     return (df.join(p, df.product_id == F.col("_p_id"), "left")
               .join(t, F.col("_p_name") == F.col("_t_name"), "left")
               .withColumn("category", F.coalesce("_t_english", "_p_name", F.lit(UNKNOWN_CATEGORY)))

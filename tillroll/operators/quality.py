@@ -101,7 +101,7 @@ def products_without_category(products: DataFrame) -> DataFrame:
 def status_distribution(orders: DataFrame) -> DataFrame:
     """``order_status, cnt, pct`` by count, largest first."""
     g = orders.groupBy("order_status").agg(_n("cnt"))
-    return (g.select("order_status", "cnt", exact_round(share_of_total("cnt"), 2).alias("pct"))
+    return (g.select("order_status", "cnt", share_of_total("cnt", 2).alias("pct"))
              .orderBy(F.desc("cnt"), F.asc_nulls_last("order_status")))
 
 

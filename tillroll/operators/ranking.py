@@ -2,42 +2,38 @@
 
 A window with ``ORDER BY`` but no ``PARTITION BY`` (``ntile``, ``row_number``
 over a whole table) makes Spark move every row into one task.  The operators
-here compute the same numbers with range-partitioned plans:
-
+here compute the same numbers without one:
+
+``select_ranks``
+    exact order statistics of a column by radix selection: the values become
+    integer keys in the same order; the rows under the chosen prefix are counted
+    by their next 16 bits (at most 65,536 counts a target, whatever the input),
+    the digit that holds the wanted rank is appended, and so on for each digit of
+    the key range.  No sketch, no bracket that could grow with the data.
+``exact_percentile`` / ``summarize_with_percentile``
+    ``PERCENTILE_CONT`` from the one or two order statistics it interpolates.
+``ntile_buckets``
+    ``NTILE(k)`` over several metrics from their ``k - 1`` boundary rows: only
+    (value, count) pairs and the rows tied with a boundary value are shuffled.
 ``global_row_number``
-    range-partition on the (total) order, sort inside each partition, number
-    rows with ``monotonically_increasing_id`` (partition index in the upper
-    bits, position in the lower 33 bits), materialise the result with a
-    reliable ``checkpoint()`` so both passes see the same partitions, then
-    add the row counts of all earlier partitions (a table with one row per
-    partition, broadcast back).
-``ntile_global``
-    the row number mapped to ``NTILE(k)`` buckets arithmetically.
-``exact_percentile``
-    ``PERCENTILE_CONT`` over a whole column: an approximate quantile sketch
-    (bounded memory per task) brackets the target rank, one more pass counts
-    the rows below the bracket and groups the rows inside it by value, and the
-    exact order statistics are read off the (small, size-checked) bracket.  If
-    the bracket misses, or is too wide, ranks from ``global_row_number`` decide.
+    a dense number for every row: range-partition on the (total) order, sort
+    inside each partition, number rows with ``monotonically_increasing_id``
+    (partition index in the upper bits, position in the lower 33 bits),
+    materialise the result with a reliable ``checkpoint()`` so both passes see
+    the same partitions, then add the row counts of all earlier partitions.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.session import ensure_checkpoint_dir
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
-
-# Opt-in: a caller may pass ``local_rows=n`` to rank inputs proven (by an exact
-# count) to hold at most ``n`` rows in one task with the native window
-# functions, which is cheaper for small inputs.  The default (0) always takes
-# the distributed route, so no input passes whole through a single task.
-LOCAL_ROWS = 0
+_LOWEST = -(1 << 63)
 
 
 def _order_cols(order) -> list[Column]:
@@ -45,173 +41,195 @@ def _order_cols(order) -> list[Column]:
 
 
 def global_row_number(df: DataFrame, order, name: str = "row_number",
-                      num_partitions: int | None = None, n_rows: int | None = None,
-                      local_rows: int = LOCAL_ROWS, total_name: str | None = None) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Add ``name`` = 1-based position of each row in the total ``order``.
 
     ``order`` is a list of column names or sort expressions (``F.desc(...)``,
     ``F.col(..).asc_nulls_last()``); it should end with a unique key so that
     the numbering is repeatable.  Equivalent to
     ``row_number() OVER (ORDER BY order)`` without a single-partition window.
-    ``total_name`` also adds the total row count (taken from the per-partition
-    counts, no extra pass).
     """
     cols = _order_cols(order)
-    if local_rows and (n_rows if n_rows is not None else df.count()) <= local_rows:
-        out = df.withColumn(name, F.row_number().over(Window.orderBy(*cols)).cast("long"))
-        return out.withColumn(total_name, F.count(F.lit(1)).over(Window.partitionBy())) if total_name else out
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(df.sparkSession)
     # Without an explicit count the range shuffle uses spark.sql.shuffle.partitions
     # and AQE may merge adjacent small ranges; merged ranges stay in order, and the
     # checkpoint below fixes the partition ids both passes see.
     by_range = (df.repartitionByRange(num_partitions, *cols) if num_partitions
                 else df.repartitionByRange(*cols))
-    ranked = (by_range
-                .sortWithinPartitions(*cols)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
-    pid = F.shiftright(F.col("_mid"), _POS_BITS)
-    counts = ranked.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
-    # One row per partition: the bounded table is numbered in a single task.
-    # The offset table is checkpointed too (one row per partition): without it,
-    # every later evaluation of the result would scan the whole ranking again
-    # to recount its partitions.
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy()).alias("_total")).checkpoint(eager=True)
-    out = (ranked.join(F.broadcast(offsets), pid == F.col("_pid"), "inner")
-                 .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)) + 1))
-    if total_name:
-        out = out.withColumnRenamed("_total", total_name)
-    return out.drop("_mid", "_pid", "_off", "_total")
-
-
-def ntile_from_rank(rank: Column, total: Column, k: int) -> Column:
-    """``NTILE(k)`` bucket of a 1-based ``rank`` among ``total`` rows.
-
-    The first ``total mod k`` buckets get one row more than the others.
-    """
-    i = rank - 1
-    q = F.floor(total / k).cast("long")
-    r = (total % k).cast("long")
-    big = r * (q + 1)
-    return F.when(i < big, F.floor(i / (q + 1)) + 1) \
-            .otherwise(F.floor((i - big) / F.nullif(q, F.lit(0))) + r + 1).cast("int")
+    return _numbered(by_range.sortWithinPartitions(*cols), name)
 
 
-def ntile_global(df: DataFrame, k: int, order, name: str = "ntile",
-                 num_partitions: int | None = None, n_rows: int | None = None,
-                 local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Add ``name`` = ``NTILE(k) OVER (ORDER BY order)`` (as ``long``).
+def number_in_place(df: DataFrame, name: str) -> DataFrame:
+    """Add ``name`` = 1-based position of each row in the order of partitions and rows.
 
-    No step holds more than one range partition; the row total comes with the
-    per-partition counts, so no separate counting pass is needed.
+    No shuffle: for frames whose partitions are in the wanted order already.
     """
-    if local_rows and (n_rows if n_rows is not None else df.count()) <= local_rows:
-        return df.withColumn(name, F.ntile(k).over(Window.orderBy(*_order_cols(order))).cast("long"))
-    rn, total = "_rn_" + name, "_total_" + name
-    ranked = global_row_number(df, order, rn, num_partitions, local_rows=0, total_name=total)
-    return (ranked.withColumn(name, ntile_from_rank(F.col(rn), F.col(total), k).cast("long"))
-                  .drop(rn, total))
+    ensure_checkpoint_dir(df.sparkSession)
+    return _numbered(df, name)
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    ranked = df.withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pid = F.shiftright(F.col("_mid"), _POS_BITS)
+    counts = ranked.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
+    # One row per partition: the bounded table is numbered in a single task, and
+    # checkpointed, or every later evaluation would recount the whole ranking.
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off")).checkpoint(eager=True)
+    return (ranked.join(F.broadcast(offsets), pid == F.col("_pid"), "inner")
+                  .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_POS_MASK)) + 1)
+                  .drop("_mid", "_pid", "_off"))
 
 
 def with_surrogate_id(df: DataFrame, order, name: str = "review_sk",
-                      num_partitions: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+                      num_partitions: int | None = None) -> DataFrame:
     """Dense, repeatable ``BIGSERIAL``-style key 1..N following ``order``."""
-    return global_row_number(df, order, name, num_partitions, local_rows=local_rows)
+    return global_row_number(df, order, name, num_partitions)
 
 
 # ---------------------------------------------------------------------------
-# exact percentiles
-
-def _interpolate(lo: Column, hi: Column, frac: float) -> Column:
-    # PERCENTILE_CONT's linear interpolation, lo + (hi - lo) * frac.
-    return lo + (hi - lo) * F.lit(frac)
-
-
-def _percentile_by_rank(values: DataFrame, p: float, tiebreak: list, n: int) -> DataFrame:
-    """Exact fallback: number every value, keep the two neighbouring ranks."""
-    ranked = global_row_number(values, [F.col("_v")] + tiebreak, "_rank", n_rows=n, local_rows=0)
-    pos = (n - 1) * p
-    lo_r, hi_r = math.floor(pos) + 1, math.ceil(pos) + 1
-    picked = (ranked.where(F.col("_rank").isin(lo_r, hi_r))
-                    .agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
-    return picked.select(_interpolate(F.col("_lo"), F.col("_hi"), pos - math.floor(pos)).alias("value"))
-
-
-def _percentile_frame(df: DataFrame, col: str, p: float, tiebreak, aggs, accuracy: int,
-                      max_bracket_rows: int, local_rows: int) -> DataFrame:
-    v = F.col(col).cast("double")
-    eps = 2.0 / accuracy
-    # Pass 1: the caller's aggregates, the non-NULL count and the quantile sketch, together.
-    first = df.agg(*aggs, F.count(v).alias("_pct_n"),
-                   F.percentile_approx(v, [max(0.0, p - eps), min(1.0, p + eps)], accuracy).alias("_pct_b"))
-    row = first.first()
-    carried = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in first.schema.fields[:len(aggs)]]
-    n = row["_pct_n"]
-    if not n:
-        return df.sparkSession.range(1).select(*carried, F.lit(None).cast("double").alias("value"))
-    values = df.select(v.alias("_v"), *tiebreak).where(F.col("_v").isNotNull())
-    pos = (n - 1) * p
-    k_lo, k_hi = math.floor(pos), math.ceil(pos)   # 0-based target ranks
-    frac = pos - k_lo
-    if n <= local_rows:
-        # Small input (counted): the "bracket" is the whole column.
-        below, inside = 0, F.lit(True)
+# order statistics
+
+def order_key(df: DataFrame, name: str) -> Column:
+    """64-bit integer that sorts like the numeric column ``name`` (NULL stays NULL).
+
+    Integers are their own key and decimals of up to 18 digits their unscaled
+    value; doubles use their bit pattern, negative ones mirrored.
+    """
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.IntegralType):
+        return c.cast("long")
+    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
+        return (c * F.lit(10 ** kind.scale)).cast("long")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        plain = c.cast("double") + F.lit(0.0)                          # -0.0 and 0.0 are one value
+        bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), plain).cast("long")
+        return F.when(c.isNotNull(), F.when(bits >= 0, bits).otherwise(F.lit(_LOWEST) - bits - 1))
+    raise TypeError(f"{name} is {kind.simpleString()}; ranks need an integer, decimal(<=18) or double column")
+
+
+def key_span(keyed: DataFrame) -> dict[int, tuple[int, int]]:
+    """Smallest and largest ``key`` of every group ``g`` (a few numbers), without NULLs."""
+    rows = keyed.where("key is not null").groupBy("g").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+    return {r["g"]: (r["lo"], r["hi"]) for r in rows}
+
+
+def select_ranks(counts: DataFrame, targets: DataFrame, span: dict[int, tuple[int, int]]) -> DataFrame:
+    """(g, t, key, nth) for every target: the key at its rank, and the rank among the rows of that key.
+
+    ``counts`` has the distinct non-NULL ``key`` s of each group ``g`` (a small
+    integer) with their number of rows ``n``; ``targets`` a few rows (g, t, rank)
+    with ranks from 1 within the group; ``span`` the key range of each group, which
+    decides how many 16-bit digits there are.  Targets beyond the rows drop out.
+    """
+    bits = max([1, *((hi - lo).bit_length() for lo, hi in span.values())])
+    if bits > 62:                                                           # whole range: as unsigned keys
+        bits, base = 64, {}
+        to_digits = from_digits = lambda key: key.bitwiseXOR(F.lit(_LOWEST))        # noqa: E731
     else:
-        lo, hi = float(row["_pct_b"][0]), float(row["_pct_b"][1])
-        inside = (F.col("_v") >= F.lit(lo)) & (F.col("_v") <= F.lit(hi))
-        counts = values.agg(F.count_if(F.col("_v") < F.lit(lo)).alias("below"),
-                            F.count_if(inside).alias("inside")).first()
-        below, n_inside = counts["below"], counts["inside"]
-        bracket_ok = below <= k_lo and k_hi < below + n_inside
-        if bracket_ok and n_inside > max_bracket_rows:
-            # Many rows inside: fine as long as they hold few distinct values.
-            distinct_inside = (values.where(inside).select("_v").distinct()
-                               .limit(max_bracket_rows + 1).count())
-            bracket_ok = distinct_inside <= max_bracket_rows
-        if not bracket_ok:
-            return _percentile_by_rank(values, p, list(tiebreak), n).select(*carried, "value")
-    bracket = values.where(inside).groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-    # Cumulative counts over the bracket's distinct values (size-checked above).
-    w = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = bracket.withColumn("_end", F.lit(below) + F.sum("_c").over(w)) \
-                 .withColumn("_start", F.col("_end") - F.col("_c"))
-
-    def at(k: int) -> Column:
-        return F.min(F.when((F.col("_start") <= k) & (F.lit(k) < F.col("_end")), F.col("_v")))
-
-    picked = cum.agg(at(k_lo).alias("_lo"), at(k_hi).alias("_hi"))
-    return picked.select(*carried, _interpolate(F.col("_lo"), F.col("_hi"), frac).alias("value"))
-
-
-def exact_percentile(df: DataFrame, col: str, p: float = 0.5, tiebreak=(),
-                     accuracy: int = 100_000, max_bracket_rows: int = 2_000_000,
-                     local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """One-row frame ``value`` = ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col)``.
-
-    NULLs are ignored; an empty input gives a NULL.  Work is distributed: the
-    only single-task steps handle the bracket around the target rank, whose
-    size is checked before it is used.
+        base = F.lit(0).cast("long")
+        for g, (lo, _) in span.items():
+            base = F.when(F.col("g") == g, F.lit(lo).cast("long")).otherwise(base)
+        to_digits, from_digits = (lambda key: key - base), (lambda key: key + base)
+    flipped = counts.select("g", to_digits(F.col("key")).alias("u"), "n")
+    state = targets.select("g", "t", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("nth"))
+    shifts = range((bits - 1) // 16 * 16, -1, -16)
+    for shift in shifts:
+        digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(0xFFFF)).alias("digit")
+        above = F.lit(0).cast("long") if shift == shifts[0] else F.shiftrightunsigned("u", shift + 16)
+        under = flipped.select("g", above.alias("prefix"), digit, "n")
+        if shift != shifts[0]:
+            under = under.join(F.broadcast(state.select("g", "prefix").distinct()), ["g", "prefix"])  # at most one a target
+        hist = under.groupBy("g", "prefix", "digit").agg(F.sum("n").alias("n"))
+        # at most 65,536 digits a prefix
+        upto = Window.partitionBy("g", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        cum = hist.withColumn("last", F.sum("n").over(upto))
+        state = (cum.join(F.broadcast(state), ["g", "prefix"])
+                 .where((F.col("nth") <= F.col("last")) & (F.col("nth") > F.col("last") - F.col("n")))
+                 .select("g", "t", F.shiftleft("prefix", 16).bitwiseOR(F.col("digit")).alias("prefix"),
+                         (F.col("nth") - F.col("last") + F.col("n")).alias("nth")))
+    return state.select("g", "t", from_digits(F.col("prefix")).alias("key"), "nth")
+
+
+def exact_percentile(df: DataFrame, col: str, p: float = 0.5, per_unit: int | None = None) -> DataFrame:
+    """One-row frame ``value`` = ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col)`` as a double.
+
+    NULLs are ignored; an empty input gives a NULL.  The two neighbouring order
+    statistics are interpolated as lo + (hi - lo) * fraction.  ``per_unit`` says that
+    the values are whole multiples of 1 / ``per_unit`` (microseconds in days, say):
+    fewer digits then tell them apart than a double's 64 bits.
     """
-    return _percentile_frame(df, col, p, tiebreak, (), accuracy, max_bracket_rows, local_rows)
+    key = F.round(F.col(col).cast("double") * F.lit(float(per_unit))).cast("long") if per_unit else order_key(df, col)
+    keyed = df.where(F.col(col).isNotNull()).select(F.lit(0).alias("g"), key.alias("key"), F.col(col).cast("double").alias("v"))
+    counts = keyed.groupBy("g", "key").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    place = (F.col("n") - 1) * F.lit(float(p))
+    low = F.floor(place)
+    ends = F.array(F.struct(F.lit(0).alias("end"), (low + 1).alias("rank")),
+                   F.struct(F.lit(1).alias("end"), (F.ceil(place) + 1).alias("rank")))
+    targets = (counts.agg(F.sum("n").alias("n")).where("n > 0")
+               .select((place - low).alias("fraction"), F.explode(ends).alias("e"))
+               .select(F.lit(0).alias("g"), F.struct("e.end", "fraction").alias("t"), F.col("e.rank").alias("rank")))
+    found = select_ranks(counts.select("g", "key", "n"), targets, key_span(keyed))
+    values = counts.join(F.broadcast(found.select("t", F.col("key").alias("_k"))), F.col("key") == F.col("_k"))
+    lo, hi = F.min("v"), F.max("v")
+    return values.agg((lo + (hi - lo) * F.max("t.fraction")).alias("value"))
 
 
 def summarize_with_percentile(df: DataFrame, aggs, col: str, p: float = 0.5, name: str = "value",
-                              tiebreak=(), accuracy: int = 100_000,
-                              max_bracket_rows: int = 2_000_000, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """One-row frame: the global aggregates ``aggs`` and ``name`` = the exact percentile of ``col``.
+                              per_unit: int | None = None) -> DataFrame:
+    """One-row frame: the global aggregates ``aggs`` and ``name`` = the exact percentile of ``col``."""
+    return df.agg(*aggs).withColumn(name, exact_percentile(df, col, p, per_unit).scalar())
+
 
-    The aggregates ride along the percentile's first pass, so the input is read
-    once for them and the sketch together, and once more for the bracket.
+# ---------------------------------------------------------------------------
+# quantile buckets
+
+def bucket_ends(k: int) -> Column:
+    """Array of the last rank of the buckets 1..k-1 of ``NTILE(k)`` over ``n`` rows.
+
+    The first ``n mod k`` buckets get one row more than the others; buckets that
+    end where the previous one does (fewer rows than buckets) are empty.
     """
-    out = _percentile_frame(df, col, p, tiebreak, list(aggs), accuracy, max_bracket_rows, local_rows)
-    return out.withColumnRenamed("value", name)
+    return F.array(*[F.struct(F.lit(i).alias("bucket"),
+                              (F.lit(i) * F.floor(F.col("n") / k) + F.least(F.lit(i), F.col("n") % k)).alias("rank"))
+                     for i in range(1, k)])
 
 
-def exact_percentile_value(df: DataFrame, col: str, p: float = 0.5, tiebreak=(), **kw) -> float | None:
-    """``exact_percentile`` as a Python number (one value reaches the driver)."""
-    return exact_percentile(df, col, p, tiebreak, **kw).first()["value"]
+def ntile_buckets(df: DataFrame, k: int, metrics: dict[str, tuple[str, bool]], id_col: str) -> DataFrame:
+    """Add for each ``name: (column, descending)`` of ``metrics`` ``NTILE(k) OVER (ORDER BY column, id)`` as ``long``.
+
+    NULLs come last in ascending and first in descending order; ``id_col`` is
+    unique.  A row's bucket is one more than the number of boundary rows (the last
+    rows of the buckets but the last) that come before it, so the rows themselves
+    are never shuffled: the boundary values come from ``select_ranks`` over (value,
+    count) pairs, and only ids tied with a boundary value are ordered to find the
+    boundary ids, all metrics in one pass.
+    """
+    names = list(metrics)
+    keys = [-order_key(df, c) if descending else order_key(df, c) for c, descending in metrics.values()]
+    raw = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[
+        F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")).select("id", "m.*")
+    span = key_span(raw)
+    for g, (_, descending) in enumerate(metrics.values()):                  # NULL becomes the next key outside
+        lo, hi = span.get(g, (0, 0))
+        keys[g] = F.coalesce(keys[g], F.lit(lo - 1 if descending else hi + 1).cast("long"))
+        span[g] = (lo - 1, hi) if descending else (lo, hi + 1)
+    keyed = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[
+        F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")).select("id", "m.*")
+    counts = keyed.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n"))
+    targets = (counts.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.explode(bucket_ends(k)).alias("e"))
+               .where("e.rank > 0").select("g", F.col("e.bucket").alias("t"), F.col("e.rank").alias("rank")))
+    ensure_checkpoint_dir(df.sparkSession)
+    ends = select_ranks(counts, targets, span).checkpoint(eager=True)       # at most k - 1 rows a metric
+    tied = keyed.join(F.broadcast(ends.select("g", "key").distinct()), ["g", "key"])
+    ranked = global_row_number(tied, ["g", "key", "id"], "place")
+    first = ranked.groupBy("g", "key").agg((F.min("place") - 1).alias("before"))
+    at = ends.join(first, ["g", "key"]).select("g", (F.col("before") + F.col("nth")).alias("place"))
+    rows = ranked.join(F.broadcast(at), ["g", "place"]).select("g", "key", "id")
+    lists = rows.agg(F.struct(*[F.array_sort(F.collect_set(F.when(F.col("g") == g, F.struct("key", "id")))).alias(m)
+                                for g, m in enumerate(names)]))
+    out = df.withColumn("_ends", lists.scalar())
+    row = [F.struct(key.alias("key"), F.col(id_col).alias("id")) for key in keys]
+    return out.select(*df.columns, *[
+        sum((F.when(F.get(F.col("_ends")[m], F.lit(i)) < row[g], F.lit(1)).otherwise(F.lit(0)) for i in range(k - 1)),
+            F.lit(1)).cast("long").alias(m) for g, m in enumerate(names)])

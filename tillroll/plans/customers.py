@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import exact_round, exact_sum, pct, ratio, share_of_total
-from tillroll.functions.temporal import fractional_days, whole_days
+from tillroll.functions.temporal import MICROS_PER_DAY, fractional_days, whole_days
 from tillroll.model import DELIVERED
 from tillroll.operators import materialize
 from tillroll.operators.blocks import customer_key, delivered_orders
-from tillroll.operators.ranking import LOCAL_ROWS, ntile_global, summarize_with_percentile
+from tillroll.operators.ranking import ntile_buckets, summarize_with_percentile
 
 
 def orders_per_customer(orders: DataFrame, customers: DataFrame, status: str = DELIVERED) -> DataFrame:
@@ -36,8 +36,8 @@ def repeat_customer_metrics(orders: DataFrame, customers: DataFrame, status: str
                 F.max("orders_count").alias("max_orders_single_customer"))
     return g.select(
         "total_customers", "repeat_customers",
-        exact_round(pct("repeat_customers", "total_customers"), 2).alias("repeat_rate_pct"),
-        exact_round(ratio("_orders", "total_customers"), 3).alias("avg_orders_per_customer"),
+        pct("repeat_customers", "total_customers", 2).alias("repeat_rate_pct"),
+        ratio("_orders", "total_customers", 3).alias("avg_orders_per_customer"),
         "max_orders_single_customer")
 
 
@@ -47,7 +47,7 @@ def orders_per_customer_distribution(orders: DataFrame, customers: DataFrame,
     opc = orders_per_customer(orders, customers, status)
     h = opc.groupBy("orders_count").agg(F.count(F.lit(1)).alias("customers"))
     return (h.select("orders_count", "customers",
-                     exact_round(share_of_total("customers"), 2).alias("pct"))
+                     share_of_total("customers", 2).alias("pct"))
              .orderBy(F.asc_nulls_last("orders_count")))
 
 
@@ -92,7 +92,7 @@ def days_between_first_two_orders(orders: DataFrame, customers: DataFrame,
         gaps, [exact_round(F.avg("days"), 1).alias("avg_days_between"),
                exact_round(F.min("days"), 1).alias("min_days"),
                exact_round(F.max("days"), 1).alias("max_days")],
-        "days", 0.5, "median_days", tiebreak=[F.col("customer_unique_id")])
+        "days", 0.5, "median_days", per_unit=MICROS_PER_DAY)
 
 
 def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,
@@ -103,7 +103,7 @@ def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,
     accounts mapped to customers.  Every join input is at most one row per
     key, so no join partition can be dominated by one hot key.
     """
-    rev = items.groupBy("order_id").agg(exact_sum("price").alias("rev"))
+    rev = items.groupBy("order_id").agg(exact_sum(items, "price").alias("rev"))
     d = delivered_orders(orders, status).select(
         F.col("order_id").alias("_oid"), "customer_id", "order_purchase_timestamp")
     per_account = (d.join(rev, F.col("_oid") == rev.order_id, "inner")
@@ -133,15 +133,14 @@ def rfm_base(orders: DataFrame, customers: DataFrame, items: DataFrame,
     """``customer_unique_id, recency_days, frequency, monetary``.
 
     The reference date defaults to the latest delivered purchase (over all
-    delivered orders, also those without items): one scalar, computed by a
-    global aggregate and used as a literal.  ``monetary`` keeps its exact decimal.
+    delivered orders, also those without items): a scalar subquery.  ``monetary`` keeps its exact decimal.
     """
     if ref_date is None:
-        ref_date = (delivered_orders(orders, status)
-                    .agg(F.max("order_purchase_timestamp")).first()[0])
-    if ref_date is not None and not isinstance(ref_date, str):
-        ref_date = ref_date.isoformat(sep=" ")      # zone-less wall clock, exact to the microsecond
-    ref = F.lit(ref_date).cast("timestamp_ntz")
+        ref = (delivered_orders(orders, status)
+               .agg(F.max("order_purchase_timestamp").cast("timestamp_ntz")).scalar())
+    else:
+        text = ref_date if isinstance(ref_date, str) else ref_date.isoformat(sep=" ")
+        ref = F.lit(text).cast("timestamp_ntz")         # zone-less wall clock, exact to the microsecond
     cr = customer_revenue(orders, customers, items, status)
     return cr.select(
         "customer_unique_id",
@@ -152,22 +151,18 @@ def rfm_base(orders: DataFrame, customers: DataFrame, items: DataFrame,
 
 # Quintile orderings: 5 is best (recent, frequent, high spend).  The customer id
 # is the final key so that the many tied customers split repeatably.
-def rfm_orders() -> dict[str, list]:
-    return {"r_score": [F.desc_nulls_first("recency_days"), F.asc("customer_unique_id")],
-            "f_score": [F.asc_nulls_last("frequency"), F.asc("customer_unique_id")],
-            "m_score": [F.asc_nulls_last("monetary"), F.asc("customer_unique_id")]}
+# Score -> (metric, descending).
+RFM_ORDER = {"r_score": ("recency_days", True), "f_score": ("frequency", False), "m_score": ("monetary", False)}
 
 
-def rfm_scores(base: DataFrame, k: int = 5, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Add ``r_score, f_score, m_score`` = global ``NTILE(k)`` over each metric.
+def rfm_scores(base: DataFrame, k: int = 5, scores: tuple[str, ...] = tuple(RFM_ORDER)) -> DataFrame:
+    """Add ``scores`` (by default ``r_score, f_score, m_score``) = ``NTILE(k)`` over each metric.
 
-    The base is materialised once (three rankings read it); each ranking is
-    range-partitioned unless the customer count is within ``local_rows``.
+    The base is materialised once; the scores come from the boundary rows of the
+    buckets, so no customer row is shuffled for them.
     """
-    b = materialize(base)
-    for score, order in rfm_orders().items():
-        b = ntile_global(b, k, order, score, local_rows=local_rows)
-    return b
+    b = materialize(base.withColumn("monetary", F.col("monetary").cast("decimal(18,2)")))
+    return ntile_buckets(b, k, {s: RFM_ORDER[s] for s in scores}, "customer_unique_id")
 
 
 # Segment rules, checked in this order (the F score is not used).
@@ -195,9 +190,9 @@ def rfm_segment_summary(segments: DataFrame) -> DataFrame:
         F.sum("recency_days").alias("_r"), F.count("recency_days").alias("_rn"))
     return (g.select(
         "segment", "customers",
-        exact_round(share_of_total("customers"), 2).alias("pct_customers"),
-        exact_round(ratio("_m", "_mn"), 2).alias("avg_revenue_per_customer"),
-        exact_round(ratio("_f", "_fn"), 2).alias("avg_orders"),
-        exact_round(ratio("_r", "_rn"), 0).alias("avg_recency_days"),
+        share_of_total("customers", 2).alias("pct_customers"),
+        ratio("_m", "_mn", 2).alias("avg_revenue_per_customer"),
+        ratio("_f", "_fn", 2).alias("avg_orders"),
+        ratio("_r", "_rn", 0).alias("avg_recency_days"),
         exact_round("_m", 2).alias("total_revenue"))
         .orderBy(F.desc_nulls_first("total_revenue"), "segment"))

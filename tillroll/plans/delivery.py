@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import exact_round, pct, share_of_total
+from tillroll.functions.temporal import MICROS_PER_DAY
 from tillroll.model import DELIVERED
+from tillroll.operators import materialize
 from tillroll.operators.blocks import (delivery_times, first_item_per_order, order_review,
                                        with_category)
 from tillroll.operators.ranking import summarize_with_percentile
@@ -22,23 +24,23 @@ def _late():
 
 
 def delivery_performance(orders: DataFrame, status: str = DELIVERED) -> DataFrame:
-    """Counts, averages, exact median delivery time and late share, in two passes.
+    """Counts, averages, exact median delivery time and late share.
 
-    The averages and counts are computed in the same pass as the median's
-    quantile sketch; the second pass reads only the values around the median.
+    The two numbers of each order are materialised once; the aggregates and the
+    median's selection read them from there.
     """
-    dt = delivery_times(orders, status)
+    dt = materialize(delivery_times(orders, status).select("delivery_days", "delay_days"))
     s = summarize_with_percentile(
         dt, [F.count(F.lit(1)).alias("delivered_orders"),
              exact_round(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
              F.count_if(_late()).alias("late_orders"),
              F.avg("delay_days").alias("_avg_delay")],
-        "delivery_days", 0.5, "_median", tiebreak=[F.col("order_id")])
+        "delivery_days", 0.5, "_median", per_unit=MICROS_PER_DAY)
     return s.select(
         "delivered_orders", "avg_delivery_days",
         exact_round("_median", 1).alias("median_delivery_days"),
         "late_orders",
-        exact_round(pct("late_orders", "delivered_orders"), 2).alias("late_rate_pct"),
+        pct("late_orders", "delivered_orders", 2).alias("late_rate_pct"),
         exact_round("_avg_delay", 1).alias("avg_delay_days"))
 
 
@@ -57,7 +59,7 @@ def review_score_by_delivery_group(orders: DataFrame, reviews: DataFrame,
         F.count(F.lit(1)).alias("orders"),
         exact_round(F.avg("review_score"), 3).alias("avg_review_score"))
     return (g.select("delivery_group", "orders", "avg_review_score",
-                     exact_round(share_of_total("orders"), 2).alias("pct_of_orders"))
+                     share_of_total("orders", 2).alias("pct_of_orders"))
              .orderBy(F.desc_nulls_first("avg_review_score"), "delivery_group"))
 
 
@@ -104,5 +106,5 @@ def category_delay_top10(orders: DataFrame, items: DataFrame, products: DataFram
         F.count_if(_late()).alias("_late"))
     return (g.where(F.col("orders") >= min_orders)
              .select("category", "orders", "avg_delay_days",
-                     exact_round(pct("_late", "orders"), 2).alias("late_rate_pct"))
+                     pct("_late", "orders", 2).alias("late_rate_pct"))
              .orderBy(F.desc_nulls_first("avg_delay_days"), "category").limit(n))

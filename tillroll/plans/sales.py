@@ -45,18 +45,18 @@ def monthly_metrics(orders: DataFrame, items: DataFrame, status: str = DELIVERED
     return (m.select(
         "order_month", "orders_count", "customers_count",
         exact_round("revenue", 2).alias("revenue"),
-        exact_round(ratio("revenue", "orders_count"), 2).alias("avg_order_value"),
-        exact_round(ratio("total_items", "orders_count"), 2).alias("avg_items_per_order"),
-        exact_round(ratio("total_freight", "orders_count"), 2).alias("avg_freight_per_order"),
-        exact_round(pct(F.col("revenue") - prev_rev, prev_rev), 2).alias("revenue_mom_pct"),
-        exact_round(pct(F.col("orders_count") - prev_cnt, prev_cnt), 2).alias("orders_mom_pct"))
+        ratio("revenue", "orders_count", 2).alias("avg_order_value"),
+        ratio("total_items", "orders_count", 2).alias("avg_items_per_order"),
+        ratio("total_freight", "orders_count", 2).alias("avg_freight_per_order"),
+        pct(F.col("revenue") - prev_rev, prev_rev, 2).alias("revenue_mom_pct"),
+        pct(F.col("orders_count") - prev_cnt, prev_cnt, 2).alias("orders_mom_pct"))
         .orderBy(F.asc_nulls_last("order_month")))
 
 
 def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DELIVERED) -> DataFrame:
     """Chart data: ``order_month, orders_count, revenue``."""
     joined = _delivered_month(orders, status).join(
-        items.groupBy("order_id").agg(exact_sum("price").alias("revenue")), "order_id")
+        items.groupBy("order_id").agg(exact_sum(items, "price").alias("revenue")), "order_id")
     return (joined.groupBy("order_month")
                   .agg(F.count(F.lit(1)).alias("orders_count"),
                        exact_round(F.sum("revenue"), 2).alias("revenue"))
@@ -76,8 +76,8 @@ def _order_category_lines(orders, items, products, translation, status) -> DataF
     lines = with_category(items.select("order_id", "product_id", "price", "freight_value"),
                           products, translation)
     per_order = lines.groupBy("order_id", "category").agg(
-        exact_sum("price").alias("rev"), F.count("price").alias("n_price"),
-        exact_sum("freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
+        exact_sum(lines, "price").alias("rev"), F.count("price").alias("n_price"),
+        exact_sum(lines, "freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
     d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"), "customer_id")
     return per_order.join(d, per_order.order_id == F.col("_oid"), "inner").drop("_oid")
 
@@ -105,10 +105,10 @@ def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
         "category",
         exact_round("revenue", 2).alias("revenue"),
         "orders_count", "customers_count",
-        exact_round(ratio("revenue", "orders_count"), 2).alias("avg_order_value"),
-        exact_round(ratio("revenue", "n_price"), 2).alias("avg_item_price"),
-        exact_round(ratio("freight", "n_freight"), 2).alias("avg_freight"),
-        exact_round(share_of_total("revenue"), 2).alias("revenue_share_pct"),
+        ratio("revenue", "orders_count", 2).alias("avg_order_value"),
+        ratio("revenue", "n_price", 2).alias("avg_item_price"),
+        ratio("freight", "n_freight", 2).alias("avg_freight"),
+        share_of_total("revenue", 2).alias("revenue_share_pct"),
         F.dense_rank().over(Window.orderBy(F.desc_nulls_first("revenue"))).cast("long").alias("revenue_rank"),
         F.col("revenue").alias("_raw_revenue"))
         .orderBy(F.desc_nulls_first("_raw_revenue"), "category").drop("_raw_revenue"))

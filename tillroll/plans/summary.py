@@ -22,7 +22,7 @@ def business_summary(orders: DataFrame, customers: DataFrame, items: DataFrame,
     """
     d = delivered_orders(orders, status).select(
         "order_id", "customer_id", "order_delivered_customer_date", "order_estimated_delivery_date")
-    rev = items.groupBy("order_id").agg(exact_sum("price").alias("rev"), F.count(F.lit(1)).alias("_n_items"))
+    rev = items.groupBy("order_id").agg(exact_sum(items, "price").alias("rev"), F.count(F.lit(1)).alias("_n_items"))
     score = reviews.groupBy("order_id").agg(F.avg(F.col("review_score").cast("double")).alias("score"))
     # Order grain: the three inputs share the order key, so they meet in one co-partitioned join.
     j = d.join(rev, "order_id", "left").join(score, "order_id", "left")
@@ -54,7 +54,7 @@ def business_summary(orders: DataFrame, customers: DataFrame, items: DataFrame,
         exact_round("rev", 2).alias("total_revenue"),
         F.coalesce("orders", F.lit(0)).alias("delivered_orders"),
         F.col("customers").alias("unique_customers"),
-        exact_round(ratio("rev", "orders"), 2).alias("avg_order_value"),
-        exact_round(pct("repeat", "all_customers"), 2).alias("repeat_purchase_rate_pct"),
-        exact_round(pct("late", "dated"), 2).alias("late_delivery_rate_pct"),
+        ratio("rev", "orders", 2).alias("avg_order_value"),
+        pct("repeat", "all_customers", 2).alias("repeat_purchase_rate_pct"),
+        pct("late", "dated", 2).alias("late_delivery_rate_pct"),
         exact_round(F.col("score_sum") / F.nullif(F.col("score_n"), F.lit(0)), 3).alias("avg_review_score"))
