@@ -85,6 +85,29 @@ SMALL = {
     "order_reviews": [],
 }
 
+# A small export with sound keys, and one that breaks every key.
+KEYED = {
+    "customers": [dict(customer_id="c1", customer_unique_id="u1")],
+    "orders": [_o("o1", "c1", "delivered", dt(2018, 1, 1), dt(2018, 1, 5), dt(2018, 1, 6))],
+    "order_items": [_i("o1", 1, "p1", "10.00", "1.00"), _i("o1", 2, "p1", "5.00", "1.00")],
+    "products": [dict(product_id="p1", product_category_name="cat_a")],
+    "product_category_translation": [dict(product_category_name="cat_a", product_category_name_english="A")],
+    "order_payments": [dict(order_id="o1", payment_sequential=1, payment_type="card", payment_installments=1,
+                            payment_value=D("16.00"))],
+    "order_reviews": [_r(1, "r1", "o1", 5)],
+}
+BROKEN = {
+    "customers": [dict(customer_id="c1", customer_unique_id="u1")] * 2 + [dict(customer_id="c2", customer_unique_id=None)],
+    "orders": [_o("o1", "c1", "delivered", dt(2018, 1, 1), dt(2018, 1, 5), dt(2018, 1, 6)),
+               _o("o1", "c1", "shipped", dt(2018, 1, 2)), _o("o2", "c9", "shipped", dt(2018, 1, 2))],
+    "order_items": [_i("o1", 1, "p1", "10.00", "1.00"), _i("o1", 1, "p1", "0.00", "-1.00"), _i("o9", 1, "p9", "5.00", "1.00")],
+    "products": [dict(product_id="p1", product_category_name="cat_a")] * 2,
+    "product_category_translation": [dict(product_category_name="cat_a", product_category_name_english="A")] * 3,
+    "order_payments": [dict(order_id=o, payment_sequential=1, payment_type="card", payment_installments=1,
+                            payment_value=D(v)) for o, v in [("o1", "16.00"), ("o1", "0.00"), ("o9", "1.00")]],
+    "order_reviews": [_r(1, "r1", "o1", 5), _r(1, "r1", "o1", 4), _r(2, "r3", "o9", 1)],
+}
+
 
 def spark_frames(spark, data):
     out = {}
@@ -145,3 +168,6 @@ class FrameShop:
 
     def translation(self):
         return self.f["product_category_translation"]
+
+    def all_tables(self):
+        return self.f

@@ -4,12 +4,14 @@ of the semantics that the SQL version could get wrong in the same way."""
 import duckdb
 import pytest
 
-from tests.edge_data import EMPTY, MIXED, SMALL, FrameShop, duck_tables, spark_frames
+from tests.edge_data import BROKEN, EMPTY, MIXED, SMALL, FrameShop, duck_tables, spark_frames
 from tests.oracle import canon
 from tillroll import catalog
 from tillroll.oracle_sql import oracle_bodies
 
-DATASETS = {"mixed": MIXED, "empty": EMPTY, "small": SMALL}
+DATASETS = {"mixed": MIXED, "empty": EMPTY, "small": SMALL, "broken": BROKEN}
+# Keys are broken on purpose in "broken": only the checks that look for that run on it.
+CHECKS = [n for n in catalog.job_names() if n.startswith(("dq_", "check_"))]
 _cache = {}
 
 
@@ -26,8 +28,8 @@ def _run(spark, key, name):
     return catalog.run_on(FrameShop(frames), name)
 
 
-@pytest.mark.parametrize("key", list(DATASETS))
-@pytest.mark.parametrize("name", catalog.job_names())
+@pytest.mark.parametrize("key, name", [(k, n) for k in DATASETS for n in catalog.job_names()
+                                       if k != "broken" or n in CHECKS])
 def test_edge_matches_sql(spark, key, name):
     frames, con = _frames(spark, key)
     got = catalog.run_on(FrameShop(frames), name).toPandas()
@@ -97,3 +99,9 @@ def test_first_two_orders_tie_break(spark):
     r = _rows(_run(spark, "mixed", "days_between_first_two_orders"))[0]
     # u1 has o1 and o9 at the same instant, then o2: the first two are o1/o9 -> 0 days.
     assert r["min_days"] == 0.0
+
+
+@pytest.mark.parametrize("name", [n for n in CHECKS if n.startswith(("check_", "dq_duplicate_"))])
+def test_broken_keys_are_found(spark, name):
+    rows = _rows(_run(spark, "broken", name))
+    assert rows, name

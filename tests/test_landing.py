@@ -1,14 +1,18 @@
 """CSV landing (PostgreSQL COPY rules), Parquet layers, surrogate keys, streaming landing."""
 
 import os
+import subprocess
+import sys
 
+import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import SF001
+from tests.conftest import ROOT, SF001
+from tests.edge_data import BROKEN, KEYED, spark_frames
 from tillroll import catalog
 from tillroll.model import TABLES
-from tillroll.sources.landing import (LOAD_ORDER, ParquetShop, create_layers,
-                                      land_all, land_csv, publish)
+from tillroll.sources.landing import (LOAD_ORDER, LandingError, ParquetShop, create_layers, land_all, land_csv,
+                                      publish, register_table, write_table)
 from tillroll.sources.testbind import TestShop
 from tillroll.streaming import land_csv_stream
 
@@ -75,8 +79,8 @@ def test_land_all_round_trip(spark, tmpdir_fresh):
             "string" if f.name.endswith("_id") else f.dataType).alias(f.name) for f in fields])
         _write_csv(out, os.path.join(csv_dir, name))
         names[name] = name
-    layers = create_layers(os.path.join(tmpdir_fresh, "warehouse"))
-    land_all(spark, csv_dir, layers["raw"], names)
+    layers = create_layers(spark, os.path.join(tmpdir_fresh, "warehouse"))
+    land_all(spark, csv_dir, layers["raw"], names, check_keys=False)
     landed = ParquetShop(spark, layers["raw"])
     for name in LOAD_ORDER:
         a = landed.all_tables()[name]
@@ -125,9 +129,103 @@ def test_land_all_bucketed_from_csv(spark, tmpdir_fresh):
             "string" if f.name.endswith("_id") else f.dataType).alias(f.name) for f in fields])
         _write_csv(out, os.path.join(csv_dir, name))
     raw = os.path.join(tmpdir_fresh, "raw")
-    land_all(spark, csv_dir, raw, {t: t for t in LOAD_ORDER}, buckets=4, database="raw_landed_bucketed")
+    land_all(spark, csv_dir, raw, {t: t for t in LOAD_ORDER}, buckets=4, database="raw_landed_bucketed",
+             check_keys=False)
     landed = ParquetShop(spark, raw, database="raw_landed_bucketed")
     got = catalog.run_on(landed, "business_summary").collect()
     want = catalog.run_on(src, "business_summary").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
     assert spark.catalog.tableExists("order_items", "raw_landed_bucketed")
+
+
+REVIEW_HEADER = ("review_id,order_id,review_score,review_comment_title,review_comment_message,"
+                 "review_creation_date,review_answer_timestamp\n")
+
+
+def _reviews(folder, name, ids):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write(REVIEW_HEADER + "".join(f'{i},o,5,,"a\nb",2018-01-01 10:00:00,\n' for i in ids))
+
+
+def test_review_keys_follow_file_and_place(spark, tmpdir_fresh):
+    _reviews(tmpdir_fresh, "a.csv", ["a0"])
+    _reviews(tmpdir_fresh, "b.csv", [f"b{i}" for i in range(40)])          # the larger file is read first
+    _reviews(tmpdir_fresh, "c.csv", ["c0", "c1"])
+    got = {r.review_sk: r.review_id for r in land_csv(spark, tmpdir_fresh, "order_reviews").collect()}
+    want = ["a0", *[f"b{i}" for i in range(40)], "c0", "c1"]
+    assert got == {k + 1: v for k, v in enumerate(want)}
+
+
+def test_registering_again_moves_the_table(spark, tmpdir_fresh):
+    for name, n in (("one", 3), ("two", 5)):
+        spark.range(n).write.parquet(f"{tmpdir_fresh}/{name}")
+        register_table(spark, f"{tmpdir_fresh}/{name}", "raw_moved", "t")
+        assert spark.table("raw_moved.t").count() == n
+    spark.range(2).write.mode("overwrite").saveAsTable("raw_moved.managed")
+    with pytest.raises(ValueError):
+        register_table(spark, f"{tmpdir_fresh}/one", "raw_moved", "managed")
+
+
+def test_bucketed_write_has_one_file_a_bucket(spark, tmpdir_fresh):
+    df = spark.range(0, 5000, 1, 16).select(F.col("id").alias("order_id"))
+    out = write_table(df, tmpdir_fresh, "orders", bucket_by=("order_id", 8), database="raw_files")
+    assert len([f for f in os.listdir(out) if f.endswith(".parquet")]) == 8
+    assert spark.table("raw_files.orders").count() == 5000
+
+
+def test_layers_are_created(spark, tmpdir_fresh):
+    layers = create_layers(spark, f"{tmpdir_fresh}/shop")
+    assert all(os.path.isdir(p) for p in layers.values())
+
+
+def test_failed_write_keeps_the_old_table(spark, tmpdir_fresh):
+    write_table(spark.range(3), tmpdir_fresh, "t")
+    bad = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception):
+        write_table(bad, tmpdir_fresh, "t")
+    assert spark.read.parquet(f"{tmpdir_fresh}/t").count() == 3
+
+
+def test_load_with_broken_keys_replaces_nothing(spark, tmpdir_fresh):
+    frames = spark_frames(spark, KEYED)
+    csv_dir, raw = os.path.join(tmpdir_fresh, "csv"), os.path.join(tmpdir_fresh, "raw")
+    for name, df in frames.items():
+        _write_csv(df.select(*TABLES[name].file_schema.names), os.path.join(csv_dir, name))
+    names = {t: t for t in LOAD_ORDER}
+    land_all(spark, csv_dir, raw, names)
+    before = {t: ParquetShop(spark, raw).all_tables()[t].count() for t in LOAD_ORDER}
+    for name, df in spark_frames(spark, BROKEN).items():
+        _write_csv(df.select(*TABLES[name].file_schema.names), os.path.join(csv_dir, name))
+    with pytest.raises(LandingError) as e:
+        land_all(spark, csv_dir, raw, names)
+    said = str(e.value)
+    for part in ("customers: customer_id", "orders: order_id", "products: product_id", "order_payments: order_id",
+                 "product_category_translation: product_category_name", "orders.customer_id", "order_items.order_id",
+                 "order_items.product_id", "order_payments.order_id", "customer_unique_id is NULL"):
+        assert part in said, part
+    assert {t: ParquetShop(spark, raw).all_tables()[t].count() for t in LOAD_ORDER} == before
+    assert not [f for f in os.listdir(tmpdir_fresh) if "__new" in f]
+
+
+def test_stream_goes_on_in_a_new_session(tmpdir_fresh):
+    """Two contexts, no checkpoint given: the second lands only what is new."""
+    code = """
+import sys
+from tillroll.session import build_session
+from tillroll.streaming import land_csv_stream
+spark = build_session("local[2]", 2, extra={"spark.checkpoint.dir": sys.argv[1] + "/ckpt"})
+for _ in range(int(sys.argv[2])):
+    land_csv_stream(spark, "order_reviews", sys.argv[1] + "/inbox", sys.argv[1] + "/raw").awaitTermination()
+print("ROWS", sorted(r.review_sk for r in spark.read.parquet(sys.argv[1] + "/raw/order_reviews").collect()))
+"""
+    def run(times):
+        out = subprocess.run([sys.executable, "-c", code, tmpdir_fresh, str(times)], capture_output=True, text=True,
+                             cwd=ROOT, timeout=240, env=os.environ | {"PYTHONPATH": ROOT})
+        return next((line for line in out.stdout.splitlines() if line.startswith("ROWS")), out.stderr[-2000:])
+
+    inbox = os.path.join(tmpdir_fresh, "inbox")
+    _reviews(inbox, "a.csv", ["a0", "a1", "a2"])
+    assert run(2) == "ROWS [1, 2, 3]"
+    _reviews(inbox, "b.csv", ["b0"])
+    assert run(1) == "ROWS [1, 2, 3, 4]"

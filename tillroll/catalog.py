@@ -7,20 +7,24 @@ calendar dates become midnight timestamps, as the client side receives them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.functions.temporal import MICROS_PER_DAY
 from tillroll.model import FOREIGN_KEYS, TABLES
 from tillroll.operators import quality as Q
-from tillroll.operators.ranking import LOCAL_ROWS, exact_percentile_value, with_surrogate_id
+from tillroll.operators.ranking import exact_percentile, global_row_number, ntile_buckets, with_surrogate_id
 from tillroll.plans import customers as C
 from tillroll.plans import delivery as D
 from tillroll.plans import sales as S
 from tillroll.plans.summary import business_summary
-from tillroll.session import apply_required_conf
+from tillroll.session import apply_required_conf, ensure_checkpoint_dir
+from tillroll.sources.landing import ParquetShop, land_csv, write_table
+from tillroll.sources.landing import publish as publish_table
 from tillroll.sources.testbind import TestShop
 
 
@@ -141,36 +145,80 @@ def _rfm_base(s: TestShop) -> DataFrame:
 job("rfm_base")(_rfm_base)
 job("rfm_scores")(lambda s: C.rfm_scores(_rfm_base(s)))
 job("rfm_customer_segments")(lambda s: C.rfm_segments(C.rfm_scores(_rfm_base(s))))
-job("rfm_segment_summary")(lambda s: C.rfm_segment_summary(C.rfm_segments(C.rfm_scores(_rfm_base(s)))))
+job("rfm_segment_summary")(lambda s: C.rfm_segment_summary(C.rfm_segments(
+    C.rfm_scores(_rfm_base(s), scores=("r_score", "m_score")))))      # the rules use no frequency score
 
 job("business_summary")(lambda s: business_summary(
     s.orders(), s.customers(), s.order_items(), s.order_reviews()))
 
 
-def _review_keys(s: TestShop, local_rows: int) -> DataFrame:
+@job("review_surrogate_keys")
+def _(s: TestShop):
     r = s.order_reviews().select("review_id", "order_id", "review_score", "review_creation_date")
     order = [F.asc_nulls_last(c) for c in ("review_creation_date", "review_id", "order_id", "review_score")]
-    return with_surrogate_id(r, order, "review_sk", local_rows=local_rows).select(
+    return with_surrogate_id(r, order, "review_sk").select(
         "review_sk", "review_id", "order_id", "review_score", "review_creation_date")
 
 
-job("review_surrogate_keys")(lambda s: _review_keys(s, LOCAL_ROWS))
+# The distributed operators on inputs of their own: every item numbered by price,
+# and quartiles of the orders by their number of items.
+@job("global_row_number")
+def _(s: TestShop):
+    i = s.order_items().select("order_id", "order_item_id", "product_id", "price")
+    order = [F.asc_nulls_last(c) for c in ("price", "order_id", "order_item_id", "product_id")]
+    return global_row_number(i, order, "row_number")
 
-# The distributed operators on their own, forced onto the range-partitioned /
-# bracketed route whatever the input size (the jobs above switch to one task
-# for inputs proven small).
-job("global_row_number")(lambda s: _review_keys(s, 0))
-job("ntile_global")(lambda s: C.rfm_scores(_rfm_base(s), local_rows=0))
+
+@job("ntile_global")
+def _(s: TestShop):
+    per_order = s.order_items().groupBy("order_id").agg(F.count(F.lit(1)).alias("items")).where("order_id is not null")
+    return ntile_buckets(per_order, 4, {"quartile": ("items", False)}, "order_id")
 
 
 @job("exact_median_global")
 def _(s: TestShop):
-    dt = D.delivery_times(s.orders())
-    gaps = C.first_two_purchase_gaps(s.orders(delivery=False), s.customers())
-    m1 = exact_percentile_value(dt, "delivery_days", 0.5, tiebreak=[F.col("order_id")], local_rows=0)
-    m2 = exact_percentile_value(gaps, "days", 0.5, tiebreak=[F.col("customer_unique_id")], local_rows=0)
-    return dt.sparkSession.range(1).select(F.lit(m1).cast("double").alias("median_delivery_days"),
-                                   F.lit(m2).cast("double").alias("median_days_between"))
+    dt = D.delivery_times(s.orders()).select("delivery_days")
+    gaps = C.first_two_purchase_gaps(s.orders(delivery=False), s.customers()).select("days")
+    median = exact_percentile(dt, "delivery_days", per_unit=MICROS_PER_DAY).select(
+        F.col("value").alias("median_delivery_days"))
+    return median.withColumn("median_days_between", exact_percentile(gaps, "days", per_unit=MICROS_PER_DAY).scalar())
+
+
+# --------------------------------------------------------------------- load path
+def _landed(s: TestShop, table: str) -> DataFrame:
+    """The table written as CSV, landed as Parquet and read back, all below the shared checkpoint folder."""
+    df = s.all_tables()[table]
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    fields = TABLES[table].file_schema.fields
+    out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    (out.write.option("header", "true").option("escape", '"').option("nullValue", "").option("emptyValue", '""')
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{folder}/{table}.csv"))
+    write_table(land_csv(spark, f"{folder}/{table}.csv", table), f"{folder}/raw", table)
+    return getattr(ParquetShop(spark, f"{folder}/raw"), SHOP_METHODS.get(table, table))()
+
+
+# Columns of the landed tables that the test binding fills.
+LANDED = {
+    "customers": ("customer_id", "customer_unique_id", "customer_city", "customer_state"),
+    "orders": ("order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+               "order_delivered_customer_date", "order_estimated_delivery_date"),
+    "products": ("product_id", "product_category_name"),
+    "order_items": ("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value"),
+    "order_payments": ("order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"),
+    "order_reviews": ("review_id", "order_id", "review_score", "review_creation_date"),
+    "product_category_translation": ("product_category_name", "product_category_name_english"),
+}
+SHOP_METHODS = {"product_category_translation": "translation"}
+for _t, _cols in LANDED.items():
+    job(f"land_{_t}")(lambda s, t=_t, cols=_cols: _landed(s, t).select(*cols))
+
+
+@job("publish_business_summary")
+def _(s: TestShop):
+    out = publish(business_summary(s.orders(), s.customers(), s.order_items(), s.order_reviews()))
+    spark = out.sparkSession
+    return spark.read.parquet(publish_table(out, f"{ensure_checkpoint_dir(spark)}/analytics-{uuid.uuid4().hex}", "summary"))
 
 
 def job_names() -> list[str]:

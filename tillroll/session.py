@@ -49,8 +49,9 @@ def apply_required_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint directory named by the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; we only pick a directory
-    ourselves when nothing is configured, which happens in local tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local master may go
+    without: its driver and executors are one process, so a temporary folder is
+    shared.  On a cluster a folder of one machine would be useless to the others.
     """
     try:
         sc = spark.sparkContext
@@ -61,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -13,14 +13,15 @@ every job then reads the column-pruned, predicate-pushed Parquet.
 
 from __future__ import annotations
 
-import os
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.model import TABLES
-from tillroll.operators.ranking import with_surrogate_id
+from tillroll.model import FOREIGN_KEYS, TABLES
+from tillroll.operators import quality as Q
+from tillroll.session import ensure_checkpoint_dir
 
 CSV_OPTIONS = {
     "header": "true",
@@ -39,9 +40,41 @@ LOAD_ORDER = ("customers", "orders", "products", "order_items", "order_payments"
               "order_reviews", "product_category_translation")
 
 
-def create_layers(root: str) -> dict[str, str]:
-    """The ``raw`` (landed) and ``analytics`` (published results) layer directories."""
-    return {layer: f"{root.rstrip('/')}/{layer}" for layer in (RAW, ANALYTICS)}
+class LandingError(ValueError):
+    """The loaded tables break a key; nothing was replaced."""
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop file system and path object of ``path`` (any store Spark can reach)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _replace(spark: SparkSession, staged: str, out: str) -> None:
+    """Puts the complete folder ``staged`` in the place of ``out``."""
+    fs, new = _fs(spark, staged)
+    _, old = _fs(spark, out)
+    _, aside = _fs(spark, f"{out}__old-{uuid.uuid4().hex}")
+    had = fs.exists(old)
+    fs.mkdirs(old.getParent())
+    if had and not fs.rename(old, aside):
+        raise OSError(f"cannot move {out}")
+    if not fs.rename(new, old):
+        if had:
+            fs.rename(aside, old)
+        raise OSError(f"cannot move {staged} to {out}")
+    if had:
+        fs.delete(aside, True)
+
+
+def create_layers(spark: SparkSession, root: str) -> dict[str, str]:
+    """Creates the ``raw`` (landed) and ``analytics`` (published results) layer directories below ``root``."""
+    layers = {layer: f"{root.rstrip('/')}/{layer}" for layer in (RAW, ANALYTICS)}
+    for path in layers.values():
+        fs, p = _fs(spark, path)
+        if not fs.mkdirs(p):
+            raise OSError(f"cannot create {path}")
+    return layers
 
 
 def land_csv(spark: SparkSession, path: str, table: str, multiline: bool = True) -> DataFrame:
@@ -60,15 +93,29 @@ def land_csv(spark: SparkSession, path: str, table: str, multiline: bool = True)
 
 
 def add_review_keys(reviews: DataFrame, name: str = "review_sk") -> DataFrame:
-    """``BIGSERIAL``-style ``review_sk``: dense 1..N in file order (review ids repeat).
-
-    File order is the scan order (file split, then position), captured by
-    ``monotonically_increasing_id`` straight after the scan and turned into a
-    dense number by the distributed row numbering.
+    """``BIGSERIAL``-style ``review_sk``: dense 1..N by file path, then place in the file.
+
+    ``reviews`` is a scan of files.  A first pass counts the rows of every file block;
+    the blocks before a block (in path and offset order) give its first number, and a
+    row's place in its block is the distance of its ``monotonically_increasing_id``
+    from the block's smallest, because a block is read by one task in order.  The
+    review rows themselves are neither shuffled nor checkpointed.  Should the two
+    passes have read the files in different splits, the row fails instead of getting
+    a wrong number.
     """
-    pos = reviews.withColumn("_pos", F.monotonically_increasing_id())
-    keyed = with_surrogate_id(pos, ["_pos"], name)
-    return keyed.select(name, *reviews.columns)
+    block = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")]
+    ensure_checkpoint_dir(reviews.sparkSession)
+    # the same columns are read in both passes, so both have the same splits
+    rows = reviews.select("*", *block).withColumn("_mid", F.monotonically_increasing_id())
+    counts = rows.groupBy("_path", "_start").agg(F.min("_mid").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    # one row a file block, not a review
+    before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).checkpoint(eager=True)
+    place = F.col("_mid") - F.col("_least")
+    key = F.when((place >= 0) & (place < F.col("_n")), F.col("_off") + place + 1).otherwise(
+        F.raise_error(F.lit("the files were split differently while reviews were numbered")).cast("long"))
+    return (rows.join(F.broadcast(blocks), ["_path", "_start"])
+            .withColumn(name, key).select(name, *reviews.columns))
 
 
 # Tables keyed by the order: bucketed on it (same bucket count) they join and
@@ -76,69 +123,120 @@ def add_review_keys(reviews: DataFrame, name: str = "review_sk") -> DataFrame:
 ORDER_KEYED = ("orders", "order_items", "order_payments", "order_reviews")
 
 
+def _write(df: DataFrame, path: str, partition_by: list[str] | None, sort_within: list[str] | None,
+           bucket_by: tuple[str, int] | None) -> None:
+    """Writes a new folder; a bucketed one through a catalog entry that is dropped again."""
+    if bucket_by:
+        df = df.repartition(bucket_by[1], bucket_by[0])         # one file a bucket
+    if sort_within:
+        df = df.sortWithinPartitions(*sort_within)
+    w = df.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if bucket_by:
+        entry = f"landing_{uuid.uuid4().hex}"
+        w.bucketBy(bucket_by[1], bucket_by[0]).sortBy(bucket_by[0]).option("path", path).format("parquet").saveAsTable(entry)
+        df.sparkSession.sql(f"DROP TABLE {entry}")              # external: the files stay
+    else:
+        w.parquet(path)
+
+
 def write_table(df: DataFrame, layer_dir: str, name: str, partition_by: list[str] | None = None,
                 sort_within: list[str] | None = None, bucket_by: tuple[str, int] | None = None,
                 database: str | None = None) -> str:
-    """Idempotent (re)load of one table: the previous version is replaced.
+    """Idempotent (re)load of one table: the previous version is replaced once the new one is complete.
 
     ``sort_within`` clusters each output file by a key so Parquet min/max
     statistics can skip row groups for selective filters.  ``bucket_by=(col, n)``
     writes a bucketed table registered as ``database.name`` (external, at the
-    layer path): Spark then knows the hash layout and plans joins and
+    layer path; any table is registered where ``database`` is given): Spark then knows the hash layout and plans joins and
     aggregations on ``col`` between tables with the same ``n`` without an
     exchange.
     """
-    out = f"{layer_dir.rstrip('/')}/{name}"
-    if sort_within:
-        df = df.sortWithinPartitions(*sort_within)
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
+    spark, out = df.sparkSession, f"{layer_dir.rstrip('/')}/{name}"
+    staged = f"{out}__new-{uuid.uuid4().hex}"
+    _write(df, staged, partition_by, sort_within, bucket_by)
+    _replace(spark, staged, out)
+    if bucket_by or database:
+        register_table(spark, out, database or RAW, name, bucket_by)
+    return out
+
+
+def register_table(spark: SparkSession, path: str, database: str, name: str,
+                   bucket_by: tuple[str, int] | None = None) -> None:
+    """(Re)registers the external table ``database.name`` at ``path``; an older location is replaced."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    if spark.catalog.tableExists(f"{database}.{name}"):
+        if spark.catalog.getTable(f"`{database}`.`{name}`").tableType == "MANAGED":
+            raise ValueError(f"{database}.{name} is a managed table; dropping it would delete its files")
+        spark.sql(f"DROP TABLE `{database}`.`{name}`")
     if bucket_by:
+        # A bucket declaration needs the column list; it is read from the files.
         col, n = bucket_by
-        db = database or RAW
-        df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
-        w.bucketBy(n, col).sortBy(col).option("path", out).format("parquet").saveAsTable(f"`{db}`.`{name}`")
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE `{database}`.`{name}` ({cols}) USING parquet "
+                  f"CLUSTERED BY ({col}) SORTED BY ({col}) INTO {n} BUCKETS LOCATION '{path}'")
     else:
-        w.parquet(out)
-    return out
+        spark.sql(f"CREATE TABLE `{database}`.`{name}` USING parquet LOCATION '{path}'")
 
 
 def register_layer(spark: SparkSession, raw_dir: str, database: str = RAW,
                    buckets: int | None = None) -> None:
-    """Register landed tables in the catalog (a new session over an existing layer).
+    """Register landed tables in the catalog (a new session over an existing layer, or a moved one).
 
     Only metadata is written: the order-keyed tables are declared with the
     bucket layout they were landed with.
     """
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
     for t in LOAD_ORDER:
-        path = f"{raw_dir.rstrip('/')}/{t}"
-        if buckets and t in ORDER_KEYED:
-            # A bucket declaration needs the column list; it is read from the files.
-            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                             for f in spark.read.parquet(path).schema.fields)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{t}` ({cols}) USING parquet "
-                      f"CLUSTERED BY (order_id) SORTED BY (order_id) INTO {buckets} BUCKETS "
-                      f"LOCATION '{path}'")
-        else:
-            spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{t}` USING parquet LOCATION '{path}'")
+        register_table(spark, f"{raw_dir.rstrip('/')}/{t}", database, t,
+                       ("order_id", buckets) if buckets and t in ORDER_KEYED else None)
+
+
+def broken_keys(tables: dict[str, DataFrame]) -> list[str]:
+    """What the tables break of their primary keys, NOT NULL columns and foreign keys."""
+    out = []
+    for name, t in TABLES.items():
+        df = tables[name]
+        if not Q.check_unique(df, t.primary_key).isEmpty():
+            out.append(f"{name}: {', '.join(t.primary_key)} is not unique")
+        columns = [*t.primary_key, *t.not_null]
+        out += [f"{name}.{r.column_name} is NULL in {r.null_count} rows"
+                for r in Q.check_not_null(df, columns, name).where("null_count > 0").collect()]
+    for fk in FOREIGN_KEYS:
+        if not Q.check_foreign_key(tables[fk.child], fk.columns, tables[fk.parent], fk.parent_columns).isEmpty():
+            out.append(f"{fk.child}.{', '.join(fk.columns)} has values missing from {fk.parent}")
+    return out
 
 
 def land_all(spark: SparkSession, csv_dir: str, raw_dir: str,
              file_names: dict[str, str] | None = None, buckets: int | None = None,
-             database: str = RAW, multiline: bool = True) -> dict[str, str]:
+             database: str = RAW, multiline: bool = True, check_keys: bool = True) -> dict[str, str]:
     """Land every source CSV of ``csv_dir`` into ``raw_dir`` (one Parquet table each).
 
-    With ``buckets`` the order-keyed tables are bucketed by ``order_id`` and
-    registered in ``database`` (see ``write_table``).
+    All tables are written beside the layer first; with ``check_keys`` their keys
+    are checked there, and a load that breaks one raises ``LandingError`` and
+    replaces nothing.  With ``buckets`` the order-keyed tables are bucketed by
+    ``order_id`` and all tables registered in ``database`` (see ``write_table``).
     """
     names = {t: TABLES[t].csv_file for t in LOAD_ORDER}
     names.update(file_names or {})
-    return {t: write_table(land_csv(spark, os.path.join(csv_dir, names[t]), t, multiline), raw_dir, t,
-                           bucket_by=("order_id", buckets) if buckets and t in ORDER_KEYED else None,
-                           database=database)
-            for t in LOAD_ORDER}
+    raw_dir = raw_dir.rstrip("/")
+    bucket = {t: ("order_id", buckets) if buckets and t in ORDER_KEYED else None for t in LOAD_ORDER}
+    stage = f"{raw_dir}__new-{uuid.uuid4().hex}"
+    try:
+        for t in LOAD_ORDER:
+            _write(land_csv(spark, f"{csv_dir.rstrip('/')}/{names[t]}", t, multiline), f"{stage}/{t}", None, None, bucket[t])
+        broken = broken_keys({t: spark.read.parquet(f"{stage}/{t}") for t in LOAD_ORDER}) if check_keys else []
+        if broken:
+            raise LandingError("; ".join(broken))
+        for t in LOAD_ORDER:
+            _replace(spark, f"{stage}/{t}", f"{raw_dir}/{t}")
+            if buckets:
+                register_table(spark, f"{raw_dir}/{t}", database, t, bucket[t])
+    finally:
+        fs, p = _fs(spark, stage)
+        fs.delete(p, True)
+    return {t: f"{raw_dir}/{t}" for t in LOAD_ORDER}
 
 
 def publish(df: DataFrame, analytics_dir: str, name: str) -> str:
@@ -164,7 +262,7 @@ class ParquetShop:
     database: str | None = None
 
     def _t(self, name: str) -> DataFrame:
-        if self.database and self.spark.catalog.tableExists(name, self.database):
+        if self.database:                       # an unregistered table is an error, not another read path
             df = self.spark.table(f"`{self.database}`.`{name}`")
         else:
             df = self.spark.read.parquet(f"{self.raw_dir.rstrip('/')}/{name}")

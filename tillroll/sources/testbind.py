@@ -9,8 +9,8 @@ customers                   customer (+ nation, region for city / state)
 orders                      orders (+ latest lineitem ship date = delivery)
 order_items                 lineitem
 products                    part (brand = category, every 10th size has none)
-product_category_translation distinct brands except two (untranslated names)
-order_payments              orders minus every 500th order
+product_category_translation distinct brands, two under names no product has (untranslated)
+order_payments              orders; every 500th names an order that does not exist
 order_reviews               events (duplicate review ids, orphan orders)
 ==========================  =================================================
 
@@ -59,6 +59,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 class TestShop:
     """Canonical frames over one scale-factor directory (lazy, column-pruned)."""
 
+    __test__ = False            # not a test class
+
     spark: SparkSession
     sf_dir: str
 
@@ -113,12 +115,11 @@ class TestShop:
                        .groupBy("l_orderkey")
                        .agg(F.max("l_shipdate").alias("order_delivered_customer_date")))
             base = base.join(shipped, base.order_id == shipped.l_orderkey, "left").drop("l_orderkey")
-        else:
-            base = base.withColumn("order_delivered_customer_date", F.lit(None).cast("timestamp_ntz"))
+        # Without it the column is absent: a job that needs the date fails instead of reading NULLs.
         return base.select(
             "order_id", "customer_id", "order_status", "order_purchase_timestamp",
             "order_approved_at", "order_delivered_carrier_date",
-            "order_delivered_customer_date", "order_estimated_delivery_date")
+            *(["order_delivered_customer_date"] if delivery else []), "order_estimated_delivery_date")
 
     # -- order_items -----------------------------------------------------
     def order_items(self) -> DataFrame:
@@ -143,8 +144,8 @@ class TestShop:
 
     def translation(self) -> DataFrame:
         p = self.table("part", "p_brand")
-        return (p.where(~F.col("p_brand").isin(*UNTRANSLATED_BRANDS))
-                 .select(F.col("p_brand").alias("product_category_name"),
+        name = F.when(F.col("p_brand").isin(*UNTRANSLATED_BRANDS), F.concat(F.lit("old "), F.col("p_brand")))
+        return (p.select(name.otherwise(F.col("p_brand")).alias("product_category_name"),
                          F.concat(F.lit("brand_"), F.substring("p_brand", 7, 1 << 20))
                           .alias("product_category_name_english"))
                  .distinct())
@@ -152,8 +153,7 @@ class TestShop:
     # -- payments / reviews ---------------------------------------------
     def order_payments(self) -> DataFrame:
         o = self.table("orders", "o_orderkey", "o_orderpriority", "o_totalprice")
-        return (o.where(F.col("o_orderkey") % 500 != 0)
-                 .select(F.col("o_orderkey").alias("order_id"),
+        return (o.select(F.when(F.col("o_orderkey") % 500 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("order_id"),
                          F.lit(1).alias("payment_sequential"),
                          F.col("o_orderpriority").alias("payment_type"),
                          F.lit(1).alias("payment_installments"),
@@ -173,7 +173,7 @@ class TestShop:
             F.lit(None).cast("timestamp_ntz").alias("review_answer_timestamp"))
 
     def all_tables(self) -> dict[str, DataFrame]:
-        return {"customers": self.customers(), "orders": self.orders(),
+        return {"customers": self.customers(geo=True), "orders": self.orders(),
                 "products": self.products(), "order_items": self.order_items(),
                 "order_payments": self.order_payments(), "order_reviews": self.order_reviews(),
                 "product_category_translation": self.translation()}
@@ -215,13 +215,13 @@ SQL_VIEWS: dict[str, str] = {
                CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_brand END AS product_category_name
         FROM part""",
     "raw_product_category_translation": """
-        SELECT DISTINCT p_brand AS product_category_name,
+        SELECT DISTINCT CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'old ' || p_brand ELSE p_brand END AS product_category_name,
                'brand_' || substr(p_brand, 7) AS product_category_name_english
-        FROM part WHERE p_brand NOT IN ('Brand#1', 'Brand#2')""",
+        FROM part""",
     "raw_order_payments": """
-        SELECT o_orderkey AS order_id, 1 AS payment_sequential, o_orderpriority AS payment_type,
-               1 AS payment_installments, CAST(o_totalprice AS DECIMAL(12,2)) AS payment_value
-        FROM orders WHERE o_orderkey % 500 <> 0""",
+        SELECT CASE WHEN o_orderkey % 500 = 0 THEN -o_orderkey ELSE o_orderkey END AS order_id, 1 AS payment_sequential,
+               o_orderpriority AS payment_type, 1 AS payment_installments, CAST(o_totalprice AS DECIMAL(12,2)) AS payment_value
+        FROM orders""",
     "raw_order_reviews": """
         SELECT event_id AS review_sk,
                CASE WHEN event_id % 50 = 0 THEN event_id + 1 ELSE event_id END AS review_id,

@@ -5,8 +5,8 @@ made incremental: a file stream source (declared schema, the PostgreSQL-like
 CSV options) and a ``foreachBatch`` sink that writes each micro-batch to its
 own directory ``<table>/_batch=<id>`` with overwrite.  A batch replayed after
 a failure therefore replaces its own output instead of duplicating it, and the
-stream's checkpoint (kept under the cluster's shared ``spark.checkpoint.dir``
-unless given) records which files were taken.
+stream's progress log (beside the table, in ``_stream/<table>`` of the layer, unless
+given) records which files were taken, also for a later session.
 
 Reviews get their dense ``review_sk`` per batch, continuing after the largest
 key of the earlier batches (read from the sink, so a replay gets the same keys).
@@ -20,29 +20,31 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from tillroll.model import TABLES
+from tillroll.operators.ranking import number_in_place
 from tillroll.session import ensure_checkpoint_dir
-from tillroll.sources.landing import CSV_OPTIONS, add_review_keys
+from tillroll.sources.landing import CSV_OPTIONS
 
 BATCH_COL = "_batch"
 
 
 def _previous_max(spark: SparkSession, out: str, batch_id: int, key: str) -> int:
-    """Largest key landed by earlier batches.
+    """Largest key landed by earlier batches; 0 if nothing has landed.
 
-    Keys grow with the batch number, so only the newest earlier non-empty
-    batch is read (partition pruning on the batch directory); the list of
-    batches comes from the directory names, not from the data.
+    Keys grow with the batch number, so only the newest earlier batch that has rows
+    is read (partition pruning on the batch directory).
     """
     try:
         landed = spark.read.parquet(out)
-    except AnalysisException:       # nothing landed yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
-    batches = sorted((r[0] for r in landed.select(BATCH_COL).distinct().collect() if r[0] < batch_id),
-                     reverse=True)
-    for b in batches:
-        top = landed.where(F.col(BATCH_COL) == b).agg(F.max(key)).first()[0]
+    earlier = landed.where(F.col(BATCH_COL) < batch_id)
+    while (newest := earlier.agg(F.max(BATCH_COL)).first()[0]) is not None:
+        top = earlier.where(F.col(BATCH_COL) == newest).agg(F.max(key)).first()[0]
         if top is not None:
             return top
+        earlier = earlier.where(F.col(BATCH_COL) < newest)
     return 0
 
 
@@ -51,7 +53,8 @@ def _writer(table: str, out: str):
         df = batch
         if table == "order_reviews":
             offset = _previous_max(batch.sparkSession, out, batch_id, "review_sk")
-            df = add_review_keys(batch).withColumn("review_sk", F.col("review_sk") + F.lit(offset))
+            df = number_in_place(batch, "review_sk").withColumn("review_sk", F.col("review_sk") + F.lit(offset))
+            df = df.select("review_sk", *batch.columns)
         df.write.mode("overwrite").parquet(f"{out}/{BATCH_COL}={batch_id}")
     return write
 
@@ -70,7 +73,8 @@ def land_csv_stream(spark: SparkSession, table: str, in_dir: str, raw_dir: str,
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     src = reader.csv(in_dir)
     out = f"{raw_dir.rstrip('/')}/{table}"
-    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-landing/{table}"
+    ensure_checkpoint_dir(spark)
+    ckpt = checkpoint or f"{raw_dir.rstrip('/')}/_stream/{table}"
     w = src.writeStream.foreachBatch(_writer(table, out)).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
