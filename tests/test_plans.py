@@ -14,7 +14,7 @@ PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "
                 "PythonUDF", "FlatMapCoGroupsInPandas")
 
 
-@pytest.mark.parametrize("name", list(E.queries()))
+@pytest.mark.parametrize("name", catalog.job_names())
 def test_no_python_in_any_plan(spark, name):
     text = plan_text(E.queries()[name](spark, SF001))
     assert not any(n in text for n in PYTHON_NODES)
@@ -26,13 +26,24 @@ def test_anti_joins(spark, name):
     assert "LeftAnti" in plan_text(E.queries()[name](spark, SF001))
 
 
-def test_rfm_distributed_has_no_global_ntile(spark):
+def test_rfm_scores_shuffle_no_customer_rows(spark):
+    """No global ntile, no sort, no exchange of the customers: boundaries come in by a scalar subquery."""
     shop = TestShop(spark, SF001)
     base = C.rfm_base(shop.orders(delivery=False), shop.customers(), shop.order_items())
-    scored = C.rfm_scores(base, local_rows=0)
-    text = plan_text(scored, "extended")
-    assert "ntile(" not in text.lower()
-    assert "rangepartitioning" in plan_text(scored).lower() or "Scan ExistingRDD" in text or "LogicalRDD" in text
+    text = plan_text(C.rfm_scores(base), "simple")
+    main = text.split("Subquery")[0] if "Subquery" in text else text
+    assert "ntile(" not in text.lower() and "Window" not in main
+    assert "Exchange" not in main and "Sort" not in main
+
+
+def test_median_has_no_global_window(spark):
+    shop = TestShop(spark, SF001)
+    text = plan_text(catalog.run_on(shop, "exact_median_global"), "simple")
+    windows = [l for l in text.splitlines() if "Window " in l or "Window [" in l]
+    # by target prefix or customer; the first level has one prefix, its window is over 65,536 digit counts at most
+    keys = ("prefix#", "_p#", "g#", "customer_id#", "customer_unique_id#", "digit#")
+    assert windows and all(any(f"windowspecdefinition({k}" in l for k in keys) for l in windows)
+    assert "FileScan parquet" in text                                               # a plan, not literals
 
 
 def test_first_two_orders_limit_before_shuffle(spark):

@@ -8,29 +8,38 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.ranking import (exact_percentile, global_row_number, ntile_from_rank,
-                                        ntile_global)
+from tillroll.operators.ranking import (exact_percentile, global_row_number, key_span, ntile_buckets,
+                                        order_key, select_ranks)
 
 
-def _frame(spark, values):
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
+def _frame(spark, values, kind="long"):
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id long, v {kind}")
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(values=st.lists(st.integers(0, 5), min_size=0, max_size=60),
-       k=st.integers(1, 7), parts=st.integers(1, 6))
-def test_ntile_global_equals_native(spark, values, k, parts):
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(values=st.lists(st.one_of(st.none(), st.integers(-2, 3), st.integers(-2 ** 40, 2 ** 40)), min_size=0, max_size=50),
+       k=st.integers(2, 7))
+def test_ntile_buckets_equals_native(spark, values, k):
     df = _frame(spark, values)
-    order = [F.desc_nulls_first("v"), F.asc("id")]
-    got = {r.id: r.b for r in ntile_global(df, k, order, "b", num_partitions=parts, local_rows=0).collect()}
-    want = {r.id: r.b for r in df.withColumn("b", F.ntile(k).over(Window.orderBy(*order))).collect()}
-    assert got == want
+    got = ntile_buckets(df, k, {"up": ("v", False), "down": ("v", True)}, "id")
+    want = (df.withColumn("up", F.ntile(k).over(Window.orderBy(F.asc_nulls_last("v"), "id")))
+            .withColumn("down", F.ntile(k).over(Window.orderBy(F.desc_nulls_first("v"), "id"))))
+    assert sorted((r.id, r.up, r.down) for r in got.collect()) == sorted((r.id, r.up, r.down) for r in want.collect())
+
+
+def test_ntile_buckets_heavy_ties_and_text_ids(spark):
+    n = 6000
+    df = spark.range(n).select(F.concat(F.lit("c-"), F.md5(F.col("id").cast("string"))).alias("who"),
+                               F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(1).alias("v"))
+    got = ntile_buckets(df, 5, {"b": ("v", False)}, "who")
+    want = df.withColumn("b", F.ntile(5).over(Window.orderBy("v", "who")))
+    assert got.exceptAll(want.select("who", "v", F.col("b").cast("long"))).count() == 0 and got.count() == n
 
 
 def test_row_number_all_tied_is_balanced(spark):
     n = 20_000
     df = spark.range(n).select(F.col("id"), F.lit(1).alias("v"))
-    ranked = global_row_number(df, ["v", "id"], "rn", num_partitions=8, local_rows=0)
+    ranked = global_row_number(df, ["v", "id"], "rn", num_partitions=8)
     rows = ranked.select("id", "rn").collect()
     assert sorted(r.rn for r in rows) == list(range(1, n + 1))
     assert all(r.rn == r.id + 1 for r in rows)
@@ -39,45 +48,50 @@ def test_row_number_all_tied_is_balanced(spark):
     assert max(r["count"] for r in sizes) < n / 4
 
 
-def test_ntile_formula_matches_definition():
-    for n in range(0, 40):
-        for k in range(1, 9):
-            sizes = [n // k + (1 if b < n % k else 0) for b in range(k)]
-            expected = [b + 1 for b in range(k) for _ in range(sizes[b])]
-            q, r = divmod(n, k)
-            got = []
-            for i in range(n):
-                got.append(i // (q + 1) + 1 if i < r * (q + 1) else (i - r * (q + 1)) // q + r + 1)
-            assert got == expected
-    assert ntile_from_rank is not None
+@pytest.mark.parametrize("spread", [1, 300, 1 << 20, 1 << 50, 1 << 62])
+def test_select_ranks(spark, spread):
+    rng = random.Random(spread)
+    values = sorted(rng.randint(-spread, spread) for _ in range(400))
+    rows = spark.createDataFrame([(0, v) for v in values], "g int, key long")
+    counts = rows.groupBy("g", "key").agg(F.count("*").alias("n"))
+    ranks = [1, 2, 133, 200, 399, 400, 401]
+    targets = spark.createDataFrame([(0, r, r) for r in ranks], "g int, t int, rank long")
+    got = {r.t: (r.key, r.nth) for r in select_ranks(counts, targets, key_span(rows)).collect()}
+    assert got == {r: (values[r - 1], r - values.index(values[r - 1])) for r in ranks if r <= 400}
+
+
+@pytest.mark.parametrize("kind", ["double", "decimal(12,2)", "int"])
+def test_order_key_sorts_like_the_value(spark, kind):
+    raw = ["-1e300", "-2.5", "-1e-300", "0", "1e-300", "2.25", "1e300"] if kind == "double" else ["-12", "-1", "0", "3", "99"]
+    df = spark.createDataFrame([(v,) for v in raw], "s string").select(F.col("s").cast(kind).alias("v"))
+    rows = df.select("v", order_key(df, "v").alias("k")).collect()
+    assert [r.k for r in rows] == sorted({r.k for r in rows})
+    with pytest.raises(TypeError):
+        order_key(spark.createDataFrame([("a",)], "v string"), "v")
 
 
-@pytest.mark.parametrize("p", [0.5, 0.25, 0.9])
-@pytest.mark.parametrize("mode", ["bracket", "local", "rank"])
-def test_exact_percentile_equals_native(spark, p, mode):
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_exact_percentile_equals_native(spark, p, kind):
     rng = random.Random(7)
-    vals = [rng.choice([rng.random() * 100, 3.0, 3.0, None]) for _ in range(5000)]
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
-    kw = {"local_rows": 0}
-    if mode == "local":
-        kw = {"local_rows": 1_000_000}    # opt-in single-task route
-    elif mode == "rank":
-        kw = {"local_rows": 0, "max_bracket_rows": 0, "accuracy": 10}   # forces the rank fallback
-    got = exact_percentile(df, "x", p, tiebreak=[F.col("id")], **kw).first()["value"]
-    want = df.agg(F.percentile("x", p)).first()[0]
-    assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
+    vals = [rng.choice([rng.random() * 100 - 50, 3.0, 3.0, None]) for _ in range(3000)]
+    if kind == "long":
+        vals = [None if v is None else int(v) for v in vals]
+    df = _frame(spark, vals, kind)
+    got = exact_percentile(df, "v", p).first()["value"]
+    assert got == pytest.approx(df.agg(F.percentile("v", p)).first()[0], rel=1e-12, abs=1e-12)
 
 
-def test_exact_percentile_empty(spark):
-    df = spark.createDataFrame([], "id long, x double")
-    assert exact_percentile(df, "x").first()["value"] is None
+def test_exact_percentile_small_inputs(spark):
+    assert exact_percentile(_frame(spark, [], "double"), "v").first()["value"] is None
+    assert exact_percentile(_frame(spark, [None, None], "double"), "v").first()["value"] is None
+    assert exact_percentile(_frame(spark, [2.5], "double"), "v").first()["value"] == 2.5
+    assert exact_percentile(_frame(spark, [7.0] * 99, "double"), "v", 0.3).first()["value"] == 7.0
+    assert exact_percentile(_frame(spark, [0.25, 0.5], "double"), "v", per_unit=4).first()["value"] == 0.375
 
 
 def test_exact_percentile_hot_value(spark):
     # One value holds a third of the rows and sits on the median.
-    n = 30_000
-    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, F.lit(50.0))
-                               .otherwise(F.rand(3) * 100).alias("x"))
-    got = exact_percentile(df, "x", 0.5, tiebreak=[F.col("id")], local_rows=0).first()["value"]
-    want = df.agg(F.percentile("x", 0.5)).first()[0]
-    assert got == pytest.approx(want, rel=1e-12)
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(50.0)).otherwise(F.rand(3) * 100).alias("x"))
+    got = exact_percentile(df, "x", 0.5).first()["value"]
+    assert got == pytest.approx(df.agg(F.percentile("x", 0.5)).first()[0], rel=1e-12)
