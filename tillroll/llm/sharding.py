@@ -24,7 +24,7 @@ SHARDS = 24
 SEED = 42
 OVERHEAD = 8
 # Buckets of one pass: about this many rows each.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def shuffle_key(id_col: str, seed: int = SEED) -> Column:
