@@ -63,23 +63,23 @@ def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DEL
                   .orderBy(F.asc_nulls_last("order_month")))
 
 
-def _order_category_lines(orders, items, products, translation, status) -> DataFrame:
-    """Delivered item revenue at (order, category) grain, with the order's customer.
-
-    Items get their category (broadcast when the product table is small, a
-    sort-merge join on the product otherwise, whose hot-product partitions
-    AQE can split because nothing downstream reuses that partitioning), are
-    summed per (order, category) -- the map-side partial aggregate collapses
-    an order with very many items to one row per category before the
-    shuffle -- and only then meet the delivered orders on the order key.
+def _category_lines(orders, items, products, translation, status) -> DataFrame:
+    """Delivered item revenue per (category, customer, order).
+
+    Items are summed per (order, product) first: on a layer bucketed by the order
+    without an exchange, and a hot order shrinks to its products in the map-side
+    aggregate.  Only delivered orders go on to the product lookup, whose
+    hot-product partitions AQE can split because nothing downstream reuses that
+    partitioning.  Lines of one order in one category meet by (category, customer,
+    order), so a hot customer's orders spread over all tasks.
     """
-    lines = with_category(items.select("order_id", "product_id", "price", "freight_value"),
-                          products, translation)
-    per_order = lines.groupBy("order_id", "category").agg(
-        exact_sum(lines, "price").alias("rev"), F.count("price").alias("n_price"),
-        exact_sum(lines, "freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
+    sold = items.groupBy("order_id", "product_id").agg(
+        exact_sum(items, "price").alias("rev"), F.count("price").alias("n_price"),
+        exact_sum(items, "freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
     d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"), "customer_id")
-    return per_order.join(d, per_order.order_id == F.col("_oid"), "inner").drop("_oid")
+    lines = with_category(sold.join(d, sold.order_id == F.col("_oid"), "inner").drop("_oid"), products, translation)
+    return (lines.groupBy("category", "customer_id", "order_id")
+            .agg(*[F.sum(c).alias(c) for c in ("rev", "n_price", "freight", "n_freight")]))
 
 
 def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
@@ -90,7 +90,7 @@ def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
     customers are counted by grouping (category, customer) first, so no
     ``Expand`` of the fact rows is needed.
     """
-    lines = _order_category_lines(orders, items, products, translation, status)
+    lines = _category_lines(orders, items, products, translation, status)
     per_cust = lines.groupBy("category", "customer_id").agg(
         F.sum("rev").alias("rev"), F.sum("n_price").alias("n_price"),
         F.sum("freight").alias("freight"), F.sum("n_freight").alias("n_freight"),
@@ -117,6 +117,9 @@ def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
 def chart_top_categories(orders: DataFrame, items: DataFrame, products: DataFrame,
                          translation: DataFrame, status: str = DELIVERED, n: int = 10) -> DataFrame:
     """Chart data: the ``n`` categories with the highest (rounded) revenue."""
-    lines = _order_category_lines(orders, items, products, translation, status)
+    d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"))
+    sold = items.groupBy("order_id", "product_id").agg(exact_sum(items, "price").alias("rev"))
+    lines = with_category(sold.join(d, sold.order_id == F.col("_oid"), "inner").groupBy("product_id").agg(
+        F.sum("rev").alias("rev")), products, translation)
     return (lines.groupBy("category").agg(exact_round(F.sum("rev"), 2).alias("revenue"))
                  .orderBy(F.desc_nulls_first("revenue"), "category").limit(n))
