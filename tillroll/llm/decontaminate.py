@@ -54,8 +54,9 @@ def shingle_hashes(words: str, size: int = SHINGLE_WORDS) -> Column:
                   f"ELSE transform(sequence(0, size({words}) - {size}), i -> xxhash64({picked})) END")
 
 
-def shingles(words: str, size: int = SHINGLE_WORDS) -> Column:
-    return F.expr(f"transform(sequence(0, size({words}) - {size}), i -> array_join(slice({words}, i + 1, {size}), ' '))")
+def shingles(words: str, size: int = SHINGLE_WORDS) -> str:
+    """SQL of the shingles of the array column ``words`` (of ``size`` words or more), in order."""
+    return f"transform(sequence(0, size({words}) - {size}), i -> array_join(slice({words}, i + 1, {size}), ' '))"
 
 
 def simhash(words: str) -> Column:
@@ -79,7 +80,7 @@ def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Items of 5 words or more: id, words, length, shingle strings, fingerprint."""
     return (items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item_words"))
             .where(F.size("item_words") >= SHINGLE_WORDS).distinct()
-            .select("item_id", F.size("item_words").alias("length"), shingles("item_words").alias("item_shingles"),
+            .select("item_id", F.size("item_words").alias("length"), F.expr(shingles("item_words")).alias("item_shingles"),
                     shingle_hashes("item_words").alias("hashes"), simhash("item_words").alias("item_fp")))
 
 
@@ -112,12 +113,15 @@ def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, broad
 
 
 def similarity() -> Column:
-    """Weighted-shingle similarity of the columns ``window_shingles`` and ``item_shingles``."""
+    """Weighted-shingle similarity of the words ``window`` and the shingles ``item_shingles``."""
     weight = "length(replace(s, ' ', ''))"
     total = lambda a: f"aggregate({a}, 0L, (n, s) -> n + {weight})"                          # noqa: E731
-    shared = (f"aggregate(array_distinct(array_intersect(window_shingles, item_shingles)), 0L, (n, s) -> n + {weight} * "
-              "least(size(filter(window_shingles, x -> x = s)), size(filter(item_shingles, x -> x = s))))")
-    return F.expr(f"2.0D * {shared} / ({total('window_shingles')} + {total('item_shingles')})")
+    shared = (f"aggregate(array_distinct(array_intersect(ws, item_shingles)), 0L, (n, s) -> n + {weight} * "
+              "least(size(filter(ws, x -> x = s)), size(filter(item_shingles, x -> x = s))))")
+    # the window's shingles are bound to a lambda's name: as a column of their own, Catalyst would
+    # inline them into the inner lambdas and make them anew for every shingle
+    return F.expr(f"element_at(transform(array({shingles('window')}), ws -> "
+                  f"2.0D * {shared} / ({total('ws')} + {total('item_shingles')})), 1)")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -134,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                                                              ["item_id", "block", "value"])
               .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
               .select("id", "text_hash", "item_id", "start", "window", "item_shingles").distinct())
-    return (inside.withColumn("window_shingles", shingles("window")).withColumn("similarity", similarity())
+    return (inside.withColumn("similarity", similarity())
             .where(F.col("similarity") >= MIN_SIMILARITY)
             .select("id", "text_hash", "item_id", "start", "similarity"))
 
