@@ -4,7 +4,8 @@
 import duckdb
 import pandas as pd
 
-RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+RAW_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "pages", "benchmark", "labels"]
 
 
 def duck(sf_dir):

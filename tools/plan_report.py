@@ -57,7 +57,7 @@ def main(argv):
         raw = tempfile.mkdtemp(prefix="plan-report-") + "/raw"
         for name, df in {**shop.all_tables(), "orders": shop.orders()}.items():
             write_table(df, raw, name, bucket_by=("order_id", 8) if name in ORDER_KEYED else None,
-                        database="raw_report")
+                        database="raw_report")      # registers every table
         shop = ParquetShop(spark, raw, database="raw_report")
         title = "bucketed landed layer"
     print(f"Plans on the {title}, size-based broadcast disabled.\n")
