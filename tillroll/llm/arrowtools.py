@@ -40,11 +40,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def append_columns(df: DataFrame, text_col: str, ddl: str,
-                   fn: Callable[[pa.Array], dict[str, pa.Array]], slice_bytes: int = SLICE_BYTES) -> DataFrame:
+                   fn: Callable[[pa.Array], dict[str, pa.Array]], slice_bytes: int = SLICE_BYTES,
+                   owner: str = "") -> DataFrame:
     """``df`` plus the columns of ``ddl`` that ``fn`` derives from ``text_col``.
 
     Works slice by slice within each task, without a shuffle.  A column of ``df``
-    whose name is in ``ddl`` is replaced by the new one.
+    whose name is in ``ddl`` is replaced by the new one.  ``owner`` names the
+    operator whose worker cache stays.
     """
     out = T.StructType.fromDDL(ddl)
     new = out.names
@@ -53,12 +55,14 @@ def append_columns(df: DataFrame, text_col: str, ddl: str,
     schema = T.StructType([f for f in base.schema.fields if f.name not in new] + out.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache(owner)
         for batch in batches:
             for part in bounded_slices(batch, text_col, slice_bytes):
                 cols = fn(part.column(text_col))
                 passed = [n for n in part.schema.names if n not in new]
                 yield pa.RecordBatch.from_arrays([part.column(n) for n in passed] + [cols[n] for n in new],
                                                  names=passed + new)
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, schema)
 
@@ -67,6 +71,13 @@ def longs(values) -> pa.Array:
     return pa.array(np.asarray(values, dtype=np.int64), pa.int64())
 
 
-def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python process, across the tasks of a worker."""
-    return sys.__dict__.setdefault("_tillroll_worker_cache", {}).setdefault(name, {})
+def worker_cache(owner: str) -> dict:
+    """A dictionary that lives as long as the Python process, across the tasks of a worker.
+
+    A worker keeps the cache of one operator at a time: what others left is dropped,
+    so the stages of a pipeline do not add up in memory.
+    """
+    kept = sys.__dict__.setdefault("_tillroll_worker_cache", {})
+    for other in [k for k in kept if k != owner]:
+        del kept[other]
+    return kept.setdefault(owner, {})

@@ -215,7 +215,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None, pattern: str | None
         return {"n_tokens": longs([len(i) for i in ids]), "ids": pa.array(ids, pa.list_(pa.int32())),
                 "decoded": pa.array([b for _, b in found], pa.binary())}
 
-    return append_columns(docs, text_col, "n_tokens long, ids array<int>, decoded binary", run, SLICE_BYTES)
+    return append_columns(docs, text_col, "n_tokens long, ids array<int>, decoded binary", run, SLICE_BYTES, "bpe")
 
 
 def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = None,
@@ -229,7 +229,7 @@ def bpe_digest(docs: DataFrame, path: str | None = None, pattern: str | None = N
         return {"n_tokens": longs([len(a) // 4 for a, _ in found]), "ids_sha256": digest(0), "decoded_sha256": digest(1)}
 
     return append_columns(docs, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", run,
-                          SLICE_BYTES)
+                          SLICE_BYTES, "bpe")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

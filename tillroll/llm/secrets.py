@@ -252,7 +252,7 @@ def redact(text: str | None, spans: str, mask: str = "[secret]") -> str | None:
 
 def secret_scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` plus span counts and spans of every text (see the module docstring)."""
-    return append_columns(docs, text_col, OUT, lambda column: scan(column, rules))
+    return append_columns(docs, text_col, OUT, lambda column: scan(column, rules), owner="secrets")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
@@ -262,7 +262,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, .
         spans = scan(column, rules)["spans"].to_pylist()
         return {text_col: pa.array([redact(t, s, mask) for t, s in zip(column.to_pylist(), spans)], pa.string())}
 
-    return append_columns(docs, text_col, f"`{text_col}` string", masked).select(docs.columns)
+    return append_columns(docs, text_col, f"`{text_col}` string", masked, owner="secrets").select(docs.columns)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.arrowtools import append_columns, text_bytes
+from tillroll.llm.arrowtools import append_columns, text_bytes, worker_cache
 from tillroll.llm.graph import connected_components
 from tillroll.session import ensure_checkpoint_dir
 
@@ -229,6 +229,7 @@ def _link_task(radius: int):
             a, b = bucket_links(keys, values, radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+        worker_cache("simhash")
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)

@@ -246,7 +246,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataF
         use = matcher(lexicon)
         return {"score": pa.array([use.score(t) for t in column.to_pylist()], pa.float64())}
 
-    return append_columns(docs, text_col, "score double", run)
+    return append_columns(docs, text_col, "score double", run, owner="toxicity")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
