@@ -161,7 +161,9 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, per_unit: int | No
     """
     key = F.round(F.col(col).cast("double") * F.lit(float(per_unit))).cast("long") if per_unit else order_key(df, col)
     keyed = df.where(F.col(col).isNotNull()).select(F.lit(0).alias("g"), key.alias("key"), F.col(col).cast("double").alias("v"))
-    counts = keyed.groupBy("g", "key").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+    ensure_checkpoint_dir(df.sparkSession)
+    # distinct values with their counts: the input is read once, every digit reads this
+    counts = keyed.groupBy("g", "key").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     place = (F.col("n") - 1) * F.lit(float(p))
     low = F.floor(place)
     ends = F.array(F.struct(F.lit(0).alias("end"), (low + 1).alias("rank")),
@@ -169,7 +171,7 @@ def exact_percentile(df: DataFrame, col: str, p: float = 0.5, per_unit: int | No
     targets = (counts.agg(F.sum("n").alias("n")).where("n > 0")
                .select((place - low).alias("fraction"), F.explode(ends).alias("e"))
                .select(F.lit(0).alias("g"), F.struct("e.end", "fraction").alias("t"), F.col("e.rank").alias("rank")))
-    found = select_ranks(counts.select("g", "key", "n"), targets, key_span(keyed))
+    found = select_ranks(counts.select("g", "key", "n"), targets, key_span(counts))
     values = counts.join(F.broadcast(found.select("t", F.col("key").alias("_k"))), F.col("key") == F.col("_k"))
     lo, hi = F.min("v"), F.max("v")
     return values.agg((lo + (hi - lo) * F.max("t.fraction")).alias("value"))
@@ -207,19 +209,20 @@ def ntile_buckets(df: DataFrame, k: int, metrics: dict[str, tuple[str, bool]], i
     """
     names = list(metrics)
     keys = [-order_key(df, c) if descending else order_key(df, c) for c, descending in metrics.values()]
-    raw = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")).select("id", "m.*")
-    span = key_span(raw)
+    stacked = lambda: F.explode(F.array(*[                                                       # noqa: E731
+        F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")
+    ensure_checkpoint_dir(df.sparkSession)
+    found = df.select(stacked()).select("m.*").groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    span, outside = key_span(found), F.lit(None).cast("long")
     for g, (_, descending) in enumerate(metrics.values()):                  # NULL becomes the next key outside
         lo, hi = span.get(g, (0, 0))
-        keys[g] = F.coalesce(keys[g], F.lit(lo - 1 if descending else hi + 1).cast("long"))
+        beyond = F.lit(lo - 1 if descending else hi + 1).cast("long")
+        keys[g], outside = F.coalesce(keys[g], beyond), F.when(F.col("g") == g, beyond).otherwise(outside)
         span[g] = (lo - 1, hi) if descending else (lo, hi + 1)
-    keyed = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")).select("id", "m.*")
-    counts = keyed.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.withColumn("key", F.coalesce("key", outside))
+    keyed = df.select(F.col(id_col).alias("id"), stacked()).select("id", "m.*")
     targets = (counts.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.explode(bucket_ends(k)).alias("e"))
                .where("e.rank > 0").select("g", F.col("e.bucket").alias("t"), F.col("e.rank").alias("rank")))
-    ensure_checkpoint_dir(df.sparkSession)
     ends = select_ranks(counts, targets, span).checkpoint(eager=True)       # at most k - 1 rows a metric
     tied = keyed.join(F.broadcast(ends.select("g", "key").distinct()), ["g", "key"])
     ranked = global_row_number(tied, ["g", "key", "id"], "place")
