@@ -134,3 +134,13 @@ def test_edges(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 9]
     with pytest.raises(ValueError):
         H.fingerprint_links(spark.createDataFrame([], "fp long"), 5)
+
+
+def test_stage_keeps_one_text_of_every_component(spark):
+    """Null ids join no components and an id on two texts stands for both."""
+    far = [prose(seed, 60) for seed in range(5)]
+    assert len(set(plain_roots({plain_fp(t) for t in far}, 4).values())) == 5
+    rows = [(None, far[0]), (None, far[0]), (None, far[1]), (None, far[2]), (7, far[2]), (8, far[3]), (8, far[4]), (9, far[4])]
+    kept = H.stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    want = [(None, far[0]), (None, far[1]), (7, far[2]), (8, far[3]), (8, far[4])]
+    assert sorted(((r.doc_id or 0, r.text) for r in kept)) == sorted((i or 0, t) for i, t in want)

@@ -28,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm.arrowtools import append_columns, text_bytes, worker_cache
@@ -288,16 +288,21 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", words_each: int =
                           lambda column: {"fp": pa.array(fingerprints(column, words_each).view(np.int64))})
 
 
+def rooted_fingerprints(rows: DataFrame, order: Column, radius: int = RADIUS) -> DataFrame:
+    """(fp, least, root) of the distinct fingerprints of ``rows``: least ``order`` and root of the component."""
+    fps = rows.groupBy("fp").agg(F.min(order).alias("least")).checkpoint()
+    roots = connected_components(fingerprint_links(fps.select("fp"), radius))
+    return (fps.join(roots, fps.fp == roots.node, "left")
+            .select("fp", "least", F.coalesce("root", "fp").alias("root")).checkpoint())
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        words_each: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) of every row: the smallest id reachable over links."""
     ensure_checkpoint_dir(docs.sparkSession)
     rows = with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text",
                             words_each).select("id", "fp").checkpoint()
-    fps = rows.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
-    roots = connected_components(fingerprint_links(fps.select("fp"), radius))
-    rooted = (fps.join(roots, fps.fp == roots.node, "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")).checkpoint())
+    rooted = rooted_fingerprints(rows, F.col("id"), radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
@@ -310,12 +315,19 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every component the row with the smallest doc_id stays.
+    """Pipeline stage: of every component one row stays, the one with the smallest doc_id.
 
-    Of repeated rows with that id one stays.  Rows without an id stay only if their
-    whole component has none (one of them).
+    Rows without an id come last, equal ids go by the hash of the text; a component is
+    told by its root fingerprint, so ids that are null or repeated join no components.
+    Only partial minima are shuffled: many rows of one id or text meet in no task.
     """
-    groups = simhash_components(docs).select("component_id").distinct()
-    chosen = docs.join(groups, docs.doc_id.eqNullSafe(groups.component_id), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return chosen.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(docs.columns)
+    ensure_checkpoint_dir(spark)
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = with_fingerprint(hashed).select("doc_id", "hash", "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    first = rooted_fingerprints(rows, order).groupBy("root").agg(F.min("least").alias("least"))
+    # as a struct the key equals itself with a null id too
+    chosen = first.select(F.struct("least.doc_id", "least.hash").alias("_key"))
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("_key")
+    single = docs.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.join(chosen, "_key", "left_semi").select("row.*")
