@@ -74,3 +74,30 @@ def test_edges(spark):
     assert got[0][2:] == got[1][2:] and got[0].spans == "assign:0:17"
     long = "x " * 3_000_000 + "token = abcdefgh1"
     assert rows_of(S.secret_scan(frame(spark, [long])))[0].spans == "assign:6000000:6000017"
+
+
+BODY = ["MIIEpAIBAAKCAQEA" + c * 46 + "+/" for c in "qRs7"] + ["Zm9vYmFyYg=="]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+DEK = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+
+
+@pytest.mark.parametrize("lines", [BODY, DEK + BODY, BODY[:-1], ["\t" + b for b in BODY], ["# " + b for b in BODY]])
+@pytest.mark.parametrize("end", [END, ""])
+@pytest.mark.parametrize("break_", ["\n", "\r\n", "\\n", '\\n"\n  "'])
+def test_private_key_spans_its_body(lines, end, break_):
+    if break_.startswith("\\") and lines[0] == DEK[0]:
+        lines = BODY
+    text = "see " + break_.join([BEGIN, *lines, *([end] if end else [])]) + "\n\nthat was the key\n"
+    found = S.redact(text, S.scan(pa.array([text]))["spans"][0].as_py())
+    assert not any(b.strip("\t# ") in found for b in lines if b) and "KEY--" not in found
+    assert found.startswith("see [secret]") and found.endswith("\n\nthat was the key\n")
+
+
+def test_private_key_line_in_prose_spans_itself_only():
+    for text in (f"a {BEGIN} line, then words", f"{BEGIN}\nthe key goes here\n", f"{BEGIN}\n\nwords\n", f"{BEGIN} and then {END}"):
+        assert S.scan(pa.array([text]))["spans"][0].as_py() == f"private_key:{text.index(BEGIN)}:{text.index(BEGIN) + len(BEGIN)}"
+
+
+def test_private_key_on_one_line():
+    text = " ".join([BEGIN, *BODY, END]) + " tail"
+    assert S.redact(text, S.scan(pa.array([text]))["spans"][0].as_py()) == "[secret] tail"

@@ -43,6 +43,15 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.ignore_case else 0))
 
 
+# A PEM body: header lines, then runs of base64 by any layout (line breaks may be written as \n, lines
+# be quoted, indented or commented), short ones only as whole lines, up to the END line if there is one.
+# All repeats are possessive, so a scan stays linear.
+_LINE_END = r"""["',;+\x20\t\r]*+(?:(?:\\+r)?\\+n["',;+\x20\t\r]*+\n?|\n)[\x20\t>*#|"']*+(?://[\x20\t]++)?+"""
+_JUNK = r"""(?:[\s"'>*#|+,;.]|\\+[nrt]?|<br\s*/?>)*+"""
+_PEM_BODY = (rf"(?:{_LINE_END}[A-Za-z][A-Za-z0-9-]*:[^\n\\]*+)*+"
+             rf"(?:{_JUNK}[A-Za-z0-9+/]{{20,}}+=*+|{_LINE_END}[A-Za-z0-9+/]++=*+(?=[\"',;+\x20\t\r]*+(?:[\\\n]|\Z)))*+"
+             rf"(?:{_JUNK}[A-Za-z0-9+/]*+=*+{_JUNK}-----END [A-Z ]*PRIVATE KEY-----)?+")
+
 # The three base kinds, then further kinds of published token formats.
 BASE_RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -51,7 +60,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]+", min_chars=32),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + _PEM_BODY),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", min_chars=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", min_chars=15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", min_chars=39),
