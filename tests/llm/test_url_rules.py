@@ -80,3 +80,27 @@ def test_edges(spark):
                                   "page_id long, url string, host string")
     got = sorted((r.page_id or 0, r.verdict) for r in U.judge_urls(twice, empty).collect())
     assert got == [(0, "allow"), (1, "block"), (1, "block")]
+
+
+def judged(spark, rows, urls):
+    """Rules mined from (url, blocked) rows and the verdicts of ``urls``."""
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    rules = U.mine_rules(frame.withColumn("host", U.host_of(frame.url)).withColumn("path", U.path_of(frame.url)))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    return rules.collect(), [r.verdict for r in U.judge_urls(pages, rules).orderBy("page_id").collect()]
+
+
+def test_many_redundant_rules_push_out_no_other(spark, monkeypatch):
+    """Eight sites of 12 tokens give 2,384 sure block rules; a weaker site and its exception stay."""
+    sites = [".".join(c * 2 + d * 2 for d in "uvwxyz") for c in "abcdefgh"]
+    rows = [(f"http://{s}/{i}", True) for s in sites for i in range(30)]
+    rows += [(f"http://weak.org/{i}", True) for i in range(96)] + [(f"http://weak.org/good/{i}", False) for i in range(24)]
+    rows += [(f"http://fine.org/{i}", False) for i in range(300)]
+    urls = ["http://weak.org/x", "http://weak.org/good/x", "http://fine.org/x", *(f"http://{s}/" for s in sites)]
+    want = ["block", "allow", "allow"] + ["block"] * 8
+    rules, verdicts = judged(spark, rows, urls)
+    assert verdicts == want
+    sets = [(set(r["items"]), r) for r in rules]
+    assert not any(s < t and q.verdict == r.verdict and q.confidence >= r.confidence for s, q in sets for t, r in sets)
+    monkeypatch.setattr(U, "BROADCAST_RULES", 0)
+    assert judged(spark, rows, urls)[1] == want

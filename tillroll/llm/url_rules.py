@@ -4,8 +4,8 @@ A curated rule fits its host and all subdomains if the url's path starts with th
 path; the longest (host and path together) wins.  Urls without a curated rule are judged
 by association rules: FP-growth mines frequent combinations of url tokens with the
 verdicts of labelled urls, rules below a support or confidence are dropped, as are rules
-that a shorter one implies with no less confidence, and an inverted index (token ->
-rules) finds the rules all of whose tokens a url has.  The rule of highest confidence
+that a shorter one implies with no less confidence (all others are kept), and an inverted
+index (token -> rules) finds the rules all of whose tokens a url has.  The rule of highest confidence
 decides (ties: larger support, then block); a url without one is allowed.
 
 Tokens are the labels of the host (by name), the segments of the path without digits,
@@ -22,6 +22,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tillroll.session import ensure_checkpoint_dir
+
 # Fixed values: (verdict, host, path) of the curated rules.
 CURATED = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
            ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -29,8 +31,8 @@ BLOCK, ALLOW = "verdict=block", "verdict=allow"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.7
 MAX_TOKENS = 3
-# Rules kept at most, best first: the bound of what is broadcast (about 200 bytes each).
-MAX_RULES = 2_000
+# Rules up to this number are broadcast (about 200 bytes each); more are shuffle-joined.
+BROADCAST_RULES = 20_000
 # Tokens of fewer labelled urls than this cannot be in a rule that is worth keeping.
 MIN_URLS = 20
 
@@ -71,6 +73,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     former cannot support a rule, the latter cannot tell urls apart.
     """
     spark = labelled.sparkSession
+    ensure_checkpoint_dir(spark)
     rows = (labelled.where("url is not null and blocked is not null")
             .select("blocked", tokens("host", "path", "url").alias("items")))
     n = rows.count()
@@ -78,41 +81,46 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     if n == 0:
         return spark.createDataFrame([], spark_rules)
     counts = (rows.select(F.explode_outer("items").alias("t")).where("t is not null").groupBy("t")
-              .agg(F.count("*").alias("c")).where((F.col("c") >= max(MIN_URLS, min_support * n)) & (F.col("c") <= n / 2)))
-    vocabulary = [r["t"] for r in counts.orderBy(F.desc("c"), "t").limit(MAX_RULES).collect()]        # bounded
-    known = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
+              .agg(F.count("*").alias("c")).where(F.col("c") > n / 2))
+    common = [r["t"] for r in counts.collect()]                         # under two for every token of a url
+    common = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
     verdict = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    baskets = rows.select(F.concat(F.array_intersect("items", known), F.array(verdict)).alias("items"))
+    baskets = rows.select(F.concat(F.array_except("items", common), F.array(verdict)).alias("items"))
     support = max(min_support, MIN_URLS / n)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = (model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW))
              .where(F.size("antecedent") <= MAX_TOKENS).where(~F.arrays_overlap("antecedent", F.array(F.lit(BLOCK), F.lit(ALLOW))))
              .select(F.array_sort("antecedent").alias("items"),
                      F.when(F.col("consequent")[0] == BLOCK, "block").otherwise("allow").alias("verdict"),
-                     "confidence", "support"))
-    # Allow is what happens anyway: allow rules matter only against block rules.
-    kept = found.orderBy(F.desc(F.col("verdict") == "block"), F.desc("confidence"), F.desc("support"), "items").limit(MAX_RULES)
-    rules = kept.collect()                                                                            # bounded
-    if not any(r["verdict"] == "block" for r in rules):
+                     "confidence", "support").checkpoint())
+    if found.where("verdict = 'block'").isEmpty():                      # allow is what happens anyway
         return spark.createDataFrame([], spark_rules)
-    sets = [(frozenset(r["items"]), r) for r in rules]
-    pruned = [r for s, r in sets
-              if not any(t < s and q["verdict"] == r["verdict"] and q["confidence"] >= r["confidence"] for t, q in sets)]
-    return spark.createDataFrame([(r["items"], r["verdict"], r["confidence"], r["support"], i)
-                                  for i, r in enumerate(pruned)], spark_rules)
+    return prune_rules(found).withColumn("rule_id", F.monotonically_increasing_id()).checkpoint()
+
+
+def prune_rules(found: DataFrame) -> DataFrame:
+    """``found`` without the rules that a rule of fewer of their tokens implies with no less confidence."""
+    parts = F.expr("CASE WHEN size(items) > 1 THEN transform(sequence(1, shiftleft(1, size(items)) - 2), "
+                   "m -> filter(items, (x, i) -> (shiftright(m, i) & 1) = 1)) END")
+    shorter = found.select(F.col("items").alias("part"), F.col("verdict").alias("to"), F.col("confidence").alias("as_sure"))
+    implied = (found.select("items", "verdict", "confidence", F.explode_outer(parts).alias("part"))
+               .join(shorter, ["part"]).where("verdict = to AND as_sure >= confidence").select("items", "verdict").distinct())
+    return found.join(implied, ["items", "verdict"], "left_anti").select(found.columns)
 
 
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, url, mined) of the distinct ``urls`` that a rule fits.
 
-    The index holds each rule under every token with the number of its tokens; a url
-    has the rule if it meets it as often.  At most MAX_RULES * MAX_TOKENS index rows.
+    The index holds each rule under the one of its tokens that the fewest rules have; a
+    url that has this token is tested for the others.
     """
-    index = rules.select("rule_id", "verdict", "confidence", "support", F.size("items").alias("need"),
-                         F.explode("items").alias("token"))
-    met = (urls.select("url", F.explode_outer(tokens("host", "path", "url")).alias("token"))
-           .join(F.broadcast(index), "token").groupBy("url", "rule_id", "verdict", "confidence", "support", "need")
-           .agg(F.count("*").alias("met")).where("met = need"))
+    held = rules.select("rule_id", F.explode("items").alias("token"))
+    rare = (held.join(held.groupBy("token").agg(F.count("*").alias("n")), "token")
+            .groupBy("rule_id").agg(F.min(F.struct("n", "token")).alias("least")).select("rule_id", "least.token"))
+    index = rules.join(rare, "rule_id").select("token", "items", "verdict", "confidence", "support")
+    small = rules.count() <= BROADCAST_RULES
+    met = (urls.select("url", tokens("host", "path", "url").alias("has")).select("url", "has", F.explode_outer("has").alias("token"))
+           .join(F.broadcast(index) if small else index, "token").where(F.size(F.array_except("items", "has")) == 0))
     best = F.max(F.struct("confidence", "support", "verdict")).alias("best")                # block > allow by name
     return met.groupBy("url").agg(best).select("url", F.col("best.verdict").alias("mined"))
 
