@@ -104,3 +104,11 @@ def test_many_redundant_rules_push_out_no_other(spark, monkeypatch):
     assert not any(s < t and q.verdict == r.verdict and q.confidence >= r.confidence for s, q in sets for t, r in sets)
     monkeypatch.setattr(U, "BROADCAST_RULES", 0)
     assert judged(spark, rows, urls)[1] == want
+
+
+def test_combination_with_a_frequent_token(spark):
+    """/en/ is on most urls; one site is bad only there."""
+    rows = [(f"http://site.org/en/{i}", True) for i in range(40)] + [(f"http://site.org/fr/{i}", False) for i in range(40)]
+    rows += [(f"http://fine.org/en/{i}", False) for i in range(100)]
+    rules, verdicts = judged(spark, rows, ["http://site.org/en/x", "http://site.org/fr/x", "http://fine.org/en/x"])
+    assert verdicts == ["block", "allow", "allow"] and any("path:en" in r["items"] and r.verdict == "block" for r in rules)

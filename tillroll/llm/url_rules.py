@@ -69,8 +69,8 @@ def tokens(host: str, path: str, url: str) -> Column:
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(rule_id, items, verdict, confidence, support) mined from (url, blocked) rows.
 
-    Tokens on under MIN_URLS or on over half of the labelled urls are left out: the
-    former cannot support a rule, the latter cannot tell urls apart.
+    Tokens on under MIN_URLS of the labelled urls are left out, as they cannot support a
+    rule; frequent ones stay, since combinations with them can tell urls apart.
     """
     spark = labelled.sparkSession
     ensure_checkpoint_dir(spark)
@@ -80,12 +80,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     spark_rules = "items array<string>, verdict string, confidence double, support double, rule_id long"
     if n == 0:
         return spark.createDataFrame([], spark_rules)
-    counts = (rows.select(F.explode_outer("items").alias("t")).where("t is not null").groupBy("t")
-              .agg(F.count("*").alias("c")).where(F.col("c") > n / 2))
-    common = [r["t"] for r in counts.collect()]                         # under two for every token of a url
-    common = F.array(*[F.lit(t) for t in common]) if common else F.array().cast("array<string>")
     verdict = F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    baskets = rows.select(F.concat(F.array_except("items", common), F.array(verdict)).alias("items"))
+    baskets = rows.select(F.concat("items", F.array(verdict)).alias("items"))
     support = max(min_support, MIN_URLS / n)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = (model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW))
