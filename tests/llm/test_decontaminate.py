@@ -108,3 +108,14 @@ def test_edges(spark, benchmark):
                                  "doc_id long, text string, words int")
     got = sorted((r.doc_id or 0, r.contaminated) for r in D.decontaminate(rows, benchmark).collect())
     assert got == [(0, False), (0, True), (4, False), (4, True), (4, True)]
+
+
+def test_items_with_another_tail(spark):
+    """Leaked items whose end is replaced by short words, repeated or not, are found if the windows say so."""
+    items = {k: prose(100 + k, 60) for k in range(8)}
+    tails = ("x", "0 1", "one two three four five six seven")
+    texts = [" ".join(t.split()[:60 - n] + (tail.split() * n)[:n]) for t in items.values() for tail in tails for n in (6, 12, 16)]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = rows_of(D.decontaminate(frame(spark, texts), bench))
+    want = [plain_best(t, items)[0] >= 0.8 for t in texts]
+    assert [got[i].contaminated for i in range(len(texts))] == want and 30 < sum(want) < len(want)

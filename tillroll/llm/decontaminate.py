@@ -12,11 +12,9 @@ over 5-word shingles s, weight(s) being the letters and digits of s.
    those that line up with an item on a shared shingle (one for each
    offset between text and item).  They are found by exploding the shingle hashes of
    the texts against the item shingles; nothing but these windows leaves the scan.
-2. SimHash: the window and the item get 64-bit fingerprints of their words.
-3. Multi-index Hamming blocks: the 64 bits are cut into RADIUS + 1 blocks; a window
-   within RADIUS bits of its item equals it on a block, so joining on (item, block,
-   value) finds all of them, and the exact distance follows.
-4. The exact similarity verifies what is left.
+2. The exact similarity verifies every one of them.  No fingerprint stands between: a
+   SimHash of so short a window loses some that reach 0.8 (most with a repeated short word
+   at the end) and could find none that share no shingle.
 
 Words are runs of letters and digits, lower-cased.  Edge cases: null and empty texts are
 clean; items that are null or under 5 words cannot be judged and flag nothing; repeated
@@ -59,17 +57,8 @@ def shingles(words: str, size: int = SHINGLE_WORDS) -> str:
     return f"transform(sequence(0, size({words}) - {size}), i -> array_join(slice({words}, i + 1, {size}), ' '))"
 
 
-def simhash(words: str) -> Column:
-    """64-bit majority fingerprint over the hashes of the words."""
-    # the hashes are bound to a lambda's name, so they are made once and not for every bit
-    return F.expr(
-        f"element_at(transform(array(transform({words}, x -> xxhash64(x))), hs -> aggregate(transform(sequence(0, 63), "
-        f"b -> IF(2 * size(filter(hs, h -> (shiftrightunsigned(h, b) & 1L) = 1L)) > size(hs), shiftleft(1L, b), 0L)), "
-        f"0L, (a, x) -> a | x)), 1)")
-
-
 def blocks(fp: str, radius: int = RADIUS) -> Column:
-    """Array of (number, value) of the ``radius`` + 1 blocks of a fingerprint."""
+    """Array of (number, value) of the ``radius`` + 1 blocks of a fingerprint (``leaks`` uses none)."""
     cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
     return F.expr("array(" + ", ".join(
         f"struct({k} AS block, shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L AS value)"
@@ -77,11 +66,11 @@ def blocks(fp: str, radius: int = RADIUS) -> Column:
 
 
 def item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Items of 5 words or more: id, words, length, shingle strings, fingerprint."""
+    """Items of 5 words or more: id, length, shingle strings and hashes."""
     return (items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("item_words"))
             .where(F.size("item_words") >= SHINGLE_WORDS).distinct()
             .select("item_id", F.size("item_words").alias("length"), F.expr(shingles("item_words")).alias("item_shingles"),
-                    shingle_hashes("item_words").alias("hashes"), simhash("item_words").alias("item_fp")))
+                    shingle_hashes("item_words").alias("hashes")))
 
 
 def windows(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, broadcast: bool) -> DataFrame:
@@ -132,13 +121,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     n = items.agg(F.sum(F.size("hashes"))).first()[0] or 0
     small = n <= BROADCAST_SHINGLES
     found = windows(docs, items, id_col, text_col, small).where(F.size("window") >= SHINGLE_WORDS)
-    marked = found.withColumn("fp", simhash("window"))
-    side = items.select("item_id", "item_fp", "item_shingles", F.inline_outer(blocks("item_fp")))
-    inside = (marked.select("*", F.inline_outer(blocks("fp"))).join(F.broadcast(side) if small else side,
-                                                             ["item_id", "block", "value"])
-              .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-              .select("id", "text_hash", "item_id", "start", "window", "item_shingles").distinct())
-    return (inside.withColumn("similarity", similarity())
+    side = items.select("item_id", "item_shingles")
+    paired = found.join(F.broadcast(side) if small else side, "item_id")
+    return (paired.withColumn("similarity", similarity())
             .where(F.col("similarity") >= MIN_SIMILARITY)
             .select("id", "text_hash", "item_id", "start", "similarity"))
 
