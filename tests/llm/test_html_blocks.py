@@ -56,3 +56,29 @@ def test_frames(spark):
     got = H.extract_main_text(pages).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "", 0), (2, "hi", 2), (2, "hi", 2)]
     assert H.extract_main_text(pages.limit(0)).count() == 0 and rows_of(pages, "page_id")
+
+
+def test_names_of_the_whole_page_mark_nothing():
+    want = H._SPACE.sub(" ", LONG).strip()
+    for page in (f"<body class='page has-sidebar'><p>{LONG}</p>", f"<body class='sidebar'><p>{LONG}</p>",
+                 f"<article class='post comments-open'><p>{LONG}</p></article>", f"<main id=menu><p>{LONG}</p></main>",
+                 f"<div id='page-header-content'><p>{LONG}</p></div>"):
+        assert H.main_text(page) == want, page
+    assert H.main_text(f"<div class='box sidebar'><p>{LONG}</p></div>") == ""
+
+
+def test_head_without_end():
+    want = H._SPACE.sub(" ", LONG).strip()
+    head = "<html><head><meta charset=utf-8><title>T</title><script>x('<p>no</p>')</script>"
+    assert H.main_text(f"{head}<body><p>{LONG}</p>") == want
+    assert H.main_text(f"{head}<p>{LONG}</p>") == want
+    assert H.main_text(f"{head}</head><body><p>{LONG}</p>") == want
+
+
+def test_other_languages():
+    text = ("Rzeka i stare mury miasta widziały już wiele pokoleń kupców, którzy każdej wiosny przywozili tutaj sól, sukno oraz "
+            "bursztyn znad morza. Dzisiaj nad brzegiem stoją nowe domy, lecz dawny rynek nadal żyje własnym rytmem targów.")
+    footer = "<footer>x</footer>"
+    assert H.main_text(f"<body>{NAV}<div><p>{text}</p><p>{text}</p></div>{footer}") == f"{text}\n{text}"
+    keywords = "cheap shoes online buy shoes discount sale " * 6                       # still bad on a page of known language
+    assert keywords[:20] not in H.main_text(f"<p>{LONG * 2}</p><p>{keywords}</p>")

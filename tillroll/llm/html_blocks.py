@@ -10,6 +10,7 @@ good only inside the page's article.  A heading is good if the next decided bloc
 
 Blocks of <article> or <main> are decided among themselves: markup says they are content,
 so neighbours outside do not count for them, and long blocks there need no stop words.
+Nor do long blocks anywhere on a page whose language the stop words do not fit.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by one \\n.
@@ -37,7 +38,7 @@ STOP_LOW = 0.30
 STOP_HIGH = 0.32
 
 # Tags and names.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas head title select option textarea button".split())
+SKIPPED = frozenset("script style noscript template iframe object svg math canvas title select option textarea button".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center col colgroup dd details dialog div dl dt fieldset figcaption figure "
@@ -46,6 +47,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
+WHOLE = frozenset("html body main article".split())         # their names tell of the page, not of what they hold
+IN_HEAD = frozenset("base link meta head html".split())     # besides SKIPPED; any other tag ends an open head
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header "
     "menu modal nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar social sponsor "
@@ -82,8 +85,12 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         return False
     if re.search(r"\bhidden\b", _NAMES.sub("", attributes)) or "display:none" in attributes.replace(" ", ""):
         return True
-    words = re.split(r"[^a-z0-9]+", " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower())
-    return not BOILERPLATE_NAMES.isdisjoint(words)
+    if tag in WHOLE:
+        return False
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split()
+    # whole names, or compounds of nothing else ("cookie-banner", not "has-sidebar")
+    return any(parts and BOILERPLATE_NAMES.issuperset(parts)
+               for parts in ([p for p in re.split(r"[^a-z0-9]+", name) if p] for name in names))
 
 
 def blocks(page: str) -> list[Block]:
@@ -93,6 +100,7 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     open_tags: list[tuple[str, bool, bool]] = []            # (tag, boilerplate, article) of open elements
     skip = ""                                               # the skipped element that is open
+    in_head = False
     tag_of_block = "body"
     in_link = 0
 
@@ -109,7 +117,9 @@ def blocks(page: str) -> list[Block]:
     for m in _TOKEN.finditer(page):
         text = m.group(4)
         if text is not None:
-            if not skip:
+            if in_head and not skip and text.strip():
+                in_head = False                             # as in browsers, text begins the body
+            if not skip and not in_head:
                 parts.append(text)
                 if in_link:
                     linked.append(text)
@@ -128,6 +138,12 @@ def blocks(page: str) -> list[Block]:
                     flush()
                 skip = tag
             continue
+        if tag == "head":
+            flush()
+            in_head = not m.group(1) and not m.group(3).endswith("/")
+            continue
+        if in_head and not m.group(1) and tag not in IN_HEAD:
+            in_head = False                                 # </head> may be left out
         if tag == "a":
             in_link = 0 if m.group(1) else 1
             continue
@@ -153,20 +169,33 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block) -> str:
-    """good, bad, near (undecided, medium) or short (undecided, short)."""
+def _stop_words(block: Block) -> tuple[int, int]:
+    words = _WORD.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def knows_language(items: list[Block]) -> bool:
+    """Whether the stop words fit the page: they do if its link-poor text, as a whole, has enough of them."""
+    counts = [_stop_words(b) for b in items
+              if not b.bad and len(b.text) >= SHORT_CHARS and b.links <= MAX_LINK_DENSITY * len(b.text)]
+    stops, words = sum(s for s, _ in counts), sum(w for _, w in counts)
+    return not words or stops >= STOP_LOW * words
+
+
+def first_pass(block: Block, known: bool = True) -> str:
+    """good, bad, near (undecided, medium) or short (undecided, short); ``known``: the stop words fit the page."""
     n = len(block.text)
     if block.bad or block.links > MAX_LINK_DENSITY * n:
         return "bad"
     if n < SHORT_CHARS:
         return "short"
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    stops, words = _stop_words(block)
+    density = stops / words if words else 0.0
     if density >= STOP_HIGH:
         return "good" if n > LONG_CHARS else "near"
     if density >= STOP_LOW:
         return "near"
-    if block.article:
+    if block.article or not known and words:
         return "good" if n > LONG_CHARS else "near"
     return "bad"
 
@@ -203,7 +232,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     items = blocks(page)
-    good = second_pass(items, [first_pass(b) for b in items])
+    known = knows_language(items)
+    good = second_pass(items, [first_pass(b, known) for b in items])
     return "\n".join(b.text for b, keep in zip(items, good) if keep)
 
 
