@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tillroll.llm import (bpe, decontaminate, html_blocks, licenses, line_quality, secrets, sharding, simhash,
-                          toxicity, url_rules)
+from tillroll.llm import (bpe, decontaminate, hard_negatives, html_blocks, licenses, line_quality, multi_index, secrets,
+                          sharding, simhash, spelling, toxicity, url_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
@@ -22,6 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_multi_index": multi_index.op13_multi_index,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_stratified_shards": sharding.OP4_SQL,
