@@ -88,7 +88,7 @@ def test_long_words_in_a_leaf():
 def test_edges(spark):
     ddl = "doc_id long, text string, word string, n int, run string, `h.x` int"
     texts = [(1, "Strasse STRASSE strasse straße straße"), (2, None), (None, "weather weathers weather WEATHER"), (3, ""),
-             (3, "Überall Überall überall short short"), (4, "x" * 200_000 + " " + "x" * 200_000), (4, "×÷×÷×÷×÷ ×÷×÷×÷×÷ naïveté naïveté")]
+             (3, "Überall Überall überall short short"), (4, "x" * 2_000 + " " + "x" * 2_000), (4, "×÷×÷×÷×÷ ×÷×÷×÷×÷ naïveté naïveté")]
     texts += [(9, "gardens gardens"), (9, "gardens gardens")] + [(i, "gardener gardener") for i in range(20, 60)]
     df = spark.createDataFrame([(i, t, "w", 1, "r", 2) for i, t in texts], ddl)
     assert rows_of(S.spelling_variants(df)) == plain(plain_counts(texts))
