@@ -8,8 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.operators.ranking import (exact_percentile, global_row_number, key_span, ntile_buckets,
-                                        order_key, select_ranks)
+from tests.plan_utils import plan_text
+from tillroll.operators import ranking
+from tillroll.operators.ranking import (exact_percentile, exact_percentiles, global_row_number, key_span, ntile_buckets,
+                                        order_key, select_ranks, select_text_ranks)
 
 
 def _frame(spark, values, kind="long"):
@@ -95,3 +97,80 @@ def test_exact_percentile_hot_value(spark):
     df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(50.0)).otherwise(F.rand(3) * 100).alias("x"))
     got = exact_percentile(df, "x", 0.5).first()["value"]
     assert got == pytest.approx(df.agg(F.percentile("x", 0.5)).first()[0], rel=1e-12)
+
+
+def test_select_ranks_of_plain_rows(spark):
+    """Rows need not be counted by value first."""
+    rng = random.Random(3)
+    values = sorted(rng.choice([7, rng.randint(0, 1 << 40)]) for _ in range(500))
+    rows = spark.createDataFrame([(0, v, 1) for v in values], "g int, key long, n long")
+    targets = spark.createDataFrame([(0, r, r) for r in (1, 200, 251, 500)], "g int, t int, rank long")
+    got = {r.t: (r.key, r.nth) for r in select_ranks(rows, targets, key_span(rows)).collect()}
+    assert got == {r: (values[r - 1], r - values.index(values[r - 1])) for r in (1, 200, 251, 500)}
+
+
+def test_percentiles_of_several_columns_share_the_passes(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, rng.randint(-5, 5)]), rng.random(), None, rng.randint(0, 10 ** 12) / 1000) for _ in range(999)]
+    df = spark.createDataFrame(rows, "a int, b double, c double, d double")
+    got = exact_percentiles(df, {"a": ("a", .5, None), "b": ("b", .25, None), "c": ("c", .5, None), "d": ("d", .9, 1000)}).first()
+    for name, p in (("a", .5), ("b", .25), ("d", .9)):
+        assert got[name] == pytest.approx(df.agg(F.percentile(name, p)).first()[0], rel=1e-12)
+    assert got["c"] is None
+
+
+def test_median_shuffles_counts_only(spark):
+    """No exchange of the plan, nor of the passes before it, carries values: only counts by digit."""
+    df = spark.range(200_000).select((F.rand(5) * 1e6).alias("x"))
+    sizes = []
+
+    def watched(under, state, group, real=ranking._at_digit):
+        sizes.append(under.groupBy(*group, "digit").count().count())
+        return real(under, state, group)
+
+    plain, ranking._at_digit = ranking._at_digit, watched
+    try:
+        plan = plan_text(exact_percentile(df, "x", per_unit=10 ** 6), "simple")
+    finally:
+        ranking._at_digit = plain
+    assert len(sizes) == 3 and max(sizes) <= 1 << 16
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and all("prefix" in line or "digit" in line or "key" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aé\u0000z", "0123456789abcdef"])
+def test_select_text_ranks(spark, alphabet):
+    rng = random.Random(len(alphabet))
+    ids = {"".join(rng.choice(alphabet) for _ in range(rng.randint(0, 9))) for _ in range(400)}
+    parts = [(0, i) for i in ids] + [(1, i) for i in ids if len(i) > 4]
+    rows = spark.createDataFrame(parts, "g int, id string")
+    orders = {g: sorted((i for h, i in parts if h == g), key=lambda s: s.encode()) for g in (0, 1)}
+    targets = [(g, r) for g in (0, 1) for r in (1, 2, len(orders[g]) // 2, len(orders[g]), len(orders[g]) + 1)]
+    few, ranking.FEW_IDS = ranking.FEW_IDS, 5
+    try:
+        got = select_text_ranks(rows, targets)
+    finally:
+        ranking.FEW_IDS = few
+    assert got == {(g, r): orders[g][r - 1] for g, r in targets if r <= len(orders[g])}
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "int", "double"])
+def test_ntile_buckets_under_total_ties(spark, kind):
+    """All rows tie: the ids alone decide, and none of them is sorted or shuffled."""
+    n = 5000
+    df = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("s"), "id", F.lit(1).alias("v"))
+    who = {"string": F.col("s"), "binary": F.col("s").cast("binary"), "int": F.col("id").cast("int"), "double": F.col("id") * 1.5}[kind]
+    df = df.select(who.alias("who"), "v")
+    few, ranking.FEW_IDS = ranking.FEW_IDS, 16
+    try:
+        got = ntile_buckets(df, 5, {"b": ("v", False), "d": ("v", True)}, "who")
+    finally:
+        ranking.FEW_IDS = few
+    plan = plan_text(got, "simple")
+    assert "Exchange" not in plan and "Sort" not in plan
+    want = df.withColumn("b", F.ntile(5).over(Window.orderBy("v", "who")).cast("long"))
+    assert got.select("who", "v", "b").exceptAll(want).count() == 0 and got.where("b <> d").count() == 0
+
+
+def test_ntile_buckets_of_an_empty_frame(spark):
+    assert ntile_buckets(_frame(spark, []), 3, {"b": ("v", False)}, "id").count() == 0

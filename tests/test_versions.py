@@ -1,0 +1,143 @@
+"""Versioned layers: a load stopped anywhere shows the old or the new tables, never a mix."""
+
+import os
+import shutil
+
+import pytest
+
+from tests.conftest import SF001
+from tests.edge_data import KEYED, spark_frames
+from tests.test_landing import _write_csv
+from tillroll import catalog
+from tillroll.model import TABLES
+from tillroll.sources import landing, versions
+from tillroll.sources.landing import LOAD_ORDER, ParquetShop, land_all, publish, publish_all, published, register_layer
+from tillroll.sources.testbind import TestShop
+from tillroll.sources.versions import (VersionConflict, all_versions, commit_version, current_version, drop_versions,
+                                       write_version)
+
+
+class Killed(BaseException):
+    pass
+
+
+def _export(spark, folder, copies):
+    """An export whose every table tells by its row count which load it belongs to."""
+    for name, df in spark_frames(spark, KEYED).items():
+        rows = df.select(*TABLES[name].file_schema.names)
+        many = rows
+        for _ in range(copies - 1):
+            many = many.unionByName(rows)
+        _write_csv(many, os.path.join(folder, name))
+
+
+def _counts(spark, raw):
+    return {t: df.count() for t, df in ParquetShop(spark, raw).all_tables().items()}
+
+
+def test_a_load_killed_at_any_step_shows_one_set(spark, tmpdir_fresh, monkeypatch):
+    csv_dir, raw = os.path.join(tmpdir_fresh, "csv"), os.path.join(tmpdir_fresh, "raw")
+    names = {t: t for t in LOAD_ORDER}
+    _export(spark, csv_dir, 1)
+    land_all(spark, csv_dir, raw, names, check_keys=False)
+    old = _counts(spark, raw)
+    _export(spark, csv_dir, 2)
+    new = {t: 2 * n for t, n in old.items()}
+    write, commit, text = landing._write, landing.commit_version, versions.current_version
+
+    def killed_in(module, name, nth, after):
+        calls, real = [], getattr(module, name)
+
+        def step(*a, **k):
+            calls.append(1)
+            if len(calls) == nth and not after:
+                raise Killed
+            out = real(*a, **k)
+            if len(calls) == nth and after:
+                raise Killed
+            return out
+        monkeypatch.setattr(module, name, step)
+        with pytest.raises(Killed):
+            land_all(spark, csv_dir, raw, names, check_keys=False)
+        monkeypatch.undo()
+
+    for nth in (1, 4, 7):
+        killed_in(landing, "_write", nth, True)
+        assert _counts(spark, raw) == old
+    killed_in(landing, "commit_version", 1, False)
+    assert _counts(spark, raw) == old
+    killed_in(landing, "commit_version", 1, True)
+    assert _counts(spark, raw) == new
+    assert (write, commit, text) == (landing._write, landing.commit_version, versions.current_version)
+    before = len(os.listdir(os.path.join(raw, "_versions")))
+    drop_versions(spark, raw, keep=1)
+    assert before == 6 and len(os.listdir(os.path.join(raw, "_versions"))) == 1          # leftovers of killed loads too
+    assert _counts(spark, raw) == new
+
+
+def test_readers_keep_the_version_they_pinned(spark, tmpdir_fresh):
+    write_version(tmpdir_fresh, {"orders": spark.range(3), "products": spark.range(1)})
+    shop = ParquetShop(spark, tmpdir_fresh)
+    write_version(tmpdir_fresh, {"orders": spark.range(5)})
+    assert shop.orders().count() == 3 and shop.refresh().orders().count() == 5
+    assert shop.refresh().products().count() == 1                # tables that are not named go on
+    assert [v.number for v in all_versions(spark, tmpdir_fresh)] == [1, 2]
+    assert drop_versions(spark, tmpdir_fresh, keep=1) == [all_versions(spark, tmpdir_fresh)[0].name][:0] + [shop._pinned.name]
+    fresh = ParquetShop(spark, tmpdir_fresh)
+    assert fresh.orders().count() == 5 and fresh.products().count() == 1
+    with pytest.raises(ValueError):
+        drop_versions(spark, tmpdir_fresh, keep=0)
+
+
+def test_an_unfinished_manifest_is_none(spark, tmpdir_fresh):
+    write_version(tmpdir_fresh, {"orders": spark.range(3)})
+    os.makedirs(os.path.join(tmpdir_fresh, "_manifests", "half", "_temporary", "0"))
+    with open(os.path.join(tmpdir_fresh, "_manifests", "half", "_temporary", "0", "part-0"), "w") as f:
+        f.write("{")
+    assert current_version(spark, tmpdir_fresh).number == 1
+    assert current_version(spark, os.path.join(tmpdir_fresh, "none")) is None
+
+
+def test_two_writers_of_one_number_are_told(spark, tmpdir_fresh, monkeypatch):
+    commit_version(spark, tmpdir_fresh, "a", {"t": f"{tmpdir_fresh}/x"})
+    seen = current_version(spark, tmpdir_fresh)
+    commit_version(spark, tmpdir_fresh, "b", {"t": f"{tmpdir_fresh}/y"})
+    monkeypatch.setattr(versions, "current_version", lambda spark, layer: seen)      # it looked before b was there
+    with pytest.raises(VersionConflict):
+        commit_version(spark, tmpdir_fresh, "c", {"t": f"{tmpdir_fresh}/z"})
+
+
+def test_a_layer_can_be_moved(spark, tmpdir_fresh):
+    one, two = os.path.join(tmpdir_fresh, "one"), os.path.join(tmpdir_fresh, "two")
+    write_version(one, {"orders": spark.range(4)})
+    shutil.move(one, two)
+    assert ParquetShop(spark, two).orders().count() == 4
+
+
+def test_results_are_published_together(spark, tmpdir_fresh):
+    publish(spark.range(1), tmpdir_fresh, "a")
+    publish_all(tmpdir_fresh, {"a": spark.range(2), "b": spark.range(3)})
+    assert published(spark, tmpdir_fresh, "a").count() == 2 and published(spark, tmpdir_fresh, "b").count() == 3
+    with pytest.raises(LookupError):
+        published(spark, tmpdir_fresh, "c")
+
+
+def test_bucketed_versions_are_pinned_through_the_catalog(spark, tmpdir_fresh):
+    csv_dir, raw, db = os.path.join(tmpdir_fresh, "csv"), os.path.join(tmpdir_fresh, "raw"), "raw_pinned"
+    names = {t: t for t in LOAD_ORDER}
+    _export(spark, csv_dir, 1)
+    land_all(spark, csv_dir, raw, names, buckets=2, database=db, check_keys=False)
+    shop = ParquetShop(spark, raw, database=db)
+    n = shop.order_items().count()
+    _export(spark, csv_dir, 2)
+    land_all(spark, csv_dir, raw, names, buckets=2, database=db, check_keys=False)
+    assert shop.order_items().count() == n and shop.refresh().order_items().count() == 2 * n
+    assert spark.table(f"{db}.order_items").count() == 2 * n
+    register_layer(spark, raw, "raw_pinned_again", buckets=2)
+    assert ParquetShop(spark, raw, database="raw_pinned_again").order_items().count() == 2 * n
+
+
+def test_layer_versions_job(spark):
+    rows = {(r.layer_version, r.table_name): r.row_count for r in catalog.run_on(TestShop(spark, SF001), "layer_versions").collect()}
+    assert len(rows) == 14 and rows["second", "products"] == 0 < rows["first", "products"]
+    assert rows["second", "order_items"] < rows["first", "order_items"] and rows["first", "orders"] == rows["second", "orders"]

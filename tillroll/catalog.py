@@ -26,6 +26,7 @@ from tillroll.session import apply_required_conf, ensure_checkpoint_dir
 from tillroll.sources.landing import ParquetShop, land_csv, write_table
 from tillroll.sources.landing import publish as publish_table
 from tillroll.sources.testbind import TestShop
+from tillroll.sources.versions import write_version
 
 
 def publish(df: DataFrame) -> DataFrame:
@@ -185,12 +186,18 @@ def _(s: TestShop):
 
 
 # --------------------------------------------------------------------- load path
+# The order in which rows stand in the CSV files, where generated keys depend on it.
+FILE_ORDER = {"order_reviews": ("review_creation_date", "review_id", "order_id", "review_score")}
+
+
 def _landed(s: TestShop, table: str) -> DataFrame:
     """The table written as CSV, landed as Parquet and read back, all below the shared checkpoint folder."""
     df = s.all_tables()[table]
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
     fields = TABLES[table].file_schema.fields
+    if table in FILE_ORDER:
+        df = df.orderBy(*[F.asc_nulls_last(c) for c in FILE_ORDER[table]])
     out = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
     (out.write.option("header", "true").option("escape", '"').option("nullValue", "").option("emptyValue", '""')
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{folder}/{table}.csv"))
@@ -206,7 +213,7 @@ LANDED = {
     "products": ("product_id", "product_category_name"),
     "order_items": ("order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price", "freight_value"),
     "order_payments": ("order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"),
-    "order_reviews": ("review_id", "order_id", "review_score", "review_creation_date"),
+    "order_reviews": ("review_sk", "review_id", "order_id", "review_score", "review_creation_date"),
     "product_category_translation": ("product_category_name", "product_category_name_english"),
 }
 SHOP_METHODS = {"product_category_translation": "translation"}
@@ -221,6 +228,20 @@ def _(s: TestShop):
     return spark.read.parquet(publish_table(out, f"{ensure_checkpoint_dir(spark)}/analytics-{uuid.uuid4().hex}", "summary"))
 
 
+@job("layer_versions")
+def _(s: TestShop):
+    """Two versions of a layer: a shop pinned to the first reads it whole while the second, of fewer items, is current."""
+    tables = s.all_tables()
+    spark = tables["orders"].sparkSession
+    layer = f"{ensure_checkpoint_dir(spark)}/layer-{uuid.uuid4().hex}"
+    write_version(layer, tables)
+    pinned = ParquetShop(spark, layer)
+    write_version(layer, {"order_items": tables["order_items"].where("order_item_id > 1"), "products": tables["products"].limit(0)})
+    shops = {"first": pinned, "second": pinned.refresh()}
+    counts = [Q.row_counts(shop.all_tables()).withColumn("layer_version", F.lit(v)) for v, shop in shops.items()]
+    return counts[0].unionByName(counts[1])
+
+
 def job_names() -> list[str]:
     return list(_JOBS)
 

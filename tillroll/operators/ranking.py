@@ -5,16 +5,20 @@ over a whole table) makes Spark move every row into one task.  The operators
 here compute the same numbers without one:
 
 ``select_ranks``
-    exact order statistics of a column by radix selection: the values become
+    exact order statistics of columns by radix selection: the values become
     integer keys in the same order; the rows under the chosen prefix are counted
-    by their next 16 bits (at most 65,536 counts a target, whatever the input),
-    the digit that holds the wanted rank is appended, and so on for each digit of
-    the key range.  No sketch, no bracket that could grow with the data.
-``exact_percentile`` / ``summarize_with_percentile``
+    by their next 16 bits (in each task first, so at most 65,536 counts a target
+    and task are shuffled, never the values), the digit that holds the wanted rank
+    is appended, and so on for each digit of the key range.  No sketch, no bracket
+    that could grow with the data.  Several columns share every pass.
+``select_text_ranks``
+    the same for text keys: digits are the next two bytes.
+``exact_percentile`` / ``exact_percentiles`` / ``summarize_with_percentile``
     ``PERCENTILE_CONT`` from the one or two order statistics it interpolates.
 ``ntile_buckets``
-    ``NTILE(k)`` over several metrics from their ``k - 1`` boundary rows: only
-    (value, count) pairs and the rows tied with a boundary value are shuffled.
+    ``NTILE(k)`` over several metrics from their ``k - 1`` boundary rows: values by
+    ``select_ranks``, ids among the rows tied with a boundary value by the same
+    counting; only counts are shuffled.
 ``global_row_number``
     a dense number for every row: range-partition on the (total) order, sort
     inside each partition, number rows with ``monotonically_increasing_id``
@@ -110,17 +114,25 @@ def order_key(df: DataFrame, name: str) -> Column:
 
 def key_span(keyed: DataFrame) -> dict[int, tuple[int, int]]:
     """Smallest and largest ``key`` of every group ``g`` (a few numbers), without NULLs."""
-    rows = keyed.where("key is not null").groupBy("g").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
-    return {r["g"]: (r["lo"], r["hi"]) for r in rows}
+    return {g: (lo, hi) for g, (lo, hi, _) in _spans(keyed).items()}
 
 
-def select_ranks(counts: DataFrame, targets: DataFrame, span: dict[int, tuple[int, int]]) -> DataFrame:
+def _spans(keyed: DataFrame) -> dict[int, tuple[int, int, int]]:
+    """Smallest and largest ``key`` and number of rows of every group, without NULLs."""
+    rows = keyed.where("key is not null").groupBy("g").agg(
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    return {r["g"]: (r["lo"], r["hi"], r["n"]) for r in rows}
+
+
+def select_ranks(rows: DataFrame, targets: DataFrame, span: dict[int, tuple[int, int]]) -> DataFrame:
     """(g, t, key, nth) for every target: the key at its rank, and the rank among the rows of that key.
 
-    ``counts`` has the distinct non-NULL ``key`` s of each group ``g`` (a small
-    integer) with their number of rows ``n``; ``targets`` a few rows (g, t, rank)
-    with ranks from 1 within the group; ``span`` the key range of each group, which
-    decides how many 16-bit digits there are.  Targets beyond the rows drop out.
+    ``rows`` (g, key, n) stand for ``n`` rows each of the small-integer group ``g``;
+    ``targets`` are a few rows (g, t, rank) with ranks from 1 within the group; ``span``
+    is the key range of each group, which decides how many 16-bit digits there are.
+    Targets beyond the rows drop out.  ``rows`` are read once a digit and so should be
+    cheap to read; of each digit only the targets' places are kept, on the driver, and the
+    last digit is left to the plan that is returned.
     """
     bits = max([1, *((hi - lo).bit_length() for lo, hi in span.values())])
     if bits > 62:                                                           # whole range: as unsigned keys
@@ -131,7 +143,7 @@ def select_ranks(counts: DataFrame, targets: DataFrame, span: dict[int, tuple[in
         for g, (lo, _) in span.items():
             base = F.when(F.col("g") == g, F.lit(lo).cast("long")).otherwise(base)
         to_digits, from_digits = (lambda key: key - base), (lambda key: key + base)
-    flipped = counts.select("g", to_digits(F.col("key")).alias("u"), "n")
+    flipped = rows.select("g", to_digits(F.col("key")).alias("u"), "n")
     state = targets.select("g", "t", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("nth"))
     shifts = range((bits - 1) // 16 * 16, -1, -16)
     for shift in shifts:
@@ -140,99 +152,167 @@ def select_ranks(counts: DataFrame, targets: DataFrame, span: dict[int, tuple[in
         under = flipped.select("g", above.alias("prefix"), digit, "n")
         if shift != shifts[0]:
             under = under.join(F.broadcast(state.select("g", "prefix").distinct()), ["g", "prefix"])  # at most one a target
-        hist = under.groupBy("g", "prefix", "digit").agg(F.sum("n").alias("n"))
-        # at most 65,536 digits a prefix
-        upto = Window.partitionBy("g", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-        cum = hist.withColumn("last", F.sum("n").over(upto))
-        state = (cum.join(F.broadcast(state), ["g", "prefix"])
-                 .where((F.col("nth") <= F.col("last")) & (F.col("nth") > F.col("last") - F.col("n")))
-                 .select("g", "t", F.shiftleft("prefix", 16).bitwiseOR(F.col("digit")).alias("prefix"),
-                         (F.col("nth") - F.col("last") + F.col("n")).alias("nth")))
+        state = _at_digit(under, state, ["g", "prefix"]).select(
+            "g", "t", F.shiftleft("prefix", 16).bitwiseOR(F.col("digit")).alias("prefix"), "nth")
+        if shift != shifts[-1]:
+            state = rows.sparkSession.createDataFrame(state.collect(), state.schema)                # one row a target
     return state.select("g", "t", from_digits(F.col("prefix")).alias("key"), "nth")
 
 
-def exact_percentile(df: DataFrame, col: str, p: float = 0.5, per_unit: int | None = None) -> DataFrame:
-    """One-row frame ``value`` = ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY col)`` as a double.
+def _at_digit(under: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
+    """``state`` (group..., t, nth) with the ``digit`` that holds each target, ``nth`` counted within it, and its rows ``n``."""
+    hist = under.groupBy(*group, "digit").agg(F.sum("n").alias("n"))
+    # at most 65,536 digits a group
+    upto = Window.partitionBy(*group).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("last", F.sum("n").over(upto))
+    return (cum.join(F.broadcast(state), group)
+            .where((F.col("nth") <= F.col("last")) & (F.col("nth") > F.col("last") - F.col("n")))
+            .withColumn("nth", F.col("nth") - F.col("last") + F.col("n")).drop("last"))
+
+
+# Ids under a prefix that are put in order at once.
+FEW_IDS = 4096
 
-    NULLs are ignored; an empty input gives a NULL.  The two neighbouring order
-    statistics are interpolated as lo + (hi - lo) * fraction.  ``per_unit`` says that
-    the values are whole multiples of 1 / ``per_unit`` (microseconds in days, say):
-    fewer digits then tell them apart than a double's 64 bits.
+
+def select_text_ranks(rows: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], str]:
+    """{(g, rank): id} of ``rows`` (g, id), whose text or binary ids are distinct within a group.
+
+    The ids that begin with the bytes found so far are counted by their next two (an id
+    that ends counts as a smaller digit), until few are left under each target's prefix;
+    these few are put in order.  Targets beyond the rows are not in the result.
+    """
+    raw = rows.select("g", F.col("id").cast("binary").alias("b"), "id")
+    spark = rows.sparkSession
+    open_ = [(g, rank, bytearray(), rank) for g, rank in targets]
+    few: list[tuple[int, int, bytearray, int]] = []
+    length = 0
+    while open_:
+        state = spark.createDataFrame(open_, "g int, t long, prefix binary, nth long")
+        under = raw.select("g", F.substring("b", 1, length).alias("prefix") if length else F.lit(b"").alias("prefix"),
+                           F.substring("b", length + 1, 2).alias("digit"), F.lit(1).cast("long").alias("n"))
+        under = under.join(F.broadcast(state.select("g", "prefix").distinct()), ["g", "prefix"])    # at most one a target
+        found = _at_digit(under, state, ["g", "prefix"]).collect()                                # one row a target
+        length += 2
+        open_ = []
+        for r in found:
+            place = (r["g"], r["t"], r["prefix"] + r["digit"], r["nth"])
+            (few if r["n"] <= FEW_IDS or len(place[2]) < length else open_).append(place)
+    out = {}
+    for size in sorted({len(f[2]) for f in few}):
+        state = spark.createDataFrame([f for f in few if len(f[2]) == size], "g int, t long, prefix binary, nth long")
+        left = raw.withColumn("prefix", F.substring("b", 1, size)).join(F.broadcast(state), ["g", "prefix"])
+        # an id that ends inside a digit is the prefix itself
+        lists = left.groupBy("g", "t", "nth").agg(F.sort_array(F.collect_list(F.struct("b", "id"))).alias("ids"))
+        out |= {(r["g"], r["t"]): r["id"] for r in lists.select("g", "t", F.get("ids", F.col("nth").cast("int") - 1)["id"].alias("id")).collect()}
+    return out
+
+
+def _percentile_key(df: DataFrame, col: str, per_unit: int | None) -> Column:
+    return F.round(F.col(col).cast("double") * F.lit(float(per_unit))).cast("long") if per_unit else order_key(df, col)
+
+
+def exact_percentiles(df: DataFrame, wanted: dict[str, tuple[str, float, int | None]], materialized: bool = False) -> DataFrame:
+    """One row with, for each ``name: (column, p, per_unit)``, ``PERCENTILE_CONT(p) WITHIN GROUP (ORDER BY column)`` as a double.
+
+    NULLs are ignored; a column without values gives a NULL.  The two neighbouring order
+    statistics are interpolated as lo + (hi - lo) * fraction.  ``per_unit`` says that the
+    values are whole multiples of 1 / ``per_unit`` (microseconds in days, say): fewer
+    digits then tell them apart than a double's 64 bits.  All columns share the passes
+    over their narrow keys, which are checkpointed first unless ``df`` is
+    ``materialized`` already.
     """
-    key = F.round(F.col(col).cast("double") * F.lit(float(per_unit))).cast("long") if per_unit else order_key(df, col)
-    keyed = df.where(F.col(col).isNotNull()).select(F.lit(0).alias("g"), key.alias("key"), F.col(col).cast("double").alias("v"))
+    names = list(wanted)
+    parts = [F.struct(F.lit(g).alias("g"), _percentile_key(df, c, unit).alias("key"), F.col(c).cast("double").alias("v"))
+             for g, (c, _, unit) in enumerate(wanted.values())]
+    stacked = (df.select(F.explode(F.array(*parts)).alias("m")).select("m.*") if len(parts) > 1 else
+               df.select(parts[0].alias("m")).select("m.*"))
+    keyed = stacked.where("key is not null").withColumn("n", F.lit(1).cast("long"))
     ensure_checkpoint_dir(df.sparkSession)
-    # distinct values with their counts: the input is read once, every digit reads this
-    counts = keyed.groupBy("g", "key").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    place = (F.col("n") - 1) * F.lit(float(p))
-    low = F.floor(place)
-    ends = F.array(F.struct(F.lit(0).alias("end"), (low + 1).alias("rank")),
-                   F.struct(F.lit(1).alias("end"), (F.ceil(place) + 1).alias("rank")))
-    targets = (counts.agg(F.sum("n").alias("n")).where("n > 0")
-               .select((place - low).alias("fraction"), F.explode(ends).alias("e"))
-               .select(F.lit(0).alias("g"), F.struct("e.end", "fraction").alias("t"), F.col("e.rank").alias("rank")))
-    found = select_ranks(counts.select("g", "key", "n"), targets, key_span(counts))
-    values = counts.join(F.broadcast(found.select("t", F.col("key").alias("_k"))), F.col("key") == F.col("_k"))
-    lo, hi = F.min("v"), F.max("v")
-    return values.agg((lo + (hi - lo) * F.max("t.fraction")).alias("value"))
+    if not materialized:
+        keyed = keyed.checkpoint(eager=True)
+    spans = _spans(keyed)
+    ranks, fractions = [], {}
+    for g, (_, p, _) in enumerate(wanted.values()):
+        if g in spans:
+            place = (spans[g][2] - 1) * float(p)
+            low = int(place // 1)
+            fractions[g] = place - low
+            ranks += [(g, 0, low + 1), (g, 1, low + 1 + (fractions[g] > 0))]
+    targets = df.sparkSession.createDataFrame(ranks, "g int, t int, rank long")
+    found = select_ranks(keyed.select("g", "key", "n"), targets, {g: s[:2] for g, s in spans.items()})
+    values = keyed.join(F.broadcast(found.select("g", "key").distinct()), ["g", "key"])              # two a column
+    lo = [F.min(F.when(F.col("g") == g, F.col("v"))) for g in range(len(names))]
+    hi = [F.max(F.when(F.col("g") == g, F.col("v"))) for g in range(len(names))]
+    return values.agg(*[(lo[g] + (hi[g] - lo[g]) * F.lit(fractions.get(g, 0.0))).alias(name) for g, name in enumerate(names)])
+
+
+def exact_percentile(df: DataFrame, col: str, p: float = 0.5, per_unit: int | None = None,
+                     materialized: bool = False) -> DataFrame:
+    """One-row frame ``value``: ``exact_percentiles`` of one column."""
+    return exact_percentiles(df, {"value": (col, p, per_unit)}, materialized)
 
 
 def summarize_with_percentile(df: DataFrame, aggs, col: str, p: float = 0.5, name: str = "value",
-                              per_unit: int | None = None) -> DataFrame:
+                              per_unit: int | None = None, materialized: bool = False) -> DataFrame:
     """One-row frame: the global aggregates ``aggs`` and ``name`` = the exact percentile of ``col``."""
-    return df.agg(*aggs).withColumn(name, exact_percentile(df, col, p, per_unit).scalar())
+    return df.agg(*aggs).withColumn(name, exact_percentile(df, col, p, per_unit, materialized).scalar())
 
 
 # ---------------------------------------------------------------------------
 # quantile buckets
 
-def bucket_ends(k: int) -> Column:
-    """Array of the last rank of the buckets 1..k-1 of ``NTILE(k)`` over ``n`` rows.
-
-    The first ``n mod k`` buckets get one row more than the others; buckets that
-    end where the previous one does (fewer rows than buckets) are empty.
-    """
-    return F.array(*[F.struct(F.lit(i).alias("bucket"),
-                              (F.lit(i) * F.floor(F.col("n") / k) + F.least(F.lit(i), F.col("n") % k)).alias("rank"))
-                     for i in range(1, k)])
-
-
 def ntile_buckets(df: DataFrame, k: int, metrics: dict[str, tuple[str, bool]], id_col: str) -> DataFrame:
     """Add for each ``name: (column, descending)`` of ``metrics`` ``NTILE(k) OVER (ORDER BY column, id)`` as ``long``.
 
-    NULLs come last in ascending and first in descending order; ``id_col`` is
-    unique.  A row's bucket is one more than the number of boundary rows (the last
-    rows of the buckets but the last) that come before it, so the rows themselves
-    are never shuffled: the boundary values come from ``select_ranks`` over (value,
-    count) pairs, and only ids tied with a boundary value are ordered to find the
-    boundary ids, all metrics in one pass.
+    NULLs come last in ascending and first in descending order; ``id_col`` is unique
+    and text, binary or a type of ``order_key``.  A row's bucket is one more than the
+    number of boundary rows (the last rows of the buckets but the last) that come before
+    it.  Boundary values are selected by digits of the metrics, all in one pass, and
+    boundary ids by digits of the ids tied with them, so neither values nor ids are
+    shuffled or sorted, however many are tied.  ``df`` is read once a digit.
     """
-    names = list(metrics)
     keys = [-order_key(df, c) if descending else order_key(df, c) for c, descending in metrics.values()]
-    stacked = lambda: F.explode(F.array(*[                                                       # noqa: E731
-        F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")
-    ensure_checkpoint_dir(df.sparkSession)
-    found = df.select(stacked()).select("m.*").groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    span, outside = key_span(found), F.lit(None).cast("long")
-    for g, (_, descending) in enumerate(metrics.values()):                  # NULL becomes the next key outside
-        lo, hi = span.get(g, (0, 0))
-        beyond = F.lit(lo - 1 if descending else hi + 1).cast("long")
-        keys[g], outside = F.coalesce(keys[g], beyond), F.when(F.col("g") == g, beyond).otherwise(outside)
+
+    def stacked():
+        return F.explode(F.array(*[F.struct(F.lit(g).alias("g"), key.alias("key")) for g, key in enumerate(keys)])).alias("m")
+
+    found = df.select(stacked()).select("m.*").groupBy("g").agg(
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+    span, total = {}, max([0, *(r["n"] for r in found)])
+    for r in found:
+        g, descending = r["g"], list(metrics.values())[r["g"]][1]           # NULL becomes the next key outside
+        lo, hi = (r["lo"], r["hi"]) if r["lo"] is not None else (0, 0)
+        keys[g] = F.coalesce(keys[g], F.lit(lo - 1 if descending else hi + 1).cast("long"))
         span[g] = (lo - 1, hi) if descending else (lo, hi + 1)
-    counts = found.withColumn("key", F.coalesce("key", outside))
-    keyed = df.select(F.col(id_col).alias("id"), stacked()).select("id", "m.*")
-    targets = (counts.groupBy("g").agg(F.sum("n").alias("n")).select("g", F.explode(bucket_ends(k)).alias("e"))
-               .where("e.rank > 0").select("g", F.col("e.bucket").alias("t"), F.col("e.rank").alias("rank")))
-    ends = select_ranks(counts, targets, span).checkpoint(eager=True)       # at most k - 1 rows a metric
-    tied = keyed.join(F.broadcast(ends.select("g", "key").distinct()), ["g", "key"])
-    ranked = global_row_number(tied, ["g", "key", "id"], "place")
-    first = ranked.groupBy("g", "key").agg((F.min("place") - 1).alias("before"))
-    at = ends.join(first, ["g", "key"]).select("g", (F.col("before") + F.col("nth")).alias("place"))
-    rows = ranked.join(F.broadcast(at), ["g", "place"]).select("g", "key", "id")
-    lists = rows.agg(F.struct(*[F.array_sort(F.collect_set(F.when(F.col("g") == g, F.struct("key", "id")))).alias(m)
-                                for g, m in enumerate(names)]))
-    out = df.withColumn("_ends", lists.scalar())
+    ends = [(i, i * (total // k) + min(i, total % k)) for i in range(1, k)]
+    ranks = [(g, i, rank) for g in range(len(keys)) for i, rank in ends if rank > 0]
+    spark = df.sparkSession
+    rows = df.select(stacked()).select("m.g", "m.key", F.lit(1).cast("long").alias("n"))
+    targets = spark.createDataFrame(ranks, "g int, t int, rank long")
+    at = select_ranks(rows, targets, span).collect() if ranks else []       # at most k - 1 a metric
+    groups = {pair: h for h, pair in enumerate(sorted({(r["g"], r["key"]) for r in at}))}
+    tied_keys = spark.createDataFrame([(g, key, h) for (g, key), h in groups.items()], "g int, key long, h int")
+    tied = (df.select(F.col(id_col).alias("id"), stacked()).select("id", "m.*")
+            .join(F.broadcast(tied_keys), ["g", "key"]).select(F.col("h").alias("g"), "id"))
+    ids = _ids_at(tied, sorted({(groups[r["g"], r["key"]], r["nth"]) for r in at}))
+    id_type = df.schema[id_col].dataType.simpleString()
     row = [F.struct(key.alias("key"), F.col(id_col).alias("id")) for key in keys]
-    return out.select(*df.columns, *[
-        sum((F.when(F.get(F.col("_ends")[m], F.lit(i)) < row[g], F.lit(1)).otherwise(F.lit(0)) for i in range(k - 1)),
-            F.lit(1)).cast("long").alias(m) for g, m in enumerate(names)])
+    out = []
+    for g, name in enumerate(metrics):
+        places = sorted((r["key"], ids[groups[r["g"], r["key"]], r["nth"]]) for r in at if r["g"] == g)
+        ended = [F.struct(F.lit(key).cast("long").alias("key"), F.lit(end).cast(id_type).alias("id")) for key, end in places]
+        out.append(sum((F.when(end < row[g], F.lit(1)).otherwise(F.lit(0)) for end in ended), F.lit(1)).cast("long").alias(name))
+    return df.select(*df.columns, *out)
+
+
+def _ids_at(tied: DataFrame, targets: list[tuple[int, int]]) -> dict[tuple[int, int], object]:
+    """{(g, rank): id} of ``tied`` (g, id) for a few targets."""
+    if not targets:
+        return {}
+    if isinstance(tied.schema["id"].dataType, (T.StringType, T.BinaryType)):
+        return select_text_ranks(tied, targets)
+    keyed = tied.select("g", order_key(tied, "id").alias("key"), "id", F.lit(1).cast("long").alias("n"))
+    wanted = tied.sparkSession.createDataFrame([(g, rank, rank) for g, rank in targets], "g int, t long, rank long")
+    found = select_ranks(keyed.select("g", "key", "n"), wanted, key_span(keyed))
+    at = keyed.join(F.broadcast(found.select("g", "t", F.col("key").alias("_k"))), "g").where("key = _k")
+    return {(r["g"], r["t"]): r["id"] for r in at.select("g", "t", "id").collect()}

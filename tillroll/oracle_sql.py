@@ -313,7 +313,7 @@ SELECT (SELECT quantile_cont(took, 0.5) FROM trips) AS median_delivery_days,
 
 
 # ------------------------------------------------------------------- load path
-# Landed tables hold ids as text; generated review keys are tested apart.
+# Landed tables hold ids as text; review keys follow the order of the rows in the files.
 _LANDED = {
     "customers": "customer_id::VARCHAR AS customer_id, customer_unique_id::VARCHAR AS customer_unique_id, customer_city, customer_state",
     "orders": "order_id::VARCHAR AS order_id, customer_id::VARCHAR AS customer_id, order_status, order_purchase_timestamp, "
@@ -323,12 +323,17 @@ _LANDED = {
                    "seller_id::VARCHAR AS seller_id, shipping_limit_date, price::DOUBLE AS price, freight_value::DOUBLE AS freight_value",
     "order_payments": "order_id::VARCHAR AS order_id, payment_sequential, payment_type, payment_installments, "
                       "payment_value::DOUBLE AS payment_value",
-    "order_reviews": "review_id::VARCHAR AS review_id, order_id::VARCHAR AS order_id, review_score, review_creation_date",
+    "order_reviews": "row_number() OVER (ORDER BY review_creation_date NULLS LAST, review_id NULLS LAST, order_id NULLS LAST, "
+                     "review_score NULLS LAST) AS review_sk, review_id::VARCHAR AS review_id, "
+                     "order_id::VARCHAR AS order_id, review_score, review_creation_date",
     "product_category_translation": "product_category_name, product_category_name_english",
 }
 for _t, _cols in _LANDED.items():
     _Q[f"land_{_t}"] = f"SELECT {_cols} FROM raw_{_t}"
 _Q["publish_business_summary"] = _Q["business_summary"]
+_Q["layer_versions"] = " UNION ALL ".join(
+    f"SELECT '{version}' AS layer_version, '{t}' AS table_name, count(*) AS row_count FROM raw_{t}{less.get(t, '')}"
+    for version, less in (("first", {}), ("second", {"order_items": " WHERE order_item_id > 1", "products": " WHERE false"})) for t in _LANDED)
 
 
 def oracle_queries() -> dict[str, str]:

@@ -92,7 +92,7 @@ def days_between_first_two_orders(orders: DataFrame, customers: DataFrame,
         gaps, [exact_round(F.avg("days"), 1).alias("avg_days_between"),
                exact_round(F.min("days"), 1).alias("min_days"),
                exact_round(F.max("days"), 1).alias("max_days")],
-        "days", 0.5, "median_days", per_unit=MICROS_PER_DAY)
+        "days", 0.5, "median_days", per_unit=MICROS_PER_DAY, materialized=True)
 
 
 def customer_revenue(orders: DataFrame, customers: DataFrame, items: DataFrame,

@@ -35,7 +35,7 @@ def delivery_performance(orders: DataFrame, status: str = DELIVERED) -> DataFram
              exact_round(F.avg("delivery_days"), 1).alias("avg_delivery_days"),
              F.count_if(_late()).alias("late_orders"),
              F.avg("delay_days").alias("_avg_delay")],
-        "delivery_days", 0.5, "_median", per_unit=MICROS_PER_DAY)
+        "delivery_days", 0.5, "_median", per_unit=MICROS_PER_DAY, materialized=True)
     return s.select(
         "delivered_orders", "avg_delivery_days",
         exact_round("_median", 1).alias("median_delivery_days"),

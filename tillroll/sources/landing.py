@@ -6,9 +6,11 @@ empty field is an empty string and an unquoted empty field is NULL (also for
 numbers and timestamps).  Malformed rows fail the load, as a constraint
 violation fails a ``COPY``.  Schemas are always given, never inferred.
 
-``multiLine`` makes a CSV file unsplittable, so landing parallelism is one
-task per file: large exports should arrive as many files.  Landing runs once;
-every job then reads the column-pruned, predicate-pushed Parquet.
+A file is read by as many tasks as it has blocks, also where quoted fields span
+lines (``csvsplit``).  Generated keys come from the places of the records
+(``keyledger``).  A whole layer is loaded as one new version (``versions``): readers
+see the old tables or the new ones, never a mix.  Landing runs once; every job then
+reads the column-pruned, predicate-pushed Parquet.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ from pyspark.sql import functions as F
 from tillroll.model import FOREIGN_KEYS, TABLES
 from tillroll.operators import quality as Q
 from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources.csvsplit import read_csv
+from tillroll.sources.keyledger import keyed_csv
+from tillroll.sources.versions import commit_version, current_version, folder_of, new_name, write_version
 
 CSV_OPTIONS = {
     "header": "true",
@@ -77,19 +82,23 @@ def create_layers(spark: SparkSession, root: str) -> dict[str, str]:
     return layers
 
 
-def land_csv(spark: SparkSession, path: str, table: str, multiline: bool = True) -> DataFrame:
-    """Read one source CSV (file, directory or glob) with the table's declared schema.
+def land_csv(spark: SparkSession, path: str | list[str], table: str, multiline: bool = True,
+             key_ledger: str | None = None, keys_after: int = 0) -> DataFrame:
+    """Read source CSV (file, directory, glob or list of files) with the table's declared schema.
 
-    ``multiline=False`` is for exports known to have no line breaks inside
-    quoted fields: the files are then split across tasks instead of being
-    read one task per file.
+    ``multiline=False`` is for exports known to have no line breaks inside quoted
+    fields: Spark's own reader then splits them by lines alone.  ``key_ledger`` names
+    the stored ledger of generated keys; without it the keys are 1..N by file path and
+    place in the file, as of a first load.  ``keys_after``: keys that are taken beside
+    the ledger's.
     """
     t = TABLES[table]
-    opts = {**CSV_OPTIONS, "multiLine": "true" if multiline else "false"}
-    df = spark.read.schema(t.file_schema).options(**opts).csv(path)
+    if not multiline:
+        df = spark.read.schema(t.file_schema).options(**{**CSV_OPTIONS, "multiLine": "false"}).csv(path)
+        return add_review_keys(df) if table == "order_reviews" else df
     if table == "order_reviews":
-        df = add_review_keys(df)
-    return df
+        return keyed_csv(spark, path, t.file_schema, CSV_OPTIONS, "review_sk", key_ledger, keys_after)
+    return read_csv(spark, path, t.file_schema, CSV_OPTIONS).drop("_file", "_number")
 
 
 def add_review_keys(reviews: DataFrame, name: str = "review_sk") -> DataFrame:
@@ -185,11 +194,15 @@ def register_layer(spark: SparkSession, raw_dir: str, database: str = RAW,
     """Register landed tables in the catalog (a new session over an existing layer, or a moved one).
 
     Only metadata is written: the order-keyed tables are declared with the
-    bucket layout they were landed with.
+    bucket layout they were landed with.  Of a versioned layer the current version is
+    registered, also under the name that its manifest gives.
     """
+    version = current_version(spark, raw_dir)
+    named = version.notes.get(f"database:{database}") if version else None
     for t in LOAD_ORDER:
-        register_table(spark, f"{raw_dir.rstrip('/')}/{t}", database, t,
-                       ("order_id", buckets) if buckets and t in ORDER_KEYED else None)
+        path = version.tables[t] if version and t in version.tables else f"{raw_dir.rstrip('/')}/{t}"
+        for db in filter(None, (database, named)):
+            register_table(spark, path, db, t, ("order_id", buckets) if buckets and t in ORDER_KEYED else None)
 
 
 def broken_keys(tables: dict[str, DataFrame]) -> list[str]:
@@ -208,50 +221,85 @@ def broken_keys(tables: dict[str, DataFrame]) -> list[str]:
     return out
 
 
+def key_ledger(raw_dir: str, table: str) -> str:
+    """Where a layer keeps the ledger of the generated keys of ``table``."""
+    return f"{raw_dir.rstrip('/')}/_keys/{table}"
+
+
+def _version_database(database: str, version: str) -> str:
+    return f"{database}__{version}"
+
+
 def land_all(spark: SparkSession, csv_dir: str, raw_dir: str,
              file_names: dict[str, str] | None = None, buckets: int | None = None,
-             database: str = RAW, multiline: bool = True, check_keys: bool = True) -> dict[str, str]:
-    """Land every source CSV of ``csv_dir`` into ``raw_dir`` (one Parquet table each).
-
-    All tables are written beside the layer first; with ``check_keys`` their keys
-    are checked there, and a load that breaks one raises ``LandingError`` and
-    replaces nothing.  With ``buckets`` the order-keyed tables are bucketed by
-    ``order_id`` and all tables registered in ``database`` (see ``write_table``).
+             database: str = RAW, multiline: bool = True, check_keys: bool = True, keep_keys: bool = False) -> dict[str, str]:
+    """Land every source CSV of ``csv_dir`` as one new version of the layer ``raw_dir``.
+
+    All tables are written into the version's own folders; with ``check_keys`` their keys
+    are checked there.  One manifest then publishes all seven together, so a load that is
+    stopped before - or that breaks a key and raises ``LandingError`` - leaves every table
+    of the older version as it was.  With ``buckets`` the order-keyed tables are bucketed
+    by ``order_id`` and registered in a database of the version's own, which the manifest
+    names; ``database`` itself is pointed at the new files afterwards, for plain SQL.
+    With ``keep_keys`` review files that the layer's key ledger knows keep their keys;
+    without it every load numbers its reviews from 1.
     """
     names = {t: TABLES[t].csv_file for t in LOAD_ORDER}
     names.update(file_names or {})
     raw_dir = raw_dir.rstrip("/")
     bucket = {t: ("order_id", buckets) if buckets and t in ORDER_KEYED else None for t in LOAD_ORDER}
-    stage = f"{raw_dir}__new-{uuid.uuid4().hex}"
-    try:
+    version = new_name()
+    paths = {t: folder_of(raw_dir, version, t) for t in LOAD_ORDER}
+    for t in LOAD_ORDER:
+        df = land_csv(spark, f"{csv_dir.rstrip('/')}/{names[t]}", t, multiline, key_ledger(raw_dir, t) if keep_keys else None)
+        _write(df, paths[t], None, None, bucket[t])
+    broken = broken_keys({t: spark.read.parquet(paths[t]) for t in LOAD_ORDER}) if check_keys else []
+    if broken:
+        fs, p = _fs(spark, paths[LOAD_ORDER[0]])
+        fs.delete(p.getParent(), True)
+        raise LandingError("; ".join(broken))
+    notes = {}
+    if buckets:
+        own = _version_database(database, version)
         for t in LOAD_ORDER:
-            _write(land_csv(spark, f"{csv_dir.rstrip('/')}/{names[t]}", t, multiline), f"{stage}/{t}", None, None, bucket[t])
-        broken = broken_keys({t: spark.read.parquet(f"{stage}/{t}") for t in LOAD_ORDER}) if check_keys else []
-        if broken:
-            raise LandingError("; ".join(broken))
+            register_table(spark, paths[t], own, t, bucket[t])
+        notes[f"database:{database}"] = own
+    commit_version(spark, raw_dir, version, paths, notes=notes)
+    if buckets:
         for t in LOAD_ORDER:
-            _replace(spark, f"{stage}/{t}", f"{raw_dir}/{t}")
-            if buckets:
-                register_table(spark, f"{raw_dir}/{t}", database, t, bucket[t])
-    finally:
-        fs, p = _fs(spark, stage)
-        fs.delete(p, True)
-    return {t: f"{raw_dir}/{t}" for t in LOAD_ORDER}
+            register_table(spark, paths[t], database, t, bucket[t])
+    return paths
 
 
 def publish(df: DataFrame, analytics_dir: str, name: str) -> str:
-    """Hand a job result to clients: write it to the ``analytics`` layer.
+    """Hand a job result to clients: a new version of the ``analytics`` layer with this table; its folder.
 
     Clients read the (small) Parquet result instead of pulling rows through a
     database connection; converting to pandas is left to them.
     """
-    return write_table(df, analytics_dir, name)
+    return publish_all(analytics_dir, {name: df})[name]
+
+
+def publish_all(analytics_dir: str, results: dict[str, DataFrame]) -> dict[str, str]:
+    """Several results that belong together, published at once; table -> folder."""
+    version = write_version(analytics_dir, results)
+    return {name: version.tables[name] for name in results}
+
+
+def published(spark: SparkSession, analytics_dir: str, name: str) -> DataFrame:
+    """The current version of a published result."""
+    version = current_version(spark, analytics_dir)
+    if version is None or name not in version.tables:
+        raise LookupError(f"{name} is not published in {analytics_dir}")
+    return spark.read.parquet(version.tables[name])
 
 
 @dataclass
 class ParquetShop:
     """Canonical frames over a landed ``raw`` layer (same interface as ``TestShop``).
 
+    All tables are of the version that was current when the shop was made, whatever is
+    loaded meanwhile; tables that no version names are read from their plain folder.
     With ``database`` the tables are read through the catalog, which carries
     the bucket layout of the order-keyed tables; otherwise straight from the
     layer directory.
@@ -261,11 +309,21 @@ class ParquetShop:
     raw_dir: str
     database: str | None = None
 
+    def __post_init__(self) -> None:
+        self._pinned = current_version(self.spark, self.raw_dir)
+
+    def refresh(self) -> ParquetShop:
+        """A shop over what is current now; this one goes on with its version."""
+        return ParquetShop(self.spark, self.raw_dir, self.database)
+
     def _t(self, name: str) -> DataFrame:
+        pinned = self._pinned
         if self.database:                       # an unregistered table is an error, not another read path
-            df = self.spark.table(f"`{self.database}`.`{name}`")
+            database = pinned.notes.get(f"database:{self.database}", self.database) if pinned else self.database
+            df = self.spark.table(f"`{database}`.`{name}`")
         else:
-            df = self.spark.read.parquet(f"{self.raw_dir.rstrip('/')}/{name}")
+            df = self.spark.read.parquet(pinned.tables[name] if pinned and name in pinned.tables
+                                         else f"{self.raw_dir.rstrip('/')}/{name}")
         # Tables landed by the streaming loader carry their micro-batch number.
         return df.drop("_batch") if "_batch" in df.columns else df
 
