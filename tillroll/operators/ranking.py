@@ -144,30 +144,41 @@ def select_ranks(rows: DataFrame, targets: DataFrame, span: dict[int, tuple[int,
             base = F.when(F.col("g") == g, F.lit(lo).cast("long")).otherwise(base)
         to_digits, from_digits = (lambda key: key - base), (lambda key: key + base)
     flipped = rows.select("g", to_digits(F.col("key")).alias("u"), "n")
-    state = targets.select("g", "t", F.lit(0).cast("long").alias("prefix"), F.col("rank").alias("nth"))
+    state = [(r["g"], r["t"], 0, r["rank"]) for r in targets.select("g", "t", "rank").collect()]
     shifts = range((bits - 1) // 16 * 16, -1, -16)
     for shift in shifts:
         digit = F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(0xFFFF)).alias("digit")
         above = F.lit(0).cast("long") if shift == shifts[0] else F.shiftrightunsigned("u", shift + 16)
-        under = flipped.select("g", above.alias("prefix"), digit, "n")
-        if shift != shifts[0]:
-            under = under.join(F.broadcast(state.select("g", "prefix").distinct()), ["g", "prefix"])  # at most one a target
-        state = _at_digit(under, state, ["g", "prefix"]).select(
+        found = _at_digit(flipped.select("g", above.alias("prefix"), digit, "n"), state, targets.schema["t"].dataType).select(
             "g", "t", F.shiftleft("prefix", 16).bitwiseOR(F.col("digit")).alias("prefix"), "nth")
         if shift != shifts[-1]:
-            state = rows.sparkSession.createDataFrame(state.collect(), state.schema)                # one row a target
-    return state.select("g", "t", from_digits(F.col("prefix")).alias("key"), "nth")
+            state = [tuple(r) for r in found.collect()]                                             # one row a target
+    return found.select("g", "t", from_digits(F.col("prefix")).alias("key"), "nth")
 
 
-def _at_digit(under: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
-    """``state`` (group..., t, nth) with the ``digit`` that holds each target, ``nth`` counted within it, and its rows ``n``."""
-    hist = under.groupBy(*group, "digit").agg(F.sum("n").alias("n"))
-    # at most 65,536 digits a group
-    upto = Window.partitionBy(*group).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("last", F.sum("n").over(upto))
-    return (cum.join(F.broadcast(state), group)
-            .where((F.col("nth") <= F.col("last")) & (F.col("nth") > F.col("last") - F.col("n")))
-            .withColumn("nth", F.col("nth") - F.col("last") + F.col("n")).drop("last"))
+def _at_digit(under: DataFrame, state: list[tuple], kind: T.DataType) -> DataFrame:
+    """(g, prefix, t, nth, digit, n) of the targets ``state`` (g, t, prefix, nth): the digit that holds each one.
+
+    ``under`` (g, prefix, digit, n) is counted below the targets' prefixes only; ``nth``
+    becomes the rank within the digit, whose rows are ``n``.
+    """
+    places: dict[tuple, list] = {}
+    for g, t, prefix, nth in state:
+        places.setdefault((g, prefix), []).append((t, nth))
+    wanted = F.array().cast(T.ArrayType(T.StructType([T.StructField("t", kind), T.StructField("nth", T.LongType())])))
+    below = F.lit(False)
+    for (g, prefix), some in places.items():
+        here = (F.col("g") == g) & (F.col("prefix") == F.lit(prefix))
+        wanted = F.when(here, F.array(*[F.struct(F.lit(t).cast(kind).alias("t"), F.lit(nth).cast("long").alias("nth"))
+                                        for t, nth in some])).otherwise(wanted)
+        below = below | here
+    hist = under.where(below).groupBy("g", "prefix", "digit").agg(F.sum("n").alias("n"))
+    # at most 65,536 digits a prefix
+    upto = Window.partitionBy("g", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    cum = hist.withColumn("last", F.sum("n").over(upto)).withColumn("target", F.explode(wanted))
+    nth = F.col("target.nth")
+    return cum.where((nth <= F.col("last")) & (nth > F.col("last") - F.col("n"))).select(
+        "g", "prefix", F.col("target.t").alias("t"), (nth - F.col("last") + F.col("n")).alias("nth"), "digit", "n")
 
 
 # Ids under a prefix that are put in order at once.
@@ -182,26 +193,23 @@ def select_text_ranks(rows: DataFrame, targets: list[tuple[int, int]]) -> dict[t
     these few are put in order.  Targets beyond the rows are not in the result.
     """
     raw = rows.select("g", F.col("id").cast("binary").alias("b"), "id")
-    spark = rows.sparkSession
-    open_ = [(g, rank, bytearray(), rank) for g, rank in targets]
-    few: list[tuple[int, int, bytearray, int]] = []
+    open_ = [(g, rank, b"", rank) for g, rank in targets]
+    few: list[tuple] = []
     length = 0
     while open_:
-        state = spark.createDataFrame(open_, "g int, t long, prefix binary, nth long")
-        under = raw.select("g", F.substring("b", 1, length).alias("prefix") if length else F.lit(b"").alias("prefix"),
-                           F.substring("b", length + 1, 2).alias("digit"), F.lit(1).cast("long").alias("n"))
-        under = under.join(F.broadcast(state.select("g", "prefix").distinct()), ["g", "prefix"])    # at most one a target
-        found = _at_digit(under, state, ["g", "prefix"]).collect()                                # one row a target
+        under = raw.select("g", F.substring("b", 1, length).alias("prefix"), F.substring("b", length + 1, 2).alias("digit"),
+                           F.lit(1).cast("long").alias("n"))
+        found = _at_digit(under, open_, T.LongType()).collect()                                   # one row a target
         length += 2
         open_ = []
         for r in found:
-            place = (r["g"], r["t"], r["prefix"] + r["digit"], r["nth"])
+            place = (r["g"], r["t"], bytes(r["prefix"] + r["digit"]), r["nth"])
             (few if r["n"] <= FEW_IDS or len(place[2]) < length else open_).append(place)
     out = {}
     for size in sorted({len(f[2]) for f in few}):
-        state = spark.createDataFrame([f for f in few if len(f[2]) == size], "g int, t long, prefix binary, nth long")
+        state = rows.sparkSession.createDataFrame([f for f in few if len(f[2]) == size], "g int, t long, prefix binary, nth long")
         left = raw.withColumn("prefix", F.substring("b", 1, size)).join(F.broadcast(state), ["g", "prefix"])
-        # an id that ends inside a digit is the prefix itself
+        # of the few ids that begin so, an id that ended inside its last digit is the first
         lists = left.groupBy("g", "t", "nth").agg(F.sort_array(F.collect_list(F.struct("b", "id"))).alias("ids"))
         out |= {(r["g"], r["t"]): r["id"] for r in lists.select("g", "t", F.get("ids", F.col("nth").cast("int") - 1)["id"].alias("id")).collect()}
     return out
