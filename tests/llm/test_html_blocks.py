@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 from tests.llm.helpers import SF, rows_of
 from tillroll.llm import html_blocks as H
@@ -82,3 +83,43 @@ def test_other_languages():
     assert H.main_text(f"<body>{NAV}<div><p>{text}</p><p>{text}</p></div>{footer}") == f"{text}\n{text}"
     keywords = "cheap shoes online buy shoes discount sale " * 6                       # still bad on a page of known language
     assert keywords[:20] not in H.main_text(f"<p>{LONG * 2}</p><p>{keywords}</p>")
+
+
+def test_names_by_their_head():
+    want = H._SPACE.sub(" ", LONG).strip()
+    junk = ("site-header main-nav comment-list comments-area reader-comments cookie-consent ad-slot ad-container sidebar-left "
+            "newsletter-signup commentList ad_unit_3 related-articles share-buttons global-footer comments-2").split()
+    for name in junk:
+        block = f"<div class='x {name}'><p>{LONG}</p></div>"
+        assert H.main_text(f"<p>{LONG}</p>{block}<p>{LONG}</p>") == f"{want}\n{want}", name
+        assert H.main_text(f"<article><p>{LONG}</p>{block}</article>") == want, name
+    for name in "has-sidebar comments-open page-header-content entry-header post-footer no-ads with-comments is-menu nav-open adventure".split():
+        assert H.main_text(f"<div class='{name}'><p>{LONG}</p></div>") == want, name
+
+
+def test_quotes_inside_unquoted_values():
+    assert H.main_text("<article><p title=it's>one</p><p title='a>b' data-x=\"c>d\">two</p><p a=\"b>three</p></article>") == "one\ntwo\nthree"
+    assert H.main_text("<article><p it's>one</p><p x = 'y>z'>two</p></article>") == "one\ntwo"
+
+
+def test_paragraphs_of_an_article_may_be_links():
+    page = f"<body>{NAV}<article><h1><a href='x'>Title</a></h1><p><a href='x'>{LONG}</a></p><p>{LONG}</p></article></body>"
+    want = H._SPACE.sub(" ", LONG).strip()
+    assert H.main_text(page) == f"Title\n{want}\n{want}"
+    assert H.main_text(f"<p><a href='x'>{LONG}</a></p>") == ""
+
+
+def test_pages_without_an_article():
+    want = H._SPACE.sub(" ", LONG).strip()
+    page = (f"<html><body><div class='site-header'>Name of the site</div>{NAV}<div id='content'><h1>Title</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
+            f"<div class='comment-list'><p>{LONG}</p></div><div class='site-footer'>{LONG}</div></body></html>")
+    assert H.main_text(page) == f"Title\n{want}\nShort.\n{want}"
+
+
+def test_a_megabyte_of_unclosed_tags():
+    for unit in ("a <b ", "<div class='x ", "<b =\"", "<!", "<!--", "<", "</", "<b =' >\"", "&amp", "<p ="):
+        for tail in ("", ">", "=\" > \""):
+            began = time.process_time()
+            H.main_text(unit * (1_000_000 // len(unit)) + tail)
+            assert time.process_time() - began < 10, (unit, tail)
+    assert H.main_text("<article>a <b c") == "a <b c" and H.main_text("<article>x </ y") == "x </ y"

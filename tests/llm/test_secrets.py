@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -101,3 +102,22 @@ def test_private_key_line_in_prose_spans_itself_only():
 def test_private_key_on_one_line():
     text = " ".join([BEGIN, *BODY, END]) + " tail"
     assert S.redact(text, S.scan(pa.array([text]))["spans"][0].as_py()) == "[secret] tail"
+
+
+UNITS = ["a", "eyJ", "eyJa.", "a://", "a://b:", "://", "password ", "password" + " " * 50, "AKIA", "ghp_", "xoxb-", "AIza", "sk_live_", "0f",
+         "-----BEGIN ", "-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN A PRIVATE KEY-----\nAAAA\n", "token=", "a@", ":b@"]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_a_megabyte_of_a_rules_beginning_is_scanned_at_once(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    S.scan(pa.array([text, text + "://", text + " x"], pa.string()))
+    assert time.process_time() - began < 20                     # quadratic scans take many minutes
+
+
+def test_logins_and_tokens_keep_their_spans():
+    texts = ["ftp://u:pass@h x9http://bob:hunter2@example.com/ HTTP://a:bbbb@c", "jwt=eyJhbGciOi.eyJzdWIi.SflKxw-_ eyJ.eyJa.b",
+             "a://b:c:dddd@e f://g:hhhh@i://j:kkkk@l"]
+    got = S.scan(pa.array(texts, pa.string()))["spans"].to_pylist()
+    assert got == ["url_login:0:13,url_login:17:36", "jwt:4:32", "url_login:15:26,url_login:26:37"]

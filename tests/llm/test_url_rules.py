@@ -1,6 +1,9 @@
 """URL rules: curated rules against a plain version, mined rules, inverted index, edge cases."""
 
+import itertools
+import random
 import re
+import time
 
 import pytest
 
@@ -112,3 +115,62 @@ def test_combination_with_a_frequent_token(spark):
     rows += [(f"http://fine.org/en/{i}", False) for i in range(100)]
     rules, verdicts = judged(spark, rows, ["http://site.org/en/x", "http://site.org/fr/x", "http://fine.org/en/x"])
     assert verdicts == ["block", "allow", "allow"] and any("path:en" in r["items"] and r.verdict == "block" for r in rules)
+
+
+def plain_rules(rows, min_urls, confidence):
+    """All token sets with a verdict that is surer than in each of their parts, for sets that every token narrows."""
+    toks = [(frozenset(t), b) for t, b in rows]
+    on = {}
+    for i, (t, _) in enumerate(toks):
+        for x in t:
+            on.setdefault(x, set()).add(i)
+    items = {}
+    for x, where in on.items():
+        if min_urls <= len(where) < len(toks):
+            items.setdefault(frozenset(where), set()).add(x)
+    names = {where: min(xs) for where, xs in items.items()}
+    sure = {}
+    for size in range(1, len(items) + 1):
+        for some in itertools.combinations(items, size):
+            where = frozenset.intersection(*some)
+            for v in ("block", "allow"):
+                yes = sum(toks[i][1] == (v == "block") for i in where)
+                if len(where) >= min_urls:
+                    sure[frozenset(names[w] for w in some), v] = (yes / len(where) if yes >= min_urls else 0, yes / len(toks))
+    return {(s, v): (c, p) for (s, v), (c, p) in sure.items() if c >= confidence
+            and not any(sure[frozenset(q), v][0] >= c for k in range(1, len(s)) for q in itertools.combinations(s, k))}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rules_equal_a_plain_miner(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(U, "MIN_URLS", 4)
+    urls = []
+    for _ in range(150):
+        parts = [p for p in ("play", "news", "deep", "deeper") if rng.random() < .5]
+        host = rng.choice(["casino", "garden", "river"])
+        urls.append((f"http://{host}.org/" + "/".join(parts), rng.random() < (.9 if host == "casino" and "play" in parts else .2)))
+    frame = spark.createDataFrame(urls, "url string, blocked boolean")
+    frame = frame.withColumn("host", U.host_of(frame.url)).withColumn("path", U.path_of(frame.url))
+    rows = [(r.t, r.blocked) for r in frame.select("blocked", U.tokens("host", "path", "url").alias("t")).collect()]
+    got = {(frozenset(r["items"]), r.verdict): (r.confidence, r.support) for r in U.mine_rules(frame, 0.001, .6).collect()}
+    want = plain_rules(rows, 4, .6)
+    assert got.keys() == want.keys() and len(got) > 5
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_a_deep_folder_is_one_item(spark):
+    """Thirty urls of one folder twelve segments deep: mined at once, and any of its tokens tells the site."""
+    deep = "/".join("seg" + c for c in "abcdefghijkl")
+    rows = [(f"http://bad.org/{deep}/{i}", True) for i in range(30)] + [(f"http://fine{i}.org/x/{i}", False) for i in range(300)]
+    began = time.time()
+    rules, verdicts = judged(spark, rows, [f"http://bad.org/{deep}/9", "http://new.org/sega/1", "http://fine.org/x/1"])
+    assert time.time() - began < 60
+    block = [r for r in rules if r.verdict == "block"]
+    assert len(block) == 1 and len(block[0].members[0]) >= 26 and verdicts == ["block", "block", "allow"]
+
+
+def test_null_and_repeated_urls_skip_no_row(spark):
+    pages = spark.createDataFrame([(i, None if i % 3 else "http://a.org/x") for i in range(300)], "page_id long, url string")
+    none = spark.createDataFrame([], U.RULE_COLUMNS)
+    assert [r.page_id for r in U.judge_urls(pages, none).orderBy("page_id").collect()] == list(range(300))

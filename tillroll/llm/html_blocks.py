@@ -8,16 +8,20 @@ of their nearest decided neighbours: good if the neighbours on both sides are go
 if both are bad; between a good and a bad one a near-good block is good and a short block
 good only inside the page's article.  A heading is good if the next decided block is.
 
+Names (class, id, role) of menus and the like count by their head: ``reader-comments``,
+``comment-list`` and ``ad-slot`` are, ``has-sidebar``, ``comments-open``, ``entry-header``
+and ``page-header-content`` are not.
+
 Blocks of <article> or <main> are decided among themselves: markup says they are content,
-so neighbours outside do not count for them, and long blocks there need no stop words.
-Nor do long blocks anywhere on a page whose language the stop words do not fit.
+so neighbours outside do not count for them, long blocks there need no stop words, and
+paragraphs of an article may be links from end to end.  Nor do long blocks anywhere on a page whose language the stop words do not fit.
 
 Character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by one \\n.
 
 Edge cases: null and empty pages, and pages without good blocks, give an empty text;
-unclosed and stray tags, comments and scripts are closed by the end of the page;
-repeated rows get equal results; an empty table gives an empty result; an input column
+unclosed elements, comments and scripts are closed by the end of the page, and a tag that
+never ends is text with all that follows it (so a scan is linear); repeated rows get equal results; an empty table gives an empty result; an input column
 named like an output column is replaced; pages are read whole.
 """
 
@@ -47,12 +51,22 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
+PROSE = HEADINGS | frozenset("p blockquote pre figcaption dd td br".split())
 WHOLE = frozenset("html body main article".split())         # their names tell of the page, not of what they hold
 IN_HEAD = frozenset("base link meta head html".split())     # besides SKIPPED; any other tag ends an open head
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header "
     "menu modal nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar social sponsor "
     "sponsored subscribe toolbar widget".split())
+# Parts of names.  A boilerplate name is the last part (``site-header``), or the first
+# with a part of its layout as the last (``comment-list``).
+LAYOUT = frozenset(
+    "area articles bar block body bottom box buttons cards col column consent container content-box feed form group holder icons inner "
+    "item items label left links list modal note outer overlay panel placeholder popup posts reply right row section signup slot slots "
+    "stories strip text thread title top unit units widget wrap wrapper zone".split())
+STATES = frozenset("has is no not with without hide show js".split())
+OWN_HEADERS = frozenset("article content entry post story".split())     # an article's own header and footer
+
 STOP_WORDS = frozenset((
     "a an and are as at be been but by can could did do does for from had has have he her his how i if in into is it its "
     "me more my no not of on one or our out over she so some than that the their them then there these they this to up was "
@@ -64,18 +78,34 @@ STOP_WORDS = frozenset((
     "al como con cuando de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no "
     "nos o para pero por que se ser si sin sobre son su sus también un una y ya").split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)",
-                    re.DOTALL)
+# Quotes count only behind "=".  No part gives back what it took, so every tag is tried once.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|"
+                    r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>|([^<]++|<)", re.DOTALL)
+_TAG_BEGINS = re.compile("</?[A-Za-z]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("text", "links", "tag", "bad", "article")
+    __slots__ = ("text", "links", "tag", "bad", "article", "prose")
 
-    def __init__(self, text: str, links: int, tag: str, bad: bool, article: bool):
+    def __init__(self, text: str, links: int, tag: str, bad: bool, article: bool, prose: bool = False):
         self.text, self.links, self.tag, self.bad, self.article = text, links, tag, bad, article
+        self.prose = prose                                  # an article's paragraph or heading, whatever it links to
+
+
+def _names_boilerplate(name: str) -> bool:
+    parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", name).lower()) if p]
+    if not parts or parts[0] in STATES:
+        return False
+    if BOILERPLATE_NAMES.issuperset(parts):
+        return True
+    while len(parts) > 1 and parts[-1].isdigit():
+        parts.pop()
+    if parts[-1] in BOILERPLATE_NAMES:
+        return not (parts[-1] in ("header", "footer") and parts[0] in OWN_HEADERS)
+    return parts[0] in BOILERPLATE_NAMES and parts[-1] in LAYOUT
 
 
 def _is_boilerplate(tag: str, attributes: str) -> bool:
@@ -87,10 +117,8 @@ def _is_boilerplate(tag: str, attributes: str) -> bool:
         return True
     if tag in WHOLE:
         return False
-    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower().split()
-    # whole names, or compounds of nothing else ("cookie-banner", not "has-sidebar")
-    return any(parts and BOILERPLATE_NAMES.issuperset(parts)
-               for parts in ([p for p in re.split(r"[^a-z0-9]+", name) if p] for name in names))
+    names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).split()
+    return any(map(_names_boilerplate, names))
 
 
 def blocks(page: str) -> list[Block]:
@@ -110,19 +138,24 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 links = len(_SPACE.sub(" ", html.unescape("".join(linked))).strip())
-                out.append(Block(text, links, tag_of_block, any(t[1] for t in open_tags),
-                                 any(t[2] for t in open_tags)))
+                in_article = any(t[0] == "article" for t in open_tags)
+                out.append(Block(text, links, tag_of_block, any(t[1] for t in open_tags), any(t[2] for t in open_tags),
+                                 in_article and tag_of_block in PROSE))
         parts, linked = [], []
 
     for m in _TOKEN.finditer(page):
         text = m.group(4)
         if text is not None:
+            if text == "<" and _TAG_BEGINS.match(page, m.start()):
+                text = page[m.start():]                     # no tag ends any more
             if in_head and not skip and text.strip():
                 in_head = False                             # as in browsers, text begins the body
             if not skip and not in_head:
                 parts.append(text)
                 if in_link:
                     linked.append(text)
+            if len(text) > m.end() - m.start():
+                break
             continue
         tag = m.group(2)
         if tag is None:
@@ -185,7 +218,7 @@ def knows_language(items: list[Block]) -> bool:
 def first_pass(block: Block, known: bool = True) -> str:
     """good, bad, near (undecided, medium) or short (undecided, short); ``known``: the stop words fit the page."""
     n = len(block.text)
-    if block.bad or block.links > MAX_LINK_DENSITY * n:
+    if block.bad or block.links > MAX_LINK_DENSITY * n and not block.prose:
         return "bad"
     if n < SHORT_CHARS:
         return "short"

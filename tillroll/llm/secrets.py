@@ -65,8 +65,9 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", min_chars=15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", min_chars=39),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]+", min_chars=24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z]+://[^\s/:@]+:([^\s/:@]+)@", group=1, min_chars=4),
+    # begin where a run begins and never give back, so that a scan stays linear
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]+"),
+    Rule("url_login", r"(?<![a-z])[a-z]++://[^\s/:@]++:([^\s/:@]++)@", group=1, min_chars=4),
 )
 RULES = BASE_RULES + MORE_RULES
 BASE_KINDS = tuple(r.kind for r in BASE_RULES)
@@ -145,7 +146,7 @@ def trigram_query(rule: Rule):
             if all(strings is not None for _, strings in found):
                 return _any([q for q, _ in found]), set().union(*(s for _, s in found))
             return _any([q if s is None else _both(q, _holds(s)) for q, s in found]), None
-        if op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
+        if op in (rc.MAX_REPEAT, rc.MIN_REPEAT, rc.POSSESSIVE_REPEAT):
             low, high, body = arg
             query, strings = walk(body)
             if low == 0:
@@ -153,7 +154,7 @@ def trigram_query(rule: Rule):
             if low == 1 and high == 1:
                 return query, strings
             return (_both(query, _holds(strings)) if strings is not None else query), None
-        if op is rc.AT:
+        if op in (rc.AT, rc.ASSERT, rc.ASSERT_NOT):         # no characters of their own
             return ALL, {""}
         return ALL, None
 
