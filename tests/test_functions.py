@@ -55,3 +55,10 @@ def test_shares_are_rounded_once(spark):
     df = spark.createDataFrame([(D(a), D(b)) for a, b, _ in cases], "a decimal(20,4), b decimal(20,2)")
     assert [r[0] for r in df.select(pct("a", "b")).collect()] == [c for _, _, c in cases]
     assert df.select(ratio("a", F.lit(0))).first()[0] is None
+
+
+def test_ratio_never_cuts_an_operand(spark):
+    df = spark.createDataFrame([(D("0.12345678"), D("3"))], "a decimal(12,8), b decimal(12,8)")
+    with pytest.raises(Exception, match="more than 6 decimals"):
+        df.select(ratio("a", "b")).collect()
+    assert df.select(ratio(F.lit(D("0.120000")), "b", 3)).first()[0] == 0.04

@@ -52,13 +52,15 @@ def safe_div(num, den) -> Column:
     return _c(num) / F.nullif(_c(den), F.lit(0))
 
 
-# Decimals of up to this scale enter ratios unchanged.
+# Numbers of up to this many decimals enter ratios unchanged; more fail the job.
 RATIO_SCALE = 6
 
 
 def _units(x) -> Column:
-    """Whole number of 10**-RATIO_SCALE in an exact number."""
-    return (_c(x).cast(f"decimal(38,{RATIO_SCALE})") * F.lit(10 ** RATIO_SCALE)).cast("decimal(38,0)")
+    """Whole number of 10**-RATIO_SCALE in an exact number, which must be one."""
+    held = _c(x).cast(f"decimal(38,{RATIO_SCALE})")
+    cut = F.raise_error(F.lit(f"a ratio of a number with more than {RATIO_SCALE} decimals")).cast(f"decimal(38,{RATIO_SCALE})")
+    return (F.when(F.round(_c(x), RATIO_SCALE) != _c(x), cut).otherwise(held) * F.lit(10 ** RATIO_SCALE)).cast("decimal(38,0)")
 
 
 def ratio(num, den, n: int = 2, factor: int = 1) -> Column:

@@ -82,11 +82,14 @@ WITH per_id AS (SELECT review_id, count(*) AS n FROM raw_order_reviews GROUP BY
 SELECT coalesce(sum(n), 0)::BIGINT AS total_reviews, count(review_id) AS distinct_review_ids,
        (coalesce(sum(n), 0) - count(review_id))::BIGINT AS duplicate_review_ids FROM per_id"""
 _Q["dq_order_nulls"] = """
-SELECT count(*) - count(order_status) AS null_status, count(*) - count(order_purchase_timestamp) AS null_purchase,
-       count(*) - count(order_approved_at) AS null_approved,
-       count(*) - count(order_delivered_customer_date) AS null_delivered FROM raw_orders"""
+WITH nulls AS (
+    SELECT unnest([('status', order_status IS NULL), ('purchase', order_purchase_timestamp IS NULL),
+                   ('approved', order_approved_at IS NULL), ('delivered', order_delivered_customer_date IS NULL)]) AS x FROM raw_orders),
+counted AS (SELECT x[1] AS field, count(*) AS n FROM nulls WHERE x[2] GROUP BY 1)
+SELECT """ + ", ".join(f"coalesce((SELECT n FROM counted WHERE field = '{f}'), 0) AS null_{f}"
+                       for f in ("status", "purchase", "approved", "delivered"))
 _Q["dq_products_without_category"] = (
-    "SELECT count(*) - count(product_category_name) AS products_without_category FROM raw_products")
+    "SELECT count(*) AS products_without_category FROM raw_products WHERE product_category_name IS NULL")
 _Q["dq_status_distribution"] = f"""
 WITH per_status AS (SELECT order_status, count(*) AS cnt FROM raw_orders GROUP BY ALL),
 whole AS (SELECT count(*) AS n FROM raw_orders)
@@ -96,18 +99,19 @@ for _name, _other in [("items", "raw_order_items"), ("payments", "raw_order_paym
 SELECT count(*) AS orders_without_{_name} FROM raw_orders o
 WHERE NOT EXISTS (FROM {_other} x WHERE x.order_id = o.order_id)"""
 _Q["dq_delivered_before_purchase"] = """
-SELECT coalesce(sum((order_purchase_timestamp > order_delivered_customer_date)::INT), 0)::BIGINT AS delivered_before_purchase
-FROM raw_orders"""
+SELECT count(*) AS delivered_before_purchase FROM raw_orders
+WHERE order_delivered_customer_date < order_purchase_timestamp"""
 _Q["dq_item_money"] = """
-SELECT coalesce(sum((NOT price > 0)::INT), 0)::BIGINT AS non_positive_price,
-       coalesce(sum((NOT freight_value >= 0)::INT), 0)::BIGINT AS negative_freight FROM raw_order_items"""
+SELECT (SELECT count(*) FROM raw_order_items WHERE price <= 0) AS non_positive_price,
+       (SELECT count(*) FROM raw_order_items WHERE freight_value < 0) AS negative_freight"""
 _Q["dq_payment_money"] = """
-SELECT coalesce(sum((NOT payment_value > 0)::INT), 0)::BIGINT AS non_positive_payment FROM raw_order_payments"""
+SELECT count(*) AS non_positive_payment FROM raw_order_payments WHERE payment_value <= 0"""
 _Q["dq_reviews_without_order"] = """
 SELECT count(*) AS reviews_without_order FROM raw_order_reviews r
 WHERE NOT EXISTS (FROM raw_orders o WHERE o.order_id = r.order_id)"""
 _Q["dq_purchase_range"] = """
-SELECT arg_min(t, t) AS first_order, arg_max(t, t) AS last_order FROM (SELECT order_purchase_timestamp AS t FROM raw_orders)"""
+WITH dated AS (SELECT order_purchase_timestamp AS t FROM raw_orders WHERE order_purchase_timestamp IS NOT NULL)
+SELECT (FROM dated ORDER BY t LIMIT 1) AS first_order, (FROM dated ORDER BY t DESC LIMIT 1) AS last_order"""
 
 # ------------------------------------------------------------ key constraints
 for _name, _keys in [("products", "product_id"), ("order_items", "order_id, order_item_id"),
@@ -121,7 +125,7 @@ _NOT_NULL = {"customers": ["customer_id", "customer_unique_id"], "orders": ["ord
              "product_category_translation": ["product_category_name", "product_category_name_english"]}
 _Q["check_not_null"] = " UNION ALL ".join(
     f"(SELECT '{t}' AS table_name, unnest({cols}) AS column_name, "
-    f"unnest([{', '.join(f'count(*) - count({c})' for c in cols)}]) AS null_count FROM raw_{t})"
+    f"unnest([{', '.join(f'count(*) FILTER ({c} IS NULL)' for c in cols)}]) AS null_count FROM raw_{t})"
     for t, cols in _NOT_NULL.items())
 
 for _child, _parent, _key in [("orders", "customers", "customer_id"), ("order_items", "orders", "order_id"),
@@ -217,7 +221,7 @@ WITH {TRIPS}, grouped AS (
 
 
 _Q["review_score_by_delivery_group"] = by_group(
-    "['early', 'on_time', 'late'][2 + sign(late_by)::INT]") + f""", whole AS (SELECT sum(orders) AS n FROM grouped)
+    "CASE WHEN late_by < 0 THEN 'early' WHEN late_by = 0 THEN 'on_time' WHEN late_by > 0 THEN 'late' END") + f""", whole AS (SELECT sum(orders) AS n FROM grouped)
 SELECT delivery_group, orders, avg_review_score, {share('orders', 'n', 2, 100)} AS pct_of_orders FROM grouped, whole"""
 _Q["chart_delivery_reviews"] = by_group("if(late_by > 0, 'Late', 'On time / Early')") + " FROM grouped"
 _Q["score_distribution_by_delivery"] = f"""
@@ -235,7 +239,7 @@ grouped AS (
            sum((late_by > 0)::INT) AS late
     FROM trips JOIN first_items f USING (order_id) LEFT JOIN labels l ON l.product_id = f.product_id GROUP BY 1)
 SELECT category, orders, avg_delay_days, {share('late', 'orders', 2, 100)} AS late_rate_pct
-FROM grouped WHERE orders > 99 ORDER BY avg_delay_days DESC NULLS FIRST, category LIMIT 10"""
+FROM grouped WHERE orders >= 100 ORDER BY avg_delay_days DESC NULLS FIRST, category LIMIT 10"""
 
 
 # ------------------------------------------------------------------------- RFM
@@ -261,11 +265,12 @@ numbered AS (
 scored AS (
     SELECT customer_unique_id, recency_days, frequency, monetary, {bucket('r', 'n', 5)} AS r_score,
            {bucket('f', 'n', 5)} AS f_score, {bucket('m', 'n', 5)} AS m_score FROM numbered),
+rules(place, segment, r_from, r_to, m_from, m_to) AS (VALUES
+    (1, 'Champions', 4, 5, 4, 5), (2, 'Loyal Customers', 3, 5, 3, 5), (3, 'Potential Loyalists', 4, 5, 1, 2),
+    (4, 'At Risk', 1, 2, 3, 5), (5, 'Hibernating', 1, 5, 1, 5)),
 segmented AS (
-    SELECT *, CASE WHEN least(r_score, m_score) > 3 THEN 'Champions'
-                   WHEN least(r_score, m_score) > 2 THEN 'Loyal Customers'
-                   WHEN r_score > 3 THEN 'Potential Loyalists'
-                   WHEN m_score > 2 THEN 'At Risk' ELSE 'Hibernating' END AS segment FROM scored)"""
+    SELECT s.*, (SELECT arg_min(segment, place) FROM rules
+                 WHERE s.r_score BETWEEN r_from AND r_to AND s.m_score BETWEEN m_from AND m_to) AS segment FROM scored s)"""
 _Q["rfm_base"] = f"WITH {BASE} FROM base"
 _Q["rfm_scores"] = f"WITH {SCORED} FROM scored"
 _Q["rfm_customer_segments"] = f"WITH {SCORED} FROM segmented"
