@@ -109,14 +109,14 @@ def windows(docs: DataFrame, items: DataFrame, text_col: str, broadcast: bool) -
     ``start`` and ``last`` are the places of the window's first and last shingle.  Only
     numbers are exploded: the hash of the text, and place and hash of each shingle.
     """
-    anchors = items.select("item_no", "item_id", "length", "item_weight", F.posexplode_outer(F.arrays_zip("hashes", "weights")).alias("at", "s")).select(
-        "item_no", "item_id", "length", "item_weight", "at", F.col("s.hashes").alias("h"), F.col("s.weights").alias("w"))
+    item = ["item_no", "item_id", "length", "item_weight"]
+    anchors = items.select(*item, F.posexplode_outer(F.arrays_zip("hashes", "weights")).alias("at", "s")).select(
+        *item, "at", F.col("s.hashes").alias("h"), F.col("s.weights").alias("w"))
     rows = docs.select(F.xxhash64(text_col).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     # Outer generators: from inner ones Catalyst infers a filter on the array's size and, pushing it
     # to the scan, would split the text anew for every shingle.
     places = (rows.select("text_hash", F.size("words").alias("n"), shingle_hashes("words").alias("hashes"))
               .select("text_hash", "n", F.posexplode_outer("hashes").alias("p", "h")))
-    item = ["item_no", "item_id", "length", "item_weight"]
     hits = (places.join(F.broadcast(anchors) if broadcast else anchors, "h")
             .select("text_hash", "n", *item, "p", "at", "w").distinct().checkpoint())
     enough = (hits.select("text_hash", "item_no", "item_weight", "at", "w").distinct()
@@ -130,15 +130,17 @@ def windows(docs: DataFrame, items: DataFrame, text_col: str, broadcast: bool) -
 
 
 def window_shingles(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
-    """(text_hash, p, h, w) of the shingles that lie in the windows ``found``."""
+    """(text_hash, lo, shingles) of the texts with windows: their shingles (h, w) from the first window to the last."""
     spans = found.groupBy("text_hash").agg(F.min("start").alias("lo"), F.max("last").alias("hi"))
     few = F.broadcast(spans) if spans.count() <= BROADCAST_TEXTS else spans
     rows = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")).join(few, "text_hash")
     rows = rows.select("text_hash", "lo", "hi", words_of(F.col("text")).alias("words"))
     # the words of the span alone
     rows = rows.select("text_hash", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + SHINGLE_WORDS).alias("words"))
-    return (rows.select("text_hash", "lo", F.posexplode_outer(F.arrays_zip(shingle_hashes("words").alias("h"), shingle_weights("words").alias("w"))).alias("k", "s"))
-            .select("text_hash", (F.col("lo") + F.col("k")).alias("p"), F.col("s.h").alias("h"), F.col("s.w").alias("w")).distinct().checkpoint())
+    both = F.arrays_zip(shingle_hashes("words").alias("h"), shingle_weights("words").alias("w"))
+    # copies of a text have the same shingles
+    return rows.select("text_hash", "lo", both.alias("shingles")).groupBy("text_hash").agg(
+        F.min("lo").alias("lo"), F.any_value("shingles").alias("shingles")).checkpoint()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -153,11 +155,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
     shingles = window_shingles(docs, found, text_col)
 
     def inside(some: DataFrame, *by: str) -> DataFrame:
-        spread = some.select(*by, "text_hash", F.explode(F.sequence("start", "last")).alias("p"))
-        return spread.join(shingles, ["text_hash", "p"])
+        """Shingles of windows, dealt by text: sums over a window need no further shuffle."""
+        own = F.slice("shingles", F.col("start") - F.col("lo") + 1, F.col("last") - F.col("start") + 1)
+        span = ["text_hash", "start", "last"]
+        return some.select(*by, *span).join(shingles, "text_hash").select(*by, *span, F.inline_outer(own))
 
     spots = found.select("text_hash", "start", "last").distinct()
-    prints = with_fingerprints(inside(spots, "start", "last"), "text_hash", "start", "last").select("text_hash", "start", "last", "fp")
+    prints = with_fingerprints(inside(spots), "text_hash", "start", "last").drop("weight")
     item_shingles = items.select("item_no", F.inline_outer(F.arrays_zip(F.col("hashes").alias("h"), F.col("weights").alias("w"))))
     item_blocks = with_fingerprints(item_shingles, "item_no").select("item_no", F.col("fp").alias("item_fp")).select(
         "item_no", "item_fp", F.inline_outer(blocks("item_fp", radius)))
@@ -165,8 +169,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
             .join(hint(item_blocks), ["item_no", "block", "value"])
             .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
             .select(*found.columns).distinct())
-    window = ["text_hash", "item_no", "item_id", "item_weight", "start"]
-    counted = inside(near, *[c for c in window if c != "text_hash"]).groupBy(*window, "h", "w").agg(F.count("*").alias("c"))
+    item = ["item_no", "item_id", "item_weight"]
+    window = ["text_hash", "start", *item]
+    counted = inside(near, *item).groupBy(*window, "h", "w").agg(F.count("*").alias("c"))
     of_item = item_shingles.groupBy("item_no", "h").agg(F.count("*").alias("of_item"))
     both = counted.join(hint(of_item), ["item_no", "h"], "left")
     exact = both.groupBy(*window).agg(F.sum(F.col("w") * F.col("c")).alias("weight"),
@@ -175,12 +180,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
             .where(F.col("similarity") >= MIN_SIMILARITY).select("text_hash", "item_id", "start", "similarity"))
 
 
+def _few(per_text: DataFrame) -> DataFrame:
+    """Contaminated texts, one row each: broadcast up to a counted bound, so that copies of one text stay where they are."""
+    per_text = per_text.checkpoint()
+    return F.broadcast(per_text) if per_text.count() <= BROADCAST_TEXTS else per_text
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, contaminated, n_items, best_item, best_similarity) of every row of ``docs``."""
     per_text = (leaks(docs, benchmark, text_col).groupBy("text_hash")
                 .agg(F.countDistinct("item_id").alias("n_items"),
                      F.max(F.struct("similarity", (-F.col("item_id")).alias("minus"))).alias("best"))
                 .withColumnRenamed("text_hash", "of_hash"))
+    per_text = _few(per_text)
     rows = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text_col).alias("row_hash"))
     return rows.join(per_text, rows.row_hash == per_text.of_hash, "left").select(
         F.col("row_id").alias(id_col), F.col("best").isNotNull().alias("contaminated"),
@@ -195,5 +207,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated rows go."""
-    bad = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("text_hash").distinct()
+    bad = _few(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("text_hash").distinct())
     return docs.join(bad, F.xxhash64(docs.text) == bad.text_hash, "left_anti")
