@@ -29,7 +29,8 @@ MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 # A text is kept if at least this share of its words is on content lines.
 MIN_CONTENT_SHARE = 0.5
-# Bounds of the training sample: labelled texts, and lines of each used to train.
+# Bounds of the training sample: labelled texts, and lines of each used to train (a run of lines that
+# lies anywhere in the text, told by the id's hash).
 TRAIN_TEXTS = 2000
 TRAIN_LINES = 48
 
@@ -191,7 +192,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_TEXTS
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 ends = np.cumsum(np.bincount(t["line_doc"], minlength=batch.num_rows))
                 starts = np.concatenate([[0], ends[:-1]])
-                feats = [t["features"][a:min(b, a + TRAIN_LINES)].ravel().tolist() for a, b in zip(starts, ends)]
+                # one run of lines from anywhere in the text, by the id's hash
+                runs = np.maximum(1, -(-(ends - starts) // TRAIN_LINES))
+                first = starts + TRAIN_LINES * ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)).astype(np.int64) % runs)
+                feats = [t["features"][a:min(b, a + TRAIN_LINES)].ravel().tolist() for a, b in zip(first, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(feats, pa.list_(pa.float64())),
                                                   pa.array(q.astype(np.int64))], names=["doc_id", "features", "quality"])
 
