@@ -69,3 +69,26 @@ def test_hot_account_reaches_customer_join_as_one_row(spark, tmpdir_fresh):
     join_at = next(i for i, l in enumerate(text.splitlines()) if "SortMergeJoin" in l and "customer_id" in l)
     below = "\n".join(text.splitlines()[join_at:join_at + 6])
     assert "HashAggregate(keys=[customer_id" in below
+
+
+def test_null_keys_of_a_lookup_are_spread(spark):
+    """A third of the rows has no key: without broadcasts and without AQE every task still gets its share."""
+    from tillroll.operators.blocks import left_lookup
+    n, parts = 60_000, 16
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 != 0, F.col("id") % 5000).alias("product_id"))
+    dim = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("double"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        joined = left_lookup(df, "product_id", dim, "k")
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        rows = joined.collect()
+        plan = plan_text(joined, "simple")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and len(sizes) == parts and max(sizes) < 1.5 * n / parts
+    assert joined.columns == ["id", "product_id", "k", "double"] and len(rows) == n
+    assert all(r.double == (2 * r.product_id if r.product_id is not None and r.product_id < 4000 else None) for r in rows)

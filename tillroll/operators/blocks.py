@@ -43,6 +43,25 @@ def order_review(reviews: DataFrame, rounded: bool = False) -> DataFrame:
     return reviews.groupBy("order_id").agg(score.alias("review_score"))
 
 
+# Rows with a NULL key are dealt into so many groups of a lookup join.
+NULL_GROUPS = 1 << 16
+
+
+def left_lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str) -> DataFrame:
+    """``df LEFT JOIN dim ON key = dim_key`` in which NULL keys do not meet in one task.
+
+    Spark keeps the rows without a key and deals them like one hot key, to a single task
+    if the join shuffles.  A second join column holds a hash of the row where the key is
+    NULL and 0 elsewhere, as on all rows of ``dim``: nothing else matches or is lost, the
+    rows are read once, and the NULLs are spread evenly without AQE's help.
+    """
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.lit(NULL_GROUPS)).cast("int")).otherwise(F.lit(0))
+    left = df.withColumn("_spread", spread)
+    # a literal would be folded into the condition, and the join dealt by the key alone
+    right = dim.withColumn("_zero", F.pmod(F.xxhash64(dim_key), F.lit(1)).cast("int"))
+    return (left.join(right, (left[key] == right[dim_key]) & (left["_spread"] == right["_zero"]), "left").drop("_spread", "_zero"))
+
+
 def with_category(df: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
     """Attach ``category`` to rows carrying a ``product_id`` (left joins).
 
@@ -52,14 +71,15 @@ def with_category(df: DataFrame, products: DataFrame, translation: DataFrame) ->
     Both joins are left to the planner: a broadcast when the scan statistics (or
     the sizes AQE measures) are under ``spark.sql.autoBroadcastJoinThreshold``,
     otherwise a sort-merge join whose skewed partitions (a best-selling product)
-    AQE splits at run time.  Joining the two dimensions to each other first would
-    hide the product table's size from the planner.
+    AQE splits at run time.  Rows without a product or a category name match nothing
+    and are spread over all tasks (``left_lookup``).  Joining the two dimensions to
+    each other first would hide the product table's size from the planner.
     """
     p = products.select(F.col("product_id").alias("_p_id"), F.col("product_category_name").alias("_p_name"))
     t = translation.select(F.col("product_category_name").alias("_t_name"),
                            F.col("product_category_name_english").alias("_t_english"))
-    return (df.join(p, df.product_id == F.col("_p_id"), "left")
-              .join(t, F.col("_p_name") == F.col("_t_name"), "left")
+    named = left_lookup(df, "product_id", p, "_p_id")
+    return (left_lookup(named, "_p_name", t, "_t_name")
               .withColumn("category", F.coalesce("_t_english", "_p_name", F.lit(UNKNOWN_CATEGORY)))
               .drop("_p_id", "_p_name", "_t_name", "_t_english"))
 
