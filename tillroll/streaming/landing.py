@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from tillroll.model import TABLES
+from tillroll.operators.ranking import number_in_place
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.keyledger import read_ledger
 from tillroll.sources.landing import key_ledger, land_csv
@@ -52,7 +53,20 @@ def _previous_max(spark: SparkSession, out: str, batch_id: int, key: str) -> int
     return 0
 
 
-def _writer(table: str, raw_dir: str):
+def _writer(table: str, out: str):
+    """Sink of streams whose rows are parsed already (not files): reviews are numbered in place, after earlier batches."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        df = batch
+        if table == "order_reviews":
+            offset = _previous_max(batch.sparkSession, out, batch_id, "review_sk")
+            df = number_in_place(batch, "review_sk").withColumn("review_sk", F.col("review_sk") + F.lit(offset))
+            df = df.select("review_sk", *batch.columns)
+        df.write.mode("overwrite").parquet(f"{out}/{BATCH_COL}={batch_id}")
+    return write
+
+
+def _file_writer(table: str, raw_dir: str):
+    """Sink of a stream of file names."""
     out = f"{raw_dir}/{table}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -86,6 +100,6 @@ def land_csv_stream(spark: SparkSession, table: str, in_dir: str, raw_dir: str,
     raw_dir = raw_dir.rstrip("/")
     ensure_checkpoint_dir(spark)
     ckpt = checkpoint or f"{raw_dir}/_stream/{table}"
-    w = src.writeStream.foreachBatch(_writer(table, raw_dir)).option("checkpointLocation", ckpt)
+    w = src.writeStream.foreachBatch(_file_writer(table, raw_dir)).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
