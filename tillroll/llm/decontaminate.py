@@ -143,8 +143,8 @@ def window_shingles(docs: DataFrame, found: DataFrame, text_col: str) -> DataFra
         F.min("lo").alias("lo"), F.any_value("shingles").alias("shingles")).checkpoint()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
-          item_text: str = "text", radius: int = RADIUS) -> DataFrame:
+def text_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
+               item_text: str = "text", radius: int = RADIUS) -> DataFrame:
     """(text_hash, item_id, start, similarity) of every verified window; ``start`` counts words from 0."""
     ensure_checkpoint_dir(docs.sparkSession)
     items = item_table(benchmark, item_id, item_text).checkpoint()
@@ -180,6 +180,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id
             .where(F.col("similarity") >= MIN_SIMILARITY).select("text_hash", "item_id", "start", "similarity"))
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, text_hash, item_id, start, similarity) of every verified window of every row."""
+    found = _few(text_leaks(docs, benchmark, text_col, item_id, item_text))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    return rows.join(found, "text_hash").select("id", "text_hash", "item_id", "start", "similarity")
+
+
 def _few(per_text: DataFrame) -> DataFrame:
     """Contaminated texts, one row each: broadcast up to a counted bound, so that copies of one text stay where they are."""
     per_text = per_text.checkpoint()
@@ -188,7 +196,7 @@ def _few(per_text: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, contaminated, n_items, best_item, best_similarity) of every row of ``docs``."""
-    per_text = (leaks(docs, benchmark, text_col).groupBy("text_hash")
+    per_text = (text_leaks(docs, benchmark, text_col).groupBy("text_hash")
                 .agg(F.countDistinct("item_id").alias("n_items"),
                      F.max(F.struct("similarity", (-F.col("item_id")).alias("minus"))).alias("best"))
                 .withColumnRenamed("text_hash", "of_hash"))
@@ -207,5 +215,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated rows go."""
-    bad = _few(leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("text_hash").distinct())
+    bad = _few(text_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("text_hash").distinct())
     return docs.join(bad, F.xxhash64(docs.text) == bad.text_hash, "left_anti")
