@@ -1,6 +1,7 @@
 """Plan shape: the physical plans the jobs are designed to get."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tests.conftest import SF001
@@ -57,6 +58,36 @@ def test_category_dimensions_broadcast_at_small_scale(spark):
     assert text.count("BroadcastHashJoin") >= 2
 
 
+@pytest.mark.parametrize("name", ["category_revenue", "chart_top_categories"])
+def test_category_items_are_not_held_before_the_order_join(spark, name):
+    """No map of (order, product) in the scan tasks and no sort of items: nearly every item row would stay in memory."""
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_text(E.queries()[name](spark, SF001), "simple").splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    join_at = next(i for i, l in enumerate(lines) if "Join [order_id" in l)
+    below = "\n".join(lines[join_at:next(i for i, l in enumerate(lines) if i > join_at and "o_orderkey" in l and "Scan" in l)])
+    assert "ShuffledHashJoin" in lines[join_at] and "BuildRight" in lines[join_at]
+    assert "Aggregate" not in below and "Sort " not in below
+
+
+def test_category_customers_are_counted_in_partitions_that_stay_apart(spark):
+    text = plan_text(E.queries()["category_revenue"](spark, SF001), "simple")
+    dealt = [l for l in text.splitlines() if "Exchange hashpartitioning" in l and "customer_id" in l]
+    assert dealt and all("REPARTITION_BY_NUM" in l for l in dealt)
+
+
+def test_spread_is_not_merged_by_aqe(spark):
+    from tillroll.operators.blocks import spread
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = spread(spark.range(10_000).withColumn("k", F.col("id") % 2_000), "k").groupBy("k").agg(F.count("*").alias("n"))
+    rows = groups.withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == 2_000 and {r.n for r in rows} == {5}
+    assert {r.part for r in rows} == set(range(n))
+
+
 def test_landed_tables_push_filters_and_prune_columns(spark, tmpdir_fresh):
     shop = TestShop(spark, SF001)
     raw = f"{tmpdir_fresh}/raw"

@@ -92,3 +92,27 @@ def test_null_keys_of_a_lookup_are_spread(spark):
     assert "SortMergeJoin" in plan and len(sizes) == parts and max(sizes) < 1.5 * n / parts
     assert joined.columns == ["id", "product_id", "k", "double"] and len(rows) == n
     assert all(r.double == (2 * r.product_id if r.product_id is not None and r.product_id < 4000 else None) for r in rows)
+
+
+def test_category_counts_with_hot_order_and_hot_customer(spark):
+    """A hot order comes as one order of each category, a hot customer as one customer; rows without a customer count as orders only."""
+    from decimal import Decimal
+    from tillroll.plans.sales import category_revenue
+    orders = spark.range(3_000).select(F.col("id").alias("order_id"), F.when(F.col("id") % 10 == 9, None).when(F.col("id") % 3 == 0, 7)
+                                       .otherwise(F.col("id")).alias("customer_id"),
+                                       F.when(F.col("id") % 5 == 4, "shipped").otherwise("delivered").alias("order_status"))
+    items = spark.range(12_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 3_000).alias("order_id"), (F.col("id") % 50).alias("product_id"),
+                                       F.when(F.col("id") % 7 != 0, Decimal("1.25")).cast("decimal(12,2)").alias("price"),
+                                       F.lit(Decimal("0.10")).cast("decimal(12,2)").alias("freight_value"))
+    products = spark.range(40).select(F.col("id").alias("product_id"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("p"), F.col("id") % 4)).alias("product_category_name"))
+    translation = spark.createDataFrame([("p1", "one")], "product_category_name string, product_category_name_english string")
+    got = {r.category: r for r in category_revenue(orders, items, products, translation).collect()}
+    raw = items.join(orders.where("order_status = 'delivered'"), "order_id").join(products, "product_id", "left").select(
+        F.when(F.col("product_category_name") == "p1", "one").otherwise(F.coalesce("product_category_name", F.lit("unknown"))).alias("category"),
+        "order_id", "customer_id", "price").collect()
+    assert set(got) == {r.category for r in raw} == {"one", "p2", "p3", "unknown"}
+    for c, row in got.items():
+        mine = [r for r in raw if r.category == c]
+        assert row.orders_count == len({r.order_id for r in mine})
+        assert row.customers_count == len({r.customer_id for r in mine} - {None})
+        assert row.revenue == float(sum(r.price for r in mine if r.price is not None))

@@ -43,6 +43,16 @@ def order_review(reviews: DataFrame, rounded: bool = False) -> DataFrame:
     return reviews.groupBy("order_id").agg(score.alias("review_score"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into ``spark.sql.shuffle.partitions`` partitions that stay apart.
+
+    For aggregates with nearly as many groups as rows.  AQE merges its own shuffle
+    partitions up to 64 MB of compressed columns, which become ten times that in the
+    aggregates' maps; it leaves partitions that were asked for by number.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # Rows with a NULL key are dealt into so many groups of a lookup join.
 NULL_GROUPS = 1 << 16
 

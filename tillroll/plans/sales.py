@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.numeric import exact_round, exact_sum, pct, ratio, share_of_total
 from tillroll.functions.temporal import month_start
 from tillroll.model import DELIVERED
-from tillroll.operators.blocks import delivered_orders, order_revenue, with_category
+from tillroll.operators.blocks import delivered_orders, order_revenue, spread, with_category
 
 
 def _delivered_month(orders: DataFrame, status: str) -> DataFrame:
@@ -63,23 +63,46 @@ def chart_monthly_revenue(orders: DataFrame, items: DataFrame, status: str = DEL
                   .orderBy(F.asc_nulls_last("order_month")))
 
 
-def _category_lines(orders, items, products, translation, status) -> DataFrame:
-    """Delivered item revenue per (category, customer, order).
+# Orders of a customer are dealt into so many groups before the customer is counted.
+ORDER_GROUPS = 1 << 8
 
-    Items are summed per (order, product) first: on a layer bucketed by the order
-    without an exchange, and a hot order shrinks to its products in the map-side
-    aggregate.  Only delivered orders go on to the product lookup, whose
-    hot-product partitions AQE can split because nothing downstream reuses that
-    partitioning.  Lines of one order in one category meet by (category, customer,
-    order), so a hot customer's orders spread over all tasks.
+
+def _delivered_items(orders: DataFrame, items: DataFrame, status: str) -> DataFrame:
+    """Items of delivered orders, with the order's customer.
+
+    The items stream past a hash table of their partition's delivered orders (unique by
+    key), so a task neither sorts nor holds item rows.  Aggregating the items before this
+    join would keep nearly every item row of a scan split in memory: a product seldom
+    comes twice in an order.  The partition of a hot order is split by AQE, as nothing
+    downstream reuses this partitioning.
     """
-    sold = items.groupBy("order_id", "product_id").agg(
-        exact_sum(items, "price").alias("rev"), F.count("price").alias("n_price"),
-        exact_sum(items, "freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
     d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"), "customer_id")
-    lines = with_category(sold.join(d, sold.order_id == F.col("_oid"), "inner").drop("_oid"), products, translation)
-    return (lines.groupBy("category", "customer_id", "order_id")
-            .agg(*[F.sum(c).alias(c) for c in ("rev", "n_price", "freight", "n_freight")]))
+    sold = items.select("order_id", "product_id", "price", "freight_value")
+    return sold.join(d.hint("shuffle_hash"), sold.order_id == F.col("_oid"), "inner").drop("_oid")
+
+
+def _category_customers(orders, items, products, translation, status) -> DataFrame:
+    """Delivered item revenue and orders per (category, customer).
+
+    Nearly every group is a row or two, so map-side aggregates would only fill memory.
+    The rows are dealt out first (``spread``) and each task aggregates a small partition:
+    items by (order, product), so that a hot order shrinks to its products; lines by
+    (category, customer, group of orders), so that a hot customer's orders spread over
+    all tasks and shrink to ``ORDER_GROUPS`` rows a category; those by (category, customer).
+    """
+    keys = ["order_id", "customer_id", "product_id"]
+    delivered = _delivered_items(orders, items, status)
+    sold = spread(delivered, *keys).groupBy(*keys).agg(
+        exact_sum(delivered, "price").alias("rev"), F.count("price").alias("n_price"),
+        exact_sum(delivered, "freight_value").alias("freight"), F.count("freight_value").alias("n_freight"))
+    sums = [F.sum(c).alias(c) for c in ("rev", "n_price", "freight", "n_freight")]
+    lines = with_category(sold, products, translation).withColumn(
+        "_orders", F.pmod(F.xxhash64("order_id"), F.lit(ORDER_GROUPS)))
+    keys = ["category", "customer_id", "_orders"]
+    per_group = (spread(lines, *keys).groupBy(*keys, "order_id").agg(*sums)
+                 .groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("orders")))
+    keys = ["category", "customer_id"]
+    return spread(per_group, *keys).groupBy(*keys).agg(*sums, F.sum("orders").alias("orders"))
 
 
 def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
@@ -90,11 +113,7 @@ def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
     customers are counted by grouping (category, customer) first, so no
     ``Expand`` of the fact rows is needed.
     """
-    lines = _category_lines(orders, items, products, translation, status)
-    per_cust = lines.groupBy("category", "customer_id").agg(
-        F.sum("rev").alias("rev"), F.sum("n_price").alias("n_price"),
-        F.sum("freight").alias("freight"), F.sum("n_freight").alias("n_freight"),
-        F.count(F.lit(1)).alias("orders"))
+    per_cust = _category_customers(orders, items, products, translation, status)
     cat = per_cust.groupBy("category").agg(
         F.sum("rev").alias("revenue"), F.sum("orders").alias("orders_count"),
         F.count("customer_id").alias("customers_count"),
@@ -117,9 +136,8 @@ def category_revenue(orders: DataFrame, items: DataFrame, products: DataFrame,
 def chart_top_categories(orders: DataFrame, items: DataFrame, products: DataFrame,
                          translation: DataFrame, status: str = DELIVERED, n: int = 10) -> DataFrame:
     """Chart data: the ``n`` categories with the highest (rounded) revenue."""
-    d = delivered_orders(orders, status).select(F.col("order_id").alias("_oid"))
-    sold = items.groupBy("order_id", "product_id").agg(exact_sum(items, "price").alias("rev"))
-    lines = with_category(sold.join(d, sold.order_id == F.col("_oid"), "inner").groupBy("product_id").agg(
-        F.sum("rev").alias("rev")), products, translation)
+    delivered = _delivered_items(orders, items, status)
+    lines = with_category(delivered.groupBy("product_id").agg(exact_sum(delivered, "price").alias("rev")),
+                          products, translation)
     return (lines.groupBy("category").agg(exact_round(F.sum("rev"), 2).alias("revenue"))
                  .orderBy(F.desc_nulls_first("revenue"), "category").limit(n))
